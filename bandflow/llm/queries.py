@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and function of each operator's query.
 OPERATORS = {
     "op5_secrets": "secrets",
+    "op6_warc": "warc",
     "op8_bpe": "bpe",
 }
 
