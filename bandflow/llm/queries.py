@@ -12,6 +12,8 @@ OPERATORS = {
     "op5_secrets": "secrets",
     "op6_warc": "warc",
     "op8_bpe": "bpe",
+    "op9_mixing": "mixing",
+    "op10_syncmers": "syncmers",
 }
 
 
