@@ -13,9 +13,9 @@ rows give repeated results; other columns of the input are never read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -29,7 +29,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Pieces longer than this are encoded each time; shorter ones are remembered.
 REMEMBERED_CHARS = 48
 #: Pieces kept in each of the two generations of the memory.
-GENERATION = 150_000
+GENERATION = 250_000
 
 
 def default_vocabulary() -> str:
@@ -58,11 +58,15 @@ class BytePairCodec:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.of_byte = [vocab[c] for c in letters]
         self.strings: dict[int, bytes] = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
-        #: (left, right) as one integer -> (rank, merged id)
-        self.ranks: dict[int, tuple[int, int]] = {}
+        #: A pair of ids as one integer -> its rank; and by rank the pair and what it becomes.
+        self.ranks: dict[int, int] = {}
+        self.pair_at: list[int] = []
+        self.merged_at: list[int] = []
         for rank, merge in enumerate(merges):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
+            self.pair_at.append(vocab[left] << 32 | vocab[right])
+            self.merged_at.append(vocab[left + right])
+            self.ranks[self.pair_at[-1]] = rank
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings.update((i, s.encode()) for s, i in self.special.items())
         by_length = sorted(self.special, key=len, reverse=True)
@@ -74,29 +78,33 @@ class BytePairCodec:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: repeatedly join the adjacent pair of lowest rank, leftmost first."""
         ids = [self.of_byte[b] for b in piece]
-        n, ranks = len(ids), self.ranks
+        n, rank_of, pair_at = len(ids), self.ranks.get, self.pair_at
         if n < 2:
             return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = []
-        for i in range(n - 1):
-            if found := ranks.get(ids[i] << 32 | ids[i + 1]):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(queue)
+        # A queue entry is the rank with the left symbol's position below it.
+        queue = [r << 32 | i for i, r in enumerate([rank_of(x << 32 | y) for x, y in zip(ids, ids[1:], strict=False)]) if r is not None]
+        heapify(queue)
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
+            entry = heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or ids[i] << 32 | ids[j] != pair_at[rank]:
                 continue  # stale: a neighbour was merged since
-            ids[i], ids[j] = merged, -1
+            ids[i] = merged = self.merged_at[rank]
+            ids[j] = -1
             k = after[i] = after[j]
+            after[j] = -1
             if k >= 0:
                 before[k] = i
-                if found := ranks.get(merged << 32 | ids[k]):
-                    heapq.heappush(queue, (found[0], i, merged, ids[k], found[1]))
+                r = rank_of(merged << 32 | ids[k])
+                if r is not None:
+                    heappush(queue, r << 32 | i)
             h = before[i]
-            if h >= 0 and (found := ranks.get(ids[h] << 32 | merged)):
-                heapq.heappush(queue, (found[0], h, ids[h], merged, found[1]))
+            if h >= 0:
+                r = rank_of(ids[h] << 32 | merged)
+                if r is not None:
+                    heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -125,10 +133,10 @@ class BytePairCodec:
 
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids as text, their decoded bytes) of each piece of `text`."""
-        if self.split_special is None or not (found := list(self.split_special.finditer(text))):
+        if not any(s in text for s in self.special):
             return self._plain(text)
         out, at = [], 0
-        for m in found:
+        for m in self.split_special.finditer(text):
             out += self._plain(text[at : m.start()])
             i = self.special[m[0]]
             out.append((1, str(i), self.strings[i]))
