@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op5_secrets": "secrets",
     "op6_warc": "warc",
+    "op7_jaccard_join": "jaccard_join",
     "op8_bpe": "bpe",
     "op9_mixing": "mixing",
     "op10_syncmers": "syncmers",
