@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module and function of each operator's query.
 OPERATORS = {
+    "op4_line_dedup": "linededup",
     "op5_secrets": "secrets",
     "op6_warc": "warc",
     "op7_jaccard_join": "jaccard_join",
