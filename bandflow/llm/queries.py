@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and function of each operator's query.
 OPERATORS = {
     "op1_near_duplicates": "neardup",
+    "op2_language_id": "langid",
     "op4_line_dedup": "linededup",
     "op5_secrets": "secrets",
     "op6_warc": "warc",
