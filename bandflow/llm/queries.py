@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_near_duplicates": "neardup",
     "op2_language_id": "langid",
+    "op3_html_text": "htmlmain",
     "op4_line_dedup": "linededup",
     "op5_secrets": "secrets",
     "op6_warc": "warc",
@@ -22,7 +23,8 @@ OPERATORS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()}
+    out = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()}
+    return out | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
