@@ -27,5 +27,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out | {"pipeline": import_module("corpus_pipeline").run}
 
 
+# The smallest id that links lead to, for `links(a, b)` in both directions.
+REACHED = "reached AS (SELECT a AS id, b AS far FROM links UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.far)"
+
+ORACLES = {
+    "op1_near_duplicates": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.98),
+{REACHED}, c AS (SELECT id, min(far) AS far FROM reached GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(far, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(far, vec_id)) AS kept FROM embeddings LEFT JOIN c ON id = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op6_warc": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS newest FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
+CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to, CASE WHEN page_id < newest THEN NULL ELSE true END AS digest_ok FROM m""",
+    "op7_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS e FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.e = q.e AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+{REACHED}, c AS (SELECT id, min(far) AS far FROM reached GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(far, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON id = doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
