@@ -11,7 +11,7 @@ from bandflow.operators.live import with_as_of
 
 def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Fields S, p, q, T below `o` of JSON text; text that isn't JSON is left out."""
-    v = messages.withColumn("_v", F.try_parse_json(F.col(raw))).where("_v is not null")
+    v = messages.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("_v"))))).where("_v is not null")
     get = lambda k, kind: F.try_variant_get("_v", f"$.o.{k}", kind)
     return v.select("ord", get("S", "string").alias("S"), get("p", "string").alias("p"), get("q", "string").alias("q"), get("T", "bigint").alias("T"))
 

@@ -25,7 +25,8 @@ def _number(text: Column) -> Column:
 def fields(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """`messages` with timestamp, price, volume_base, volume_usdt, side and
     `reject_kind`: the first check that failed (json, number, trade), or null."""
-    v = messages.withColumn("_v", F.try_parse_json(F.col(raw)))
+    # A generator keeps the optimizer from copying the parse into every later use and filter.
+    v = messages.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("_v")))))
     kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
     v = v.select(
         *messages.columns,
