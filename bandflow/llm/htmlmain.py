@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import exp, log1p
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: Comments, declarations and tags. Quotes count after an equals sign; possessive repeats keep broken tags linear.
+QUOTED = r"""=\s*+(?:"(?:[^"<]*+"|[^"]{0,1000}")|'(?:[^'<]*+'|[^']{0,1000}'))"""
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"'=]++|""" + QUOTED + r"""|["'=])*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -105,6 +108,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("#page", -1, ("tag #page",), "root", False)]
     runs: list[tuple[int, str]] = []
     stack, buffer = [0], []
+    opened: Counter[str] = Counter()
     link, skipping, at = False, "", 0
 
     def flush() -> None:
@@ -122,10 +126,13 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[stack[-1]].linked += n
 
     def close(tag: str, within: set[str] = frozenset()) -> None:
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             open_tag = nodes[stack[i]].tag
             if open_tag == tag:
                 flush()
+                opened.subtract(nodes[j].tag for j in stack[i:])
                 del stack[i:]
                 return
             if open_tag in within:
@@ -172,6 +179,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes.append(Node(tag, stack[-1], fixed, kind, gold))
         if not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     if at < len(page):
         keep(page[at:])
     flush()
