@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bandflow.functions import expressions as X
 
@@ -58,49 +57,62 @@ def divergence(t: DataFrame, as_of: int | None = None, hours=X.HORIZON_HOURS) ->
     return out.select("hours", *(f"{g}_{c}" for g in X.LIVE_GROUPS for c in ("buy_pct", "vol")), X.divergence_signal(gap).alias("signal"), F.abs(gap).alias("intensity"))
 
 
-def group_candles(t: DataFrame, as_of: int | None = None, hours: int = 4) -> DataFrame:
-    """One-minute candles of each live group; minutes without trades have none."""
+def group_candles(t: DataFrame, as_of: int | None = None, hours: int = 4, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """One-minute candles of each live group, with `extra` aggregates; minutes without trades have none."""
     rows = with_as_of(t, as_of).where(F.col("timestamp") >= F.col("as_of") - hours * X.HOUR_MS)
     rows = rows.withColumn("grp", X.live_group(F.col("seg"))).where("grp is not null")
     p, v = F.col("price"), F.col("volume_usdt")
-    return rows.groupBy("grp", X.minute_start(F.col("timestamp")).alias("ts_min")).agg(F.min_by("price", "ord").alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by("price", "ord").alias("close"), F.sum(v).alias("vol_usdt"), X.sum_where(F.col("side") == 0, v).alias("vol_buy"), F.count("*").alias("trades"))
+    return rows.groupBy("grp", X.minute_start(F.col("timestamp")).alias("ts_min")).agg(F.min_by("price", "ord").alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by("price", "ord").alias("close"), F.sum(v).alias("vol_usdt"), X.sum_where(F.col("side") == 0, v).alias("vol_buy"), F.count("*").alias("trades"), *extra)
 
 
 def _groups(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(g,) for g in X.LIVE_GROUPS], "grp string")
 
 
-def rsi(candles: DataFrame) -> DataFrame:
-    """Relative strength by group: plain sums of gains and losses over the last
-    42 changes; 50 with too few candles or no change, 100 without losses."""
-    order = Window.partitionBy("grp").orderBy("ts_min")
-    back = Window.partitionBy("grp").orderBy(F.desc("ts_min"))
-    rows = candles.select("grp", (F.col("close") - F.lag("close").over(order)).alias("d"), F.row_number().over(back).alias("age"), F.count("*").over(Window.partitionBy("grp")).alias("n"))
-    recent = F.col("age") <= RSI_DELTAS
-    sums = rows.groupBy("grp").agg(F.max("n").alias("n"), X.sum_where(recent & (F.col("d") > 0), F.col("d")).alias("g"), X.sum_where(recent & (F.col("d") < 0), -F.col("d")).alias("l"))
-    g, loss = F.col("g"), F.col("l")
-    value = F.when(F.col("n") < RSI_CANDLES, 50.0).when(loss == 0, F.when(g > 0, 100.0).otherwise(50.0)).otherwise(100.0 - 100.0 / (1.0 + g / F.when(loss > 0, loss)))
-    return _groups(candles).join(sums.select("grp", value.alias("rsi")), "grp", "left").na.fill({"rsi": 50.0})
+def _closes(candles: DataFrame, *more: Column) -> DataFrame:
+    """A group's closes in time order (at most a candle a minute of the horizon) and other aggregates."""
+    in_order = F.array_sort(F.collect_list(F.struct("ts_min", "close")))
+    return candles.groupBy("grp").agg(F.transform(in_order, lambda x: x["close"]).alias("c"), *more)
 
 
-def macd(candles: DataFrame) -> DataFrame:
-    """MACD 12/26/9 by group: averages seeded with the first close, folded in
-    one pass over a group's closes (at most a candle a minute of the horizon)."""
+def rsi_of(c: str = "c") -> Column:
+    """Relative strength: plain sums of gains and losses over the last 42
+    changes; 50 with too few candles or no change, 100 without losses."""
+    n = F.size(c)
+    changes = F.zip_with(F.slice(c, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(c, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, y: x - y)
+    recent = F.slice(changes, F.greatest(n - RSI_DELTAS, F.lit(1)), F.lit(RSI_DELTAS))
+    total = lambda keep: F.aggregate(recent, F.lit(0.0), lambda acc, d: acc + F.greatest(keep(d), F.lit(0.0)))
+    g, loss = total(lambda d: d), total(lambda d: -d)
+    return F.when(n < RSI_CANDLES, 50.0).when(loss == 0, F.when(g > 0, 100.0).otherwise(50.0)).otherwise(100.0 - 100.0 / (1.0 + g / F.when(loss > 0, loss)))
+
+
+def macd_of(c: str = "c") -> Column:
+    """MACD 12/26/9 as (macd, signal, histogram): averages seeded with the
+    first close, folded in one pass; zeros with too few candles."""
     k12, k26, k9 = 2 / 13, 2 / 27, 2 / 10
-    closes = candles.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_min", "close"))), lambda x: x["close"]).alias("c"))
-    start = F.struct(F.get("c", F.lit(0)).alias("a"), F.get("c", F.lit(0)).alias("b"), F.lit(0.0).alias("s"))
+    start = F.struct(F.get(c, F.lit(0)).alias("a"), F.get(c, F.lit(0)).alias("b"), F.lit(0.0).alias("s"))
 
     def step(acc: Column, x: Column) -> Column:
         a = x * k12 + acc["a"] * (1 - k12)
         b = x * k26 + acc["b"] * (1 - k26)
         return F.struct(a.alias("a"), b.alias("b"), ((a - b) * k9 + acc["s"] * (1 - k9)).alias("s"))
 
-    tail = F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0)))
-    rows = closes.select("grp", F.size("c").alias("n"), F.aggregate(tail, start, step).alias("x"))
-    line, signal = F.col("x.a") - F.col("x.b"), F.col("x.s")
-    enough = F.col("n") >= MACD_CANDLES
-    out = rows.select("grp", *(F.when(enough, c).otherwise(0.0).alias(n) for n, c in (("macd", line), ("signal", signal), ("histogram", line - signal))))
-    return _groups(candles).join(out, "grp", "left").na.fill(0.0)
+    def finish(x: Column) -> Column:
+        line = x["a"] - x["b"]
+        return F.struct(line.alias("macd"), x["s"].alias("signal"), (line - x["s"]).alias("histogram"))
+
+    tail = F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    nothing = F.struct(F.lit(0.0).alias("macd"), F.lit(0.0).alias("signal"), F.lit(0.0).alias("histogram"))
+    return F.when(F.size(c) >= MACD_CANDLES, F.aggregate(tail, start, step, finish)).otherwise(nothing)
+
+
+def rsi(candles: DataFrame) -> DataFrame:
+    return _groups(candles).join(_closes(candles).select("grp", rsi_of().alias("rsi")), "grp", "left").na.fill({"rsi": 50.0})
+
+
+def macd(candles: DataFrame) -> DataFrame:
+    rows = _closes(candles).select("grp", macd_of().alias("m")).select("grp", "m.*")
+    return _groups(candles).join(rows, "grp", "left").na.fill(0.0)
 
 
 def vwap(candles: DataFrame) -> DataFrame:
@@ -118,10 +130,16 @@ def average_prices(t: DataFrame, as_of: int | None = None, hours: int = 4) -> Da
 
 
 def indicators(t: DataFrame, as_of: int | None = None, hours: int = 4) -> DataFrame:
-    """All indicators of the four groups, one row each."""
-    c = group_candles(t, as_of, hours)
-    totals = c.groupBy("grp").agg(F.sum("vol_usdt").alias("vol_total"), F.sum("vol_buy").alias("_b"), F.sum("trades").alias("trades"))
-    out = _groups(t).join(rsi(c), "grp").join(macd(c), "grp").join(vwap(c), "grp").join(average_prices(t, as_of, hours), "grp").join(totals, "grp", "left").na.fill(0)
+    """All indicators of the four groups, one row each, from one pass over the trades."""
+    p, buy = F.col("price"), F.col("side") == 0
+    prices = (F.sum(F.when(buy, p)).alias("bid"), F.count_if(buy).alias("bids"), F.sum(F.when(~buy, p)).alias("ask"), F.count_if(~buy).alias("asks"))
+    candles = group_candles(t, as_of, hours, prices)
+    v = F.col("vol_usdt")
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
+    rows = _closes(candles, F.sum(v).alias("vol_total"), F.sum("vol_buy").alias("_b"), F.sum("trades").alias("trades"), F.sum(typical * v).alias("_pv"), *(F.sum(x).alias(x) for x in ("bid", "bids", "ask", "asks")))
+    rows = rows.select("grp", "vol_total", "_b", "trades", rsi_of().alias("rsi"), macd_of().alias("m"), F.try_divide("_pv", "vol_total").alias("vwap"), F.try_divide("bid", "bids").alias("avg_bid"), F.try_divide("ask", "asks").alias("avg_ask"))
+    out = _groups(t).join(rows, "grp", "left").select("grp", "vol_total", "_b", "trades", "rsi", "m.macd", "m.signal", "m.histogram", "vwap", "avg_bid", "avg_ask")
+    out = out.na.fill({"rsi": 50.0}).na.fill(0)
     return out.withColumn("buy_pct", X.percent(F.col("_b"), F.col("vol_total"), 50.0)).drop("_b")
 
 
