@@ -35,15 +35,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, stored, table
 
 #: Ids or block keys known to be at most this many are broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Documents on one key of which all pairs are verified; of more, rounds of pivots find the links.
-FEW = 16
+#: Documents on one key, of which all pairs are verified, in the first and in later rounds; of more, pivots find the links.
+FEW, FEW_LATER = 16, 128
+#: Bits of the sketch by which pairs are sifted before their sets are fetched.
+SKETCH_BITS = 2048
+#: Common added elements that a pair's prefixes must show (or all that it needs, if fewer).
+LAP = 4
 #: Rounds of pivots before the pairs that are still open are verified one by one.
 PIVOTS = 2
 #: Width of a size band: its largest size over its smallest.
@@ -177,21 +181,49 @@ def block_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     return _rows(docs).mapInArrow(run, "key long, doc long")
 
 
+def sketch(codes: np.ndarray) -> np.ndarray:
+    """Parities of the codes' bit positions: two sketches differ in at most as many bits as the sets have elements apart."""
+    counts = np.bincount((codes >> U(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, codes): each document's sorted codes as bytes."""
+    """(doc, size, sketch, codes): each document's sorted codes and their parity sketch as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [shingles(v.as_py(), rule.words).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["doc", "codes"])
+            codes = [shingles(v.as_py(), rule.words) for v in batch.column(1)]
+            columns = [pa.array([len(c) for c in codes], pa.int64()), pa.array([sketch(c).tobytes() for c in codes], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "size", "sketch", "codes"])
+
+    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary, codes binary")
+
 
-    return _rows(docs).mapInArrow(run, "doc long, codes binary")
+def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that are `open` or that their sketches' Hamming distance lets link."""
+    small = sets.select("doc", "size", "sketch")
+    other = sets.select(F.col("doc").alias("pivot"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+    both = pairs.join(small, "doc").join(other, "pivot").select("pivot", "doc", "open", "size", "size2", "sketch", "sketch2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (5, 6))
+            n, m = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+            near = (rule.den + rule.num) * apart <= (rule.den - rule.num) * (n + m)
+            keep = near | batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.select(["pivot", "doc", "open"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "pivot long, doc long, open boolean")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """For pairs (pivot, doc, open): sizes, whether they link, and, where `open`, the
+    """For those pairs (pivot, doc, open) that sketches don't rule out: sizes, whether they link, and, where `open`, the
     elements that only the document (`added`) or only the pivot (`removed`) has."""
-    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("pivot"), F.col("codes").alias("pivot_codes")), "pivot").select("pivot", "doc", "codes", "pivot_codes", "open")
+    pairs, sets_ = stored(sifted(pairs, sets, rule), "sifted"), sets.select("doc", "codes")
+    both = pairs.join(sets_, "doc").join(sets_.select(F.col("doc").alias("pivot"), F.col("codes").alias("pivot_codes")), "pivot").select("pivot", "doc", "codes", "pivot_codes", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,22 +242,42 @@ def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "pivot long, doc long, open boolean, size long, linked boolean, added array<long>, removed array<long>")
 
 
-def met(keys: DataFrame) -> DataFrame:
-    """Distinct pairs (pivot, doc, open) of the documents that share a key.
+def first_keys(docs: DataFrame, rule: Rule) -> DataFrame:
+    """`block_keys` in the form that `met` takes."""
+    nothing = {"at": F.lit(0).cast("long"), "linked": F.lit(False), "added": F.lit(0), "size": F.lit(0).cast("long"), "sure": F.lit(True)}
+    return block_keys(docs, rule).withColumns(nothing)
+
+
+def met(keys: DataFrame, few: int, rule: Rule) -> DataFrame:
+    """Pairs (pivot, doc, open) of the documents that share a key and may link.
 
-    `keys` has (key, doc, linked); documents that are `linked` already make no
-    pairs among themselves. Of a key with few documents all pairs are made;
-    with more, each with the smallest, and `open` says that others remain.
+    `keys` has (key, doc), the pivot `at` which the documents met before, if
+    any, whether they are `linked` to it, how many elements they `added` to
+    it, their `size`, and whether the key is `sure` to count. Documents that
+    are linked already make no pairs among themselves. Of a key with up to
+    `few` documents all pairs are made, less those that share too few of their
+    added elements; with more, each with a pivot, and `open` says that others
+    remain. The pivot is the document that meets others most often: it lies
+    near the middle of its group.
     """
-    groups = keys.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last"), F.bool_and("linked").alias("_all"), F.count("*").alias("n")).where("pivot < _last and not _all").select("key", "pivot", "n")
+    groups = keys.groupBy("key").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.bool_and("linked").alias("_all"), F.count("*").alias("n")).where("_first < _last and not _all").select("key", "n")
     groups = stored(groups, "groups")
-    few = groups.count() <= BROADCAST_ROWS
-    members = keys.join(F.broadcast(groups) if few else groups, "key")
-    star = members.where(f"n > {FEW} and doc > pivot").select("pivot", "doc", F.lit(True).alias("open"))
-    lists = members.where(f"n <= {FEW}").groupBy("key").agg(F.collect_list(F.struct("doc", "linked")).alias("of"))
-    first = lists.select("of", F.explode("of").alias("x"))
+    small = groups.count() <= BROADCAST_ROWS
+    members = stored(keys.join(F.broadcast(groups) if small else groups, "key"), "members")
+    large = members.where(f"n > {few}")
+    meetings = members.groupBy("doc").agg(F.sum("n").alias("meetings"))
+    pivots = large.join(meetings, "doc").groupBy("key").agg(F.max_by("doc", F.struct("meetings", -F.col("doc"))).alias("pivot"))
+    star = large.join(pivots, "key").where("doc <> pivot").select("pivot", "doc", F.lit(True).alias("open"))
+    lists = members.where(f"n <= {few}").groupBy("key", "at", "sure").agg(F.collect_list(F.struct("doc", "linked", "added", "size")).alias("of"))
+    first = lists.select("at", "sure", "of", F.explode("of").alias("x"))
     others = F.filter("of", lambda y: (y["doc"] > F.col("x.doc")) & ~(y["linked"] & F.col("x.linked")))
-    every = first.select(F.col("x.doc").alias("pivot"), F.explode(others).alias("y")).select("pivot", F.col("y.doc").alias("doc"), F.lit(False).alias("open"))
+    every = first.select("at", "sure", "x", F.explode(others).alias("y"))
+    every = every.groupBy("at", F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc")).agg(F.bool_or("sure").alias("sure"), F.count("*").alias("common"), F.first(F.col("x.added") + F.col("y.added")).alias("added"), F.first(F.col("x.size") + F.col("y.size")).alias("size"))
+    if not large.where("not sure").isEmpty():  # keys with many documents count as common, too
+        beyond = large.where("not sure").groupBy("at", "doc").agg(F.count("*").alias("beyond"))
+        every = every.join(beyond, ["at", "doc"], "left").withColumn("common", F.col("common") + F.coalesce("beyond", F.lit(0)))
+    may = (F.col("common") >= LAP) | ((rule.den + rule.num) * (F.col("added") - 2 * F.col("common")) <= (rule.den - rule.num) * F.col("size"))
+    every = every.where(F.col("sure") | may).select("pivot", "doc", F.lit(False).alias("open"))
     return star.unionAll(every).groupBy("pivot", "doc").agg(F.bool_or("open").alias("open"))
 
 
@@ -235,7 +287,16 @@ def again(seen: DataFrame, rule: Rule) -> DataFrame:
     open_pivots = seen.groupBy("pivot").agg(F.bool_and("linked").alias("_all"), F.count("*").alias("n")).where("not _all and n > 1").select("pivot")
     rows = seen.join(open_pivots, "pivot", "left_semi")
     key = F.xxhash64("pivot", "e").alias("key")
-    added = rows.select("pivot", "doc", "linked", F.explode("added").alias("e")).select(key, "doc", "linked")
+
+    # A partner shares all but d of the added elements, so that the first d + LAP of them, in the order of
+    # codes, show LAP common ones or all that are needed.
+    d = F.floor(F.col("size") * (rule.den - rule.num) / rule.num)
+    prefix = F.slice("added", F.lit(1), F.greatest(F.lit(1), F.size("added") - F.greatest(F.lit(1), F.size("added") - d) + LAP).cast("int"))
+
+    def keyed(rows: DataFrame, elements: Column, sure: bool) -> DataFrame:
+        out = rows.select("pivot", "doc", "linked", F.size("added").alias("n_added"), "size", F.explode(elements).alias("e"))
+        return out.select(key, "doc", F.col("pivot").alias("at"), "linked", F.col("n_added").alias("added"), "size", F.lit(sure).alias("sure"))
+
     # Without a shared added element, only documents lacking the same elements can link, and only where the counts allow.
     cell = ["pivot", "size", "a", "r", "linked"]
     cells = rows.select("pivot", "size", F.size("added").alias("a"), F.size("removed").alias("r"), "linked").distinct()
@@ -243,8 +304,7 @@ def again(seen: DataFrame, rule: Rule) -> DataFrame:
     reach = (rule.den + rule.num) * (F.col("a") + F.col("a2") + F.abs(F.col("r") - F.col("r2"))) <= (rule.den - rule.num) * (F.col("size") + F.col("size2"))
     fit = cells.join(other, "pivot").where(reach & ~(F.col("linked") & F.col("linked2")) & (F.col("r") > 0) & (F.col("r2") > 0)).select(*cell).distinct()
     short = rows.withColumns({"a": F.size("added"), "r": F.size("removed")}).join(fit, cell, "left_semi")
-    removed = short.select("pivot", "doc", "linked", F.explode("removed").alias("e")).select(key, "doc", "linked")
-    return added.unionAll(removed)
+    return keyed(rows, prefix, False).unionAll(keyed(short, F.col("removed"), True))
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -259,24 +319,26 @@ def links(docs: DataFrame, digests: DataFrame, rule: Rule) -> DataFrame:
     copies = stored(digests.select("doc_id").distinct().join(representatives, "doc_id", "left_anti"), "copies")
     docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if has_repeats(digests) else docs.where(F.col("doc_id").isNotNull())
     docs = only(docs, copies, "left_anti")
-    pairs = stored(met(block_keys(docs, rule).withColumn("linked", F.lit(False))), "pairs")
+    pairs = stored(met(first_keys(docs, rule), FEW, rule), "pairs")
     members = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "members")
     sets = stored(shingle_sets(only(docs, members, "left_semi"), rule), "sets")
     found = pairs.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).limit(0)
-    for _ in range(PIVOTS):
+    for i in range(1, PIVOTS + 1):
         seen = stored(checked(pairs, sets, rule), "checked")
         found = found.unionAll(seen.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
         keys = stored(again(seen, rule), "keys")
         if keys.isEmpty():
             return found
-        pairs = stored(met(keys), "pairs")
+        if i < PIVOTS:
+            pairs = stored(met(keys, FEW_LATER, rule), "pairs")
     pairs = stored(rest(keys, components(found)), "rest")
     return found.unionAll(checked(pairs, sets, rule).where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
 
 
 def rest(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs that share a key and aren't in one component yet."""
-    named = keys.select("key", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("of"))
+    shared = keys.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.bool_and("linked").alias("_all")).where("x < y and not _all").select("key")
+    named = keys.join(shared, "key", "left_semi").select("key", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("of"))
     mixed_keys = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key")
     named = stored(named.join(mixed_keys, "key", "left_semi").distinct(), "open")
     other = named.select("key", F.col("doc").alias("doc2"), F.col("of").alias("of2"))
