@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back."""
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for what `stored` needs no longer than this block; deleted at its end."""
+    folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    yield folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """`df` written once as Parquet in the shared folder, or in a `workspace`, and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,13 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, stored, table, workspace
 
 #: Ids or block keys known to be at most this many are broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -187,23 +188,36 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8))
 
 
+def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, size, sketch): the size of each document's set and its parity sketch as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, row = [], []
+            for value in batch.column(1):
+                codes = shingles(value.as_py(), rule.words)
+                size.append(len(codes))
+                row.append(sketch(codes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(row, pa.binary())], names=["doc", "size", "sketch"])
+
+    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary")
+
+
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, size, sketch, codes): each document's sorted codes and their parity sketch as bytes."""
+    """(doc, codes): each document's sorted codes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [shingles(v.as_py(), rule.words) for v in batch.column(1)]
-            columns = [pa.array([len(c) for c in codes], pa.int64()), pa.array([sketch(c).tobytes() for c in codes], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "size", "sketch", "codes"])
+            codes = pa.array([shingles(v.as_py(), rule.words).tobytes() for v in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["doc", "codes"])
 
-    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary, codes binary")
+    return _rows(docs).mapInArrow(run, "doc long, codes binary")
 
 
-def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that are `open` or that their sketches' Hamming distance lets link."""
-    small = sets.select("doc", "size", "sketch")
-    other = sets.select(F.col("doc").alias("pivot"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    both = pairs.join(small, "doc").join(other, "pivot").select("pivot", "doc", "open", "size", "size2", "sketch", "sketch2")
+def sifted(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that are `open` or that the Hamming distance of their `sketches` lets link."""
+    other = marks.select(F.col("doc").alias("pivot"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+    both = pairs.join(marks, "doc").join(other, "pivot").select("pivot", "doc", "open", "size", "size2", "sketch", "sketch2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,10 +234,9 @@ def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """For those pairs (pivot, doc, open) that sketches don't rule out: sizes, whether they link, and, where `open`, the
-    elements that only the document (`added`) or only the pivot (`removed`) has."""
-    pairs, sets_ = stored(sifted(pairs, sets, rule), "sifted"), sets.select("doc", "codes")
-    both = pairs.join(sets_, "doc").join(sets_.select(F.col("doc").alias("pivot"), F.col("codes").alias("pivot_codes")), "pivot").select("pivot", "doc", "codes", "pivot_codes", "open")
+    """For pairs (pivot, doc, open): the document's size, whether they link, and, where `open`, the elements that only the
+    document (`added`) or only the pivot (`removed`) has."""
+    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("pivot"), F.col("codes").alias("pivot_codes")), "pivot").select("pivot", "doc", "codes", "pivot_codes", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,28 +255,26 @@ def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "pivot long, doc long, open boolean, size long, linked boolean, added array<long>, removed array<long>")
 
 
-def first_keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """`block_keys` in the form that `met` takes."""
-    nothing = {"at": F.lit(0).cast("long"), "linked": F.lit(False), "added": F.lit(0), "size": F.lit(0).cast("long"), "sure": F.lit(True)}
-    return block_keys(docs, rule).withColumns(nothing)
-
-
-def met(keys: DataFrame, few: int, rule: Rule) -> DataFrame:
+def met(keys: DataFrame, few: int, rule: Rule, folder: str) -> DataFrame:
     """Pairs (pivot, doc, open) of the documents that share a key and may link.
 
-    `keys` has (key, doc), the pivot `at` which the documents met before, if
-    any, whether they are `linked` to it, how many elements they `added` to
-    it, their `size`, and whether the key is `sure` to count. Documents that
+    `keys` has (key, doc), each once, and, if the documents met before, the
+    pivot `at` which they did, whether they are `linked` to it, how many
+    elements they `added` to it, their `size`, and whether the key is `sure`
+    to count. The result reads what this stores in `folder`. Documents that
     are linked already make no pairs among themselves. Of a key with up to
     `few` documents all pairs are made, less those that share too few of their
     added elements; with more, each with a pivot, and `open` says that others
     remain. The pivot is the document that meets others most often: it lies
     near the middle of its group.
     """
-    groups = keys.groupBy("key").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.bool_and("linked").alias("_all"), F.count("*").alias("n")).where("_first < _last and not _all").select("key", "n")
-    groups = stored(groups, "groups")
+    before = "at" in keys.columns
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), *([F.bool_and("linked").alias("_all")] if before else []))
+    groups = stored(groups.where("n > 1 and not _all" if before else "n > 1").select("key", "n"), "groups", folder)
     small = groups.count() <= BROADCAST_ROWS
-    members = stored(keys.join(F.broadcast(groups) if small else groups, "key"), "members")
+    members = stored(keys.join(F.broadcast(groups) if small else groups, "key"), "members", folder)
+    if not before:
+        members = members.withColumns({"at": F.lit(0).cast("long"), "linked": F.lit(False), "added": F.lit(0), "size": F.lit(0).cast("long"), "sure": F.lit(True)})
     large = members.where(f"n > {few}")
     meetings = members.groupBy("doc").agg(F.sum("n").alias("meetings"))
     pivots = large.join(meetings, "doc").groupBy("key").agg(F.max_by("doc", F.struct("meetings", -F.col("doc"))).alias("pivot"))
@@ -315,32 +326,48 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def links(docs: DataFrame, digests: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that connect exactly the documents which links of `rule`
     connect, among one document for each different set."""
+    spark = docs.sparkSession
     representatives = digests.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     copies = stored(digests.select("doc_id").distinct().join(representatives, "doc_id", "left_anti"), "copies")
     docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if has_repeats(digests) else docs.where(F.col("doc_id").isNotNull())
     docs = only(docs, copies, "left_anti")
-    pairs = stored(met(first_keys(docs, rule), FEW, rule), "pairs")
-    members = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "members")
-    sets = stored(shingle_sets(only(docs, members, "left_semi"), rule), "sets")
-    found = pairs.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).limit(0)
-    for i in range(1, PIVOTS + 1):
-        seen = stored(checked(pairs, sets, rule), "checked")
-        found = found.unionAll(seen.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-        keys = stored(again(seen, rule), "keys")
-        if keys.isEmpty():
-            return found
-        if i < PIVOTS:
-            pairs = stored(met(keys, FEW_LATER, rule), "pairs")
-    pairs = stored(rest(keys, components(found)), "rest")
-    return found.unionAll(checked(pairs, sets, rule).where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-
-
-def rest(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that share a key and aren't in one component yet."""
+    with workspace(spark) as all_rounds:
+        with workspace(spark) as first:
+            pairs = stored(met(block_keys(docs, rule), FEW, rule, first), "pairs", all_rounds)
+        marks = stored(sketches(only(docs, named_in(pairs, all_rounds), "left_semi"), rule), "sketches", all_rounds)
+        pairs = stored(sifted(pairs, marks, rule), "sifted", all_rounds)
+        sets = stored(shingle_sets(only(docs, named_in(pairs, all_rounds), "left_semi"), rule), "sets", all_rounds)  # later pairs are of these, too
+        found = []
+        for i in range(1, PIVOTS + 1):
+            with workspace(spark) as this:
+                seen = stored(checked(pairs, sets, rule), "checked", this)
+                found.append(stored(linked(seen), "links"))
+                keys = stored(again(seen, rule), "keys", all_rounds)
+                if keys.isEmpty():
+                    return reduce(DataFrame.unionAll, found)
+                if i < PIVOTS:
+                    pairs = stored(sifted(met(keys, FEW_LATER, rule, this), marks, rule), "sifted", all_rounds)
+        pairs = stored(rest(keys, components(reduce(DataFrame.unionAll, found)), all_rounds), "rest", all_rounds)
+        pairs = stored(sifted(pairs, marks, rule), "sifted", all_rounds)
+        found.append(stored(linked(checked(pairs, sets, rule)), "links"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def linked(seen: DataFrame) -> DataFrame:
+    return seen.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+
+
+def named_in(pairs: DataFrame, folder: str) -> DataFrame:
+    """The ids in `pairs`."""
+    return stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "members", folder)
+
+
+def rest(keys: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """All pairs that share a key and aren't in one component yet; the result reads what this stores in `folder`."""
     shared = keys.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.bool_and("linked").alias("_all")).where("x < y and not _all").select("key")
     named = keys.join(shared, "key", "left_semi").select("key", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("of"))
     mixed_keys = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key")
-    named = stored(named.join(mixed_keys, "key", "left_semi").distinct(), "open")
+    named = stored(named.join(mixed_keys, "key", "left_semi").distinct(), "open", folder)
     other = named.select("key", F.col("doc").alias("doc2"), F.col("of").alias("of2"))
     pairs = named.join(other, "key").where("doc < doc2 and of <> of2").select(F.col("doc").alias("pivot"), F.col("doc2").alias("doc"))
     return pairs.distinct().withColumn("open", F.lit(False))
