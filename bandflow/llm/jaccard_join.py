@@ -13,7 +13,7 @@ more blocks than d + 1, and a document with no more empty blocks than that
 surplus leaves them out: it still agrees with every partner in a block that
 has elements. (If both have more empty blocks, both emit them.)
 
-Documents that meet are verified exactly against the smallest of them, their
+Where many documents meet, they are verified exactly against one of them, their
 pivot, not pair by pair. What remains is exact, too: two documents that met at
 pivot p and are not both linked to it can link only if they share an element
 that p lacks, or one of p's elements that both lack and then only where the
