@@ -1,16 +1,21 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication by common blocks of lines.
 
-Documents that share a line hash are paired through the line's earliest
-document, so that a line in n documents makes n - 1 pairs. A pair's shared
-lines are aligned by patience diff: lines that are unique on both sides are
-anchors, the longest run of anchors that ascends on both sides is kept, and
-between anchors equal neighbours extend it to blocks. Aligned blocks are
-deleted from the later document; the earlier one keeps them.
+A block is a run of consecutive lines that stands, in the same order, in two
+documents. Every block of at least `min_words` words that a document shares
+with any earlier one is deleted from it; the earliest one keeps it. This is
+what aligning a document with each earlier one comes to when the alignment is
+repeated on what is left until no block is found: lines repeated on either
+side, blocks in another order and blocks of frequent lines only are found too.
 
-Lines are compared without surrounding white space; blank lines are never
-anchors. A block counts if it has at least `min_words` words. A line is rare
-as long as it isn't repeated within its own document; lines repeated there
-never anchor but may extend a block.
+Documents are not paired for it. A line lies in a common block of enough words
+just if it lies in a common one that would fall short without its last line,
+or without its first. `windows` lists these least blocks of every document, at
+most two for each line, and a block's hash is looked up in the earliest
+document that holds it, so the work grows with the lines and not with the
+pairs of documents.
+
+Lines are compared without surrounding white space; blank lines end a block.
+Lines and blocks are compared by 64-bit hashes.
 
 Defined results: null text stays null and empty text empty; rows with
 equal ids count as one document and lose the same line positions; a document whose lines are
@@ -24,6 +29,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,72 +60,65 @@ def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(shared: list[tuple[int, int, bool, int]], min_words: int) -> list[int]:
-    """Positions of the later document to delete.
+def windows(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of the least blocks of `min_words` words.
 
-    `shared` holds (later position, earlier position, unique on both sides,
-    words). Anchors are extended over shared neighbours; a block is a run of
-    consecutive later positions whose earlier positions are consecutive too.
+    `hashes` (unsigned, 64 bits) and `words` are those of all lines of some
+    documents in a row, `starts` the first line of each; blank lines have 0 words.
     """
-    words = {p: w for p, _, _, w in shared}
-    where: dict[int, set[int]] = {}
-    for p, q, _, _ in shared:
-        where.setdefault(p, set()).add(q)
-    match = dict(ascending(sorted((p, q) for p, q, unique, _ in shared if unique)))
-    kept = sorted(match)
-    for step, order in ((1, kept), (-1, kept[::-1])):
-        for p in order:
-            p, q = p + step, match[p] + step
-            while p not in match and q in where.get(p, ()):
-                match[p] = q
-                p, q = p + step, q + step
-    out, block = [], []
-    for p in sorted(match):
-        if block and (p != block[-1] + 1 or match[p] != match[block[-1]] + 1):
-            if sum(words[x] for x in block) >= min_words:
-                out += block
-            block = []
-        block.append(p)
-    if block and sum(words[x] for x in block) >= min_words:
-        out += block
-    return out
+    n = len(words)
+    at = np.arange(n)
+    opens = words == 0
+    opens[1:] |= words[:-1] == 0
+    opens[starts[starts < n]] = True
+    opens[:1] = True
+    firsts = np.flatnonzero(opens)
+    run = np.cumsum(opens) - 1
+    total = np.concatenate(([0], np.cumsum(words)))
+    end = np.searchsorted(total, total[:-1] + max(1, min_words), "left")  # the least block from each line on
+    good = end <= np.append(firsts[1:], n)[run]
+    begin = np.searchsorted(total, total[1:] - max(1, min_words), "right") - 1  # and up to each line
+    also = begin >= firsts[run]
+    also[also] &= ~(good[begin[also]] & (end[begin[also]] == at[also] + 1))
+    first, after = np.concatenate((at[good], begin[also])), np.concatenate((end[good], at[also] + 1))
+    size = after - first
+    key = size.astype(np.uint64)
+    for k in range(int(size.max(initial=0))):
+        there = np.flatnonzero(size > k)
+        x = (key[there] ^ hashes[first[there] + k]) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        key[there] = x ^ (x >> np.uint64(31))
+    return first, after, key
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, cut): the line positions that alignment deletes from each document."""
-    trimmed = F.trim(F.col("line"))
-    lines = (
-        docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-        .where(trimmed != "")
-        .select("doc_id", "pos", F.xxhash64(trimmed).alias("h"), (F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).alias("words"))
-    )
-    # A line of one document only never aligns; the aggregate leaves a row for each hash and task.
-    first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    shared = stored(lines.join(first, "h"), "lines")
-    inside = shared.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min("pos").alias("pos"), F.min("first").alias("first"))
-    early = shared.where("doc_id = first").select("h", F.col("first").alias("other"), F.col("pos").alias("other_pos"))
-    early = early.join(inside.where("doc_id = first").select("h", F.col("times").alias("other_times")), "h")
-    # The earlier side of a line that it repeats: its first place is enough to extend a block from.
-    early = early.groupBy("h", "other").agg(F.min("other_pos").alias("other_pos"), F.first("other_times").alias("other_times"))
-    late = shared.where("doc_id > first").join(inside.select("doc_id", "h", "times"), ["doc_id", "h"])
-    pairs = late.join(early, "h").select("doc_id", "other", F.struct("pos", "other_pos", ((F.col("times") == 1) & (F.col("other_times") == 1)).alias("unique"), "words").alias("x"))
-    # At most the lines of one document in a group.
-    grouped = pairs.groupBy("doc_id", "other").agg(F.collect_list("x").alias("shared"))
+    """(doc_id, cut): the line positions that are deleted from each document."""
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x))
+    hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    words = F.transform(lines, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("h"), words.alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rows in batch.column(1).to_pylist():
-                out.append(aligned([(r["pos"], r["other_pos"], r["unique"], r["words"]) for r in rows], min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "cut"])
-
-    cuts = grouped.select("doc_id", "shared").mapInArrow(run, "doc_id long, cut array<int>").where("size(cut) > 0")
-    return cuts.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+            h = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            w = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))))
+            first, after, key = windows(h, w, starts[:-1], min_words)
+            of = np.searchsorted(starts, first, "right") - 1
+            columns = [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(of)), pa.array((first - starts[of]).astype(np.int32)), pa.array((after - starts[of]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "start", "end"])
+
+    blocks = rows.mapInArrow(run, "key long, doc_id long, start int, end int")
+    # A block of one document only is never deleted; the aggregate leaves a row for each hash and task.
+    first = blocks.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    late = blocks.join(first, "key").where("doc_id > first").select("doc_id", F.struct("start", "end").alias("x"))
+    # At most the blocks of one document in a group.
+    return late.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.transform(F.collect_list("x"), lambda x: F.sequence(x["start"], x["end"] - 1)))).alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with aligned blocks deleted from later documents, and `n_lines_cut`."""
+    """`docs` with common blocks deleted from later documents, and `n_lines_cut`."""
     cuts = stored(deletions(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("cut").alias("_cut")), "cuts")
     out = docs.join(cuts.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains("_cut", i)), "\n")

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import urllib.parse
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,48 @@ def test_lines_aligned(spark):
     assert linededup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def cut_by_brute_force(texts, least):
+    """Lines of every common run with any earlier document, all pairs of places compared."""
+    out = []
+    for i, text in enumerate(texts):
+        a, cut = [x.strip(" ") for x in text.split("\n")], set()
+        for other in texts[:i]:
+            b = [x.strip(" ") for x in other.split("\n")]
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] and a[p + n] == b[q + n]:
+                        n += 1
+                    if sum(len(x.split(" ")) for x in a[p : p + n]) >= least:
+                        cut |= set(range(p, p + n))
+        out.append("\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut))
+    return out
+
+
+def deduplicated(spark, texts):
+    return [r["text"] for r in linededup.dedup_lines(docs(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_repeated_passages_go(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{p}\nfoo\n{p}", f"a\n{p}\nb", f"c\n{p}\nd\n{p}\ne", p]
+    assert deduplicated(spark, texts) == [texts[0], "a\nb", "c\nd\ne", ""] == cut_by_brute_force(texts, 8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=14), max_size=4), st.integers(1, 12))
+def test_least_blocks_cover_common_runs(rows, least):
+    """`windows` against all pairs of places, with repeats and blank lines (0 words) on every side."""
+    texts = ["\n".join(" ".join(f"{x}w" for _ in range(x)) for x in row) for row in rows if row]
+    lines = [x for t in texts for x in t.split("\n")]
+    starts = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
+    first, after, key = linededup.windows(np.array([len(x) for x in lines], np.uint64), np.array([len(x.split()) for x in lines], np.int64), starts[:-1], least)
+    doc = np.searchsorted(starts, first, "right") - 1
+    cut = {p for s, e, k, d in zip(first, after, key, doc, strict=True) if doc[key == k].min() < d for p in range(s, e)}
+    got = ["\n".join(lines[p] for p in range(starts[i], starts[i + 1]) if p not in cut) for i in range(len(texts))]
+    assert got == cut_by_brute_force(texts, least)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=40, unique=True))
 def test_longest_ascent(values):
