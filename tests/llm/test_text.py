@@ -132,6 +132,16 @@ def test_repeated_passages_go(spark):
     assert deduplicated(spark, texts) == [texts[0], "a\nb", "c\nd\ne", ""] == cut_by_brute_force(texts, 8)
 
 
+def test_blocks_of_documents_that_are_not_the_first(spark):
+    a, b = "a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6"
+    long_a, long_b = f"{a} a7 a8 a9", f"{b} b7 b8 b9"
+    heads = [f"h{i}\nx y" for i in range(5)]
+    texts = [f"q\nx\nr\n{b}\ns\n{long_b}", f"1\n{a}\nx\n{b}\n2", f"3\n{a}\nx\n{b}\n4", f"5\n{long_a}\nx\n{long_b}\n6", f"7\n{long_a}\nx\n{long_b}\n8"]
+    texts += ["\n".join(heads), "\n".join(reversed(heads)), "x y\nh1\nx y\nh2\nx y\nh4"]
+    want = [texts[0], texts[1], "3\n4", f"5\n{long_a}\nx\n6", "7\n8", texts[5], texts[6], "h4"]
+    assert deduplicated(spark, texts) == want == cut_by_brute_force(texts, 8)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=14), max_size=4), st.integers(1, 12))
 def test_least_blocks_cover_common_runs(rows, least):
