@@ -1,11 +1,14 @@
 """Document fingerprints of closed syncmers, with DataFrame functions only.
 
-A text is a row of words (runs without white space). Of its k-word windows
+A text is a row of words (runs without white space); a word of more than
+`LONG` characters, such as a blob or text of a script without spaces, stands
+for the row of its overlapping `GRAM`-character parts, so that windows over it
+are character k-mers. Of the text's k-word windows
 those are chosen whose minimal inner s-word part, by hash, comes first or
 last in the window. Whether a window is chosen depends on nothing outside it,
 so the same passage is anchored alike wherever it stands. A fingerprint is
 the hashes of the chosen windows in text order, each once; a text of fewer
-than k words has one anchor, the hash of all its words; null, empty and blank
+than k words or without a chosen window has one anchor, the hash of all its words; null, empty and blank
 texts have none. The likeness of two fingerprints is the share of anchors they
 have in common, 2 * common / (both counts), and 1 for two empty ones.
 
@@ -27,6 +30,8 @@ from .common import cut, table
 
 #: Words in a window, and in the inner part that decides.
 K, S = 5, 1
+#: Characters from which on a word is split, and in the parts that it is split into.
+LONG, GRAM = 16, 4
 #: Documents in one stretch of the order of ids.
 STRETCH_ROWS = 1024
 #: Stretches known to at most this many rows (24 bytes each) are broadcast; more are joined by shuffle.
@@ -34,10 +39,24 @@ BROADCAST_STRETCHES = 200_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """`df` with the array column `out` of the hashes of the words of column `text`, long ones in parts."""
+    raw = f"{out}_raw"
+
+    def parts(w: Column) -> Column:
+        of = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.hash(*(F.get(c, i + j) for j in range(GRAM))))
+        return F.get(F.transform(F.array(F.split(w, "")), lambda c: of(c)), F.lit(0))  # characters are split off once a word
+
+    long = lambda w: F.length(w) > LONG
+    df = df.withColumn(raw, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS), lambda w: w != ""))
+    split = F.flatten(F.transform(raw, lambda w: F.when(long(w), parts(w)).otherwise(F.array(F.hash(w)))))
+    return df.withColumn(out, F.when(F.exists(raw, long), split).otherwise(F.transform(raw, lambda w: F.hash(w)))).drop(raw)
+
+
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """`df` with the array column `out` of the anchors of column `text`, in text order, each once."""
     words, parts = f"_{out}_words", f"_{out}_parts"
-    df = df.withColumn(words, F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS), lambda w: w != ""), lambda w: F.hash(w)))
+    df = with_words(df, text, words)
     inner = F.col(words)
     if s > 1:
         at = lambda i, j: F.get(F.col(words), i + j)
@@ -52,13 +71,13 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
     many = F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - k), chosen), lambda x: x.isNotNull())
     few = F.when(F.size(words) > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(F.size(words) >= k, F.array_distinct(many)).otherwise(few)).drop(words, parts)
+    df = df.withColumn(out, F.when(F.size(words) >= k, F.array_distinct(many)).otherwise(F.array().cast("array<int>")))
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(few)).drop(words, parts)
 
 
 def anchor_positions(df: DataFrame, text: str, k: int = K) -> DataFrame:
     """(doc_id, anchor, position): where the anchors of each text stand, for positional matching."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS), lambda w: w != "")
-    df = df.withColumn("_w", F.transform(words, lambda w: F.hash(w)))
+    df = with_words(df, text, "_w")
 
     def chosen(i: Column) -> Column:
         row = [F.get(F.col("_w"), i + j) for j in range(k)]

@@ -174,6 +174,21 @@ def test_syncmers_are_closed_and_context_free(spark):
     assert set(joined.position_y - joined.position_x) == {2}
 
 
+def test_short_and_unspaced_texts_have_anchors(spark, tmp_path):
+    r = random.Random(5)
+    short = [" ".join("".join(r.choices("etaoinshr", k=6)) for _ in range(n)) for n in (5, 6, 7) for _ in range(40)]
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (400, 900)] + ["".join(r.choices("0123456789abcdef", k=3000))] + short
+    texts = [texts[0], short[0], texts[1], short[1], texts[2], *short[2:], "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in syncmers.op10_syncmers(spark, str(tmp_path)).collect()}
+    assert [i for i, x in got.items() if not x["fingerprint"]] == [i for i in got if not texts[i]]
+    assert all(x["near_next"] == 0 for i, x in got.items() if texts[i])
+    assert all(got[i]["near_edited"] > 0.5 and len(got[i]["fingerprint"].split()) > len(texts[i]) / 5 for i in (0, 2, 4))
+    long = ["x" + texts[0][20:200], texts[0][50:120]]
+    a, b = (set(x["a"]) for x in syncmers.with_anchors(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), "text", "a").orderBy("doc_id").collect())
+    assert b <= a and len(b) > 10
+
+
 def test_archive(spark, tmp_path):
     rows = [(1, "u\n x", "<a>"), (2, "u", "<a>"), (3, None, None), (4, "é", ""), (5, "z", "é"), (None, "z", "é"), (5, "y", "é")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
