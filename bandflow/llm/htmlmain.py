@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Comments, declarations and tags. Quotes count after an equals sign; possessive repeats keep broken tags linear.
-QUOTED = r"""=\s*+(?:"(?:[^"<]*+"|[^"]{0,1000}")|'(?:[^'<]*+'|[^']{0,1000}'))"""
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"'=]++|""" + QUOTED + r"""|["'=])*+)>""", re.DOTALL)
+#: What may stand between the quoted values of a tag. Quotes count after an equals sign; possessive repeats keep broken tags linear.
+BETWEEN = r"""[^<>"'=]++|=(?!\s*["'])|["']"""
+#: Comments, declarations and tags. A tag's last group is empty where a quoted value needs `tag_end`.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:""" + BETWEEN + r"""|=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+)(>?)""", re.DOTALL)
+OUTSIDE = re.compile(f"(?:{BETWEEN})*+")
+OPENING = re.compile(r"""=\s*+(["'])""")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -98,18 +101,48 @@ def described(tag: str, attributes: str) -> tuple[tuple[str, ...], str, bool]:
     else:
         kind = "plain" if tag in ("div", "section", "ul", "ol", "table", "tbody", "tr", "dl", "td") else "block"
     out = ((f"tag {tag}", *(f"hint {h}" for h in sorted(hints))), kind, gold)
-    if len(_described) < 20_000:
+    if len(_described) < 20_000 and len(attributes) < 1000:
         _described[key] = out
     return out
 
 
+def tag_end(page: str, at: int, last: dict[str, int], failed: set[int]) -> int:
+    """Where the tag whose attributes begin at `at` is closed, or -1 if a '<' or the page's end comes first.
+
+    A quoted value goes up to the next such quote, however far; without one
+    its quote is a plain character. `last` keeps the page's last quotes and
+    `failed` the ends of values after which no tag is closed, so that all
+    calls for a page together take linear time.
+    """
+    passed = []
+    while True:
+        at = OUTSIDE.match(page, at).end()
+        if page[at : at + 1] == ">":
+            return at
+        opening = OPENING.match(page, at)
+        if not opening:
+            break
+        quote, at = opening[1], opening.end()
+        if quote not in last:
+            last[quote] = page.rfind(quote)
+        if at <= last[quote]:
+            at = page.find(quote, at) + 1
+            if at in failed:
+                break
+            passed.append(at)
+    failed.update(passed)
+    return -1
+
+
 def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes of a page, parents first, and its text runs as (node, text) in page order."""
     nodes = [Node("#page", -1, ("tag #page",), "root", False)]
     runs: list[tuple[int, str]] = []
     stack, buffer = [0], []
     opened: Counter[str] = Counter()
-    link, skipping, at = False, "", 0
+    link, skipping, at, look = False, "", 0, 0
+    last: dict[str, int] = {}
+    failed: set[int] = set()
 
     def flush() -> None:
         if buffer:
@@ -138,20 +171,24 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if open_tag in within:
                 return
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(page, look):
+        tag, attributes, end = m[2], m[3], m.end()
+        if tag is not None and not m[4]:
+            end = tag_end(page, m.end(2), last, failed) + 1
+            if not end:
+                look = m.start() + 1
+                continue
+            attributes = page[m.end(2) : end - 1]
         if not skipping and m.start() > at:
             keep(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        at = look = end
         if tag is None:
             continue
         tag, closing = tag.lower(), m[1] == "/"
         if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else (len(page) if tag in ("script", "style") else at)
+                at = look = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -174,10 +211,10 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close("dd" if tag == "dt" else "dt", SAME[tag])
         if tag in VOID:
             continue
-        fixed, kind, gold = described(tag, m[3])
+        fixed, kind, gold = described(tag, attributes)
         nodes[stack[-1]].children += 1
         nodes.append(Node(tag, stack[-1], fixed, kind, gold))
-        if not m[3].endswith("/"):
+        if not attributes.endswith("/"):
             stack.append(len(nodes) - 1)
             opened[tag] += 1
     if at < len(page):

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 import urllib.parse
 
 import numpy as np
@@ -181,6 +182,24 @@ def test_html(spark):
     assert htmlmain.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_long_quoted_attributes(quote):
+    value = "<p>markup > in a value</p>" * 200
+    page = f"<article><p>first words</p><div data-x={quote}{value}{quote} class=ad><p>buy this</p></div><p>last words</p></article>"
+    nodes, runs = htmlmain.parsed(page)
+    assert [(nodes[i].tag, t) for i, t in runs] == [("p", "first words"), ("p", "buy this"), ("p", "last words")]
+    assert [(x.tag, x.kind) for x in nodes[1:]] == [("article", "main"), ("p", "block"), ("div", "bad"), ("p", "block"), ("p", "block")]
+    lone = f"<p title={quote}>a</p><p>b <i c</p>"  # no second quote: a plain character
+    assert [t for _, t in htmlmain.parsed(lone)[1]] == ["a", "b <i c"]
+
+
+@pytest.mark.parametrize("piece", ['<a ="<a "', """<a b="<a c='""", '<a b="', "<a b='x\"", '<a b= "<'])
+def test_html_broken_tags_are_linear(piece):
+    start = time.process_time()
+    htmlmain.parsed(piece * 40_000)
+    assert time.process_time() - start < 5
+
+
 def test_html_marginals_are_exact():
     """Against the sum over all labellings of a small tree."""
     from itertools import product
