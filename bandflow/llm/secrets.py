@@ -19,13 +19,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,13 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Expanded bytes of one document beyond which `complete` turns false: a guard against decompression bombs.
+#: Expanded bytes of one layer beyond which it is scanned as a stream, in pieces that end between tokens. Only a
+#: single token longer than this is cut, and `complete` turns false.
 MAX_EXPANDED = 64 << 20
+#: Bytes inflated at once.
+STEP = 1 << 20
+#: What no finding and no encoded run goes across: a character outside of tokens.
+BETWEEN = re.compile(r"[^A-Za-z0-9+/_=%\\\x20\r\n.:\"'-]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])")
 
 Span = tuple[int, int]
 
@@ -182,28 +189,99 @@ def from_base64(blob: str) -> bytes | None:
         return None
 
 
-def inflated(data: bytes, most: int) -> tuple[bytes | None, bool]:
-    """Decompressed `data` if it is a compressed stream, and whether that is all of it."""
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor)):
-        if data.startswith(magic):
-            try:
+BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor))
+
+
+class Inflated:
+    """Decompressed pieces of compressed `parts`, member by member; `whole` tells in the end whether that was all."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.whole = iter(parts), False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, machine = next(self.parts, b""), None
+        while data is not None:
+            if machine is None:
+                while len(data) < 6 and (more := next(self.parts, None)) is not None:
+                    data += more
+                make = next((make for magic, make in MAGIC if data.startswith(magic)), None)
+                if make is None:
+                    self.whole = not data.strip(b"\0")  # padding at most
+                    return
                 machine = make()
-                out = machine.decompress(data, most)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                return None, True
-            return out, machine.eof or len(out) < most
-    return None, True
+            try:
+                out = machine.decompress(data, STEP)
+            except BROKEN:
+                return
+            if out:
+                yield out
+            if machine.eof:
+                data, machine = machine.unused_data or next(self.parts, None), None
+                if data is None:
+                    self.whole = True
+            else:
+                data = getattr(machine, "unconsumed_tail", b"")
+                if not data and not (len(out) == STEP if hasattr(machine, "unconsumed_tail") else not machine.needs_input):
+                    data = next(self.parts, None)
+
+
+def scan_stream(parts: Iterator[bytes], span: Span, found: set[tuple[int, int, str]]) -> bool:
+    """Scans inflated `parts` without holding them; whether all was seen."""
+    head = next(parts, b"")
+    if readable(head[: STEP // 2].decode("utf-8", "ignore").encode()) is None or any(head.startswith(m) for m, _ in MAGIC if m != b"x"):
+        inner = Inflated(chain([head], parts))
+        first = next(pieces := iter(inner), None)
+        if first is None:
+            deque(parts, 0)  # neither text nor compressed
+            return True
+        return scan_stream(chain([first], pieces), span, found) and inner.whole
+    decoder, inside, held, size, odd, whole = codecs.getincrementaldecoder("utf-8")(), set(), "", 0, 0, True
+
+    def look(text: str) -> None:
+        nonlocal whole
+        whole &= explore(Layer.inside(text, span), inside)
 
+    try:
+        for part in chain([head], parts, [b""]):
+            text = decoder.decode(part, final=not part)
+            size += len(text)
+            odd += sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
+            held += text
+            if len(held) < 8 * STEP and part:
+                continue
+            tail = held[-STEP:]
+            cut = max((m.end() for m in BETWEEN.finditer(tail)), default=0)
+            cut = cut or max((m.end() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])\r?\n", tail)), default=0)
+            if cut and part:
+                at = len(held) - len(tail) + cut
+                look(held[:at])
+                held = held[at:]
+            elif part and len(held) > MAX_EXPANDED:
+                look(held)
+                held, whole = held[-4096:], False
+    except UnicodeDecodeError:
+        return True  # not text: as with a small layer
+    if held:
+        look(held)
+    if odd * 20 <= size:
+        found |= inside
+        return whole
+    return True
+
+
+def settled(tried: list[tuple[int, int, bool | None]]) -> bool:
+    """Whether each run that was opened in part lies in one that was opened whole: a part of it, cut off."""
+    good = sorted((s, e) for s, e, whole in tried if whole)
+    ends = list(accumulate((e for _, e in good), max))
+    return all(whole is not False or (i := bisect_right(good, (s, len(good) and ends[-1]))) > 0 and ends[i - 1] >= e for s, e, whole in tried)
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
-    """(plain findings, all findings, whether every layer was opened whole)."""
-    base = base_matches(text)
-    if "%" not in text and "\\" not in text and not BASE64.search(text):
-        return base, base, True
-    found, left, complete = set(base), MAX_EXPANDED, True
-    first = Layer.whole(text)
-    seen = {(text, first.origins[0], first.origins[-1])}
-    work: deque[Layer] = deque([first])
+
+def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
+    """Adds the findings of a layer and of all below it; whether every layer was opened whole."""
+    complete = True
+    seen: set = set()
+    work: deque[Layer] = deque()
 
     def push(layer: Layer) -> None:
         key = (layer.text, layer.origins[0], layer.origins[-1])
@@ -211,25 +289,46 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             seen.add(key)
             work.append(layer)
 
+    def opened(data: bytes, span: Span) -> bool | None:
+        """Whether all of `data` was seen; None if it is neither text nor compressed."""
+        known, whole = None, True
+        while True:
+            plain = readable(data)
+            if plain is not None:
+                push(Layer.inside(plain, span))
+                return whole
+            stream = Inflated([data])
+            pieces, held, size = iter(stream), [], 0
+            for piece in pieces:
+                held.append(piece)
+                size += len(piece)
+                if size > MAX_EXPANDED:
+                    return scan_stream(chain(held, pieces), span, found) and stream.whole and whole
+            if not held:
+                return known
+            whole &= stream.whole
+            data, known = b"".join(held), whole
+
+    push(first)
     while work:
         layer = work.popleft()
-        if layer is not first:
-            found.update((*layer.place(s, e), kind) for s, e, kind in base_matches(layer.text))
+        found.update((*layer.place(s, e), kind) for s, e, kind in base_matches(layer.text))
         if "%" in layer.text and (pieces := percent_pieces(layer.text)):
             push(replaced(layer, pieces))
         if "\\" in layer.text and (pieces := unicode_pieces(layer.text)):
             push(replaced(layer, pieces))
-        for start, end, data in blobs(layer.text):
-            while data is not None:
-                plain = readable(data)
-                if plain is not None:
-                    push(Layer.inside(plain, layer.place(start, end)))
-                    break
-                data, whole = inflated(data, left + 1)
-                if data is not None:
-                    left -= len(data)
-                    if left < 0 or not whole:
-                        complete, data = False, None
+        tried = [(start, end, opened(data, layer.place(start, end))) for start, end, data in blobs(layer.text)]
+        complete &= settled(tried)
+    return complete
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
+    """(plain findings, all findings, whether every layer was opened whole)."""
+    base = base_matches(text)
+    if "%" not in text and "\\" not in text and not BASE64.search(text):
+        return base, base, True
+    found = set(base)
+    complete = explore(Layer.whole(text), found)
     order = sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return base, order, complete
 

@@ -95,6 +95,18 @@ def test_secret_twice_and_edges(spark):
     assert secrets.find_secrets(docs(spark, [SECRET])).first()["secrets"][0]["kind"] == "assign"
 
 
+def test_large_layers_are_scanned(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_EXPANDED", 3 << 20)
+    filler = "some words of prose, and more. " * 400_000
+    wrapped = lambda t, n=1: base64.b64encode(gzip.compress(t.encode(), 1) if n == 1 else gzip.compress(gzip.compress(t.encode(), 1), 1)).decode()
+    for text in (wrapped(filler + SECRET), wrapped(filler + SECRET, 2), wrapped(filler + wrapped(SECRET) + filler)):
+        later = wrapped("AKIA" + "B" * 16)
+        every, complete = secrets.scan(f"{text} {later}")[1:]
+        assert complete and (0, len(text), "assign") in every and (len(text) + 1, len(text) + 1 + len(later), "access") in every
+    edge = filler[: (8 << 20) - 9] + SECRET + filler
+    assert any(k == "assign" for _, _, k in secrets.scan(wrapped(edge))[1])
+
+
 def test_lines_aligned(spark):
     a, b, c = "one two three four five six seven eight nine", "b b2 b3 b4", "c c2 c3 c4 c5"
     texts = [f"s\n{a}\n{b}\n{c}\nend", f"t\n{a}\n{b}\n{c}\nfin", f"x\n{c}\n{b}\ny", None, "", f"{b}\n{c}", "short\nend"]
