@@ -43,6 +43,8 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Base64 lines over single line breaks; the last line may be short.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 #: Expanded bytes of one layer beyond which it is scanned as a stream, in pieces that end between tokens. Only a
 #: single token longer than this is cut, and `complete` turns false.
 MAX_EXPANDED = 64 << 20
@@ -168,7 +170,12 @@ def unicode_pieces(text: str) -> list[tuple[int, int, str]]:
 
 
 def blobs(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, bytes) of base64 runs, also of their parts between slashes."""
+    """(start, end, bytes) of base64 runs, also over line breaks, and of their parts between slashes."""
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            for start, end in wrapped(m[0]):
+                if (data := from_base64(m[0][start:end].replace("\r", "").replace("\n", ""))) is not None:
+                    yield m.start() + start, m.start() + end, data
     for m in BASE64.finditer(text):
         if (data := from_base64(m[0])) is not None:
             yield m.start(), m.end(), data
@@ -178,6 +185,23 @@ def blobs(text: str) -> Iterator[tuple[int, int, bytes]]:
                     yield m.start() + part.start(), m.start() + part.end(), data
 
 
+def wrapped(run: str) -> list[Span]:
+    """Spans of `run` to decode: the whole, and lines of one width with and without a shorter last one."""
+    lines = [m.span() for m in re.finditer(r"[^\r\n]+", run)]
+    out, i = {(0, len(run)): None}, 0
+    while i < len(lines):
+        width, j = lines[i][1] - lines[i][0], i + 1
+        while j < len(lines) and lines[j][1] - lines[j][0] == width:
+            j += 1
+        if width >= 16:
+            if j > i + 1:
+                out[lines[i][0], lines[j - 1][1]] = None
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                out[lines[i][0], lines[j][1]] = None
+        i = j
+    return list(out)
+
+
 def from_base64(blob: str) -> bytes | None:
     core = blob.rstrip("=")
     if len(core) % 4 == 1 or len(core) < 16:

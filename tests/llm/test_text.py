@@ -95,6 +95,20 @@ def test_secret_twice_and_edges(spark):
     assert secrets.find_secrets(docs(spark, [SECRET])).first()["secrets"][0]["kind"] == "assign"
 
 
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (20, "\n")])
+def test_wrapped_base64_and_members(width, end):
+    noise = hashlib.sha512(b"x").hexdigest()[:15] + " " + " ".join(hashlib.md5(bytes([i])).hexdigest()[:15] for i in range(40)) + " "
+    wrap = lambda b: end.join(t[i : i + width] for t in [base64.b64encode(b).decode()] for i in range(0, len(t), width))
+    packed = gzip.compress(noise.encode()) + gzip.compress(SECRET.encode())
+    for hidden in (wrap(b"12345 " + SECRET.encode() + b" 1"), wrap(gzip.compress((noise + SECRET).encode())), wrap(packed), base64.b64encode(packed).decode()):
+        for text in (f"mail:{end}{end}{hidden}{end}{end}end", f"-----{end}{hidden}{end}-----"):
+            _, every, complete = secrets.scan(text)
+            at = text.index(hidden)
+            assert complete and any(k == "assign" and s >= at and e <= at + len(hidden) for s, e, k in every)
+    cut = base64.b64encode(gzip.compress((noise + SECRET).encode())[:-40]).decode()
+    assert not secrets.scan(cut)[2]
+
+
 def test_large_layers_are_scanned(monkeypatch):
     monkeypatch.setattr(secrets, "MAX_EXPANDED", 3 << 20)
     filler = "some words of prose, and more. " * 400_000
