@@ -29,6 +29,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -362,21 +363,24 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
-    """`docs` with the column `out`: an array of (kind, start, end, layer_only).
+    """`docs` with the column `out`: an array of (kind, start, end, layer_only),
+    and `<out>_complete`: whether every layer was opened whole.
 
     `layer_only` is true for findings that only a decoded layer shows.
     """
 
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int,layer_only:boolean>>")
-    def spans(texts):
-        def one(value):
-            base, every, _ = scan(value or "")
+    @F.pandas_udf("found array<struct<kind:string,start:int,end:int,layer_only:boolean>>, complete boolean")
+    def spans(texts: pd.Series) -> pd.DataFrame:
+        found, wholes = [], []
+        for value in texts:
+            base, every, complete = scan(value or "")
             plain = set(base)
-            return [{"kind": k, "start": s, "end": e, "layer_only": (s, e, k) not in plain} for s, e, k in every]
+            found.append([{"kind": k, "start": s, "end": e, "layer_only": (s, e, k) not in plain} for s, e, k in every])
+            wholes.append(complete)
+        return pd.DataFrame({"found": found, "complete": wholes})
 
-        return texts.map(one)
-
-    return docs.withColumn(out, spans(F.col(text)))
+    rows = docs.withColumn("_scanned", spans(F.col(text)))
+    return rows.withColumn(out, F.col("_scanned.found")).withColumn(f"{out}_complete", F.col("_scanned.complete")).drop("_scanned")
 
 
 def digests(docs: DataFrame) -> DataFrame:

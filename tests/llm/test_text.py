@@ -121,6 +121,12 @@ def test_large_layers_are_scanned(monkeypatch):
     assert any(k == "assign" for _, _, k in secrets.scan(wrapped(edge))[1])
 
 
+def test_find_secrets_tells_what_is_cut_off(spark):
+    cut = base64.b64encode(gzip.compress(bytes(range(200)))[:-30]).decode()
+    rows = secrets.find_secrets(docs(spark, [SECRET, cut, None])).orderBy("doc_id").collect()
+    assert [r["secrets_complete"] for r in rows] == [True, False, True] and [len(r["secrets"]) for r in rows] == [2, 0, 0]
+
+
 def test_lines_aligned(spark):
     a, b, c = "one two three four five six seven eight nine", "b b2 b3 b4", "c c2 c3 c4 c5"
     texts = [f"s\n{a}\n{b}\n{c}\nend", f"t\n{a}\n{b}\n{c}\nfin", f"x\n{c}\n{b}\ny", None, "", f"{b}\n{c}", "short\nend"]
