@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that `salted_join` may deal over several tasks, and rows up to which a key never needs it.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table `name` below `sf_dir`, read by Spark's Parquet reader."""
@@ -50,6 +53,27 @@ def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, sizes: DataFrame) -> DataFrame:
+    """`many` joined with `one`, which has one row for each `key`, so that no task gets all rows of a frequent key.
+
+    `sizes(key, count)` tells the rows of `many` by key. A key with more than
+    one in `HOT_KEYS` of all rows (and more than `HOT_ROWS`) is dealt over
+    several tasks by the column `spread`, with a copy of its row of `one` in
+    each. At most `HOT_KEYS` keys can be so frequent, so their list can be
+    broadcast at any size.
+    """
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("count").alias("_rows"))
+    limit = max(HOT_ROWS, (sizes.agg(F.sum("_rows")).first()[0] or 0) // HOT_KEYS)
+    hot = cut(sizes.where(F.col("_rows") > limit).select("_key", F.ceil(F.col("_rows") / limit).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return many.join(one, key)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_key", "_salts")
+    right = one.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_key", "_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph `edges(a, b)` of longs.
 

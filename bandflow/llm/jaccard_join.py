@@ -5,21 +5,21 @@ each shingle code, whether it occurred an odd number of times; this parity
 vector is held as the XOR of its codes. Two documents' sketches differ in at
 most as many bits, so in at most as many blocks, as their sets have elements
 apart. Documents that link at similarity t differ in at most
-d = (1 - t) / t * size elements, so among more than d blocks one agrees:
+d = (1 - t) / t * size elements. So at most d of their blocks differ, and
 documents of a size band meet on equal blocks.
 
-Blocks without elements would make strangers meet. A band therefore has some
-more blocks than d + 1, and a document with no more empty blocks than that
-surplus leaves them out: it still agrees with every partner in a block that
-has elements. (If both have more empty blocks, both emit them.)
+All blocks have one order, rare shingles first, empty blocks last, and a
+document emits the first d + 1 of its own. Of the blocks that two linking
+documents have in common, the first in that order is among those of both, as
+at most d others can come before it. Passages that many documents share stand
+last, so they make strangers meet only where there is hardly anything else.
+`Frequent` only sets the order; a wrong count costs time and no pair.
 
 Where many documents meet, they are verified exactly against one of them, their
-pivot, not pair by pair. What remains is exact, too: two documents that met at
-pivot p and are not both linked to it can link only if they share an element
-that p lacks, or one of p's elements that both lack and then only where the
-counts allow it. So the members meet again on those elements, without p, and
-the next round takes another pivot. Documents that still meet after two
-rounds and are in different components by then are verified pair by pair.
+pivot, not pair by pair. Components are contracted after each round, and the
+next one takes a pivot in the largest component of a key for the documents of
+its other components. What is in different components of a key after that is
+compared in chunks by sketches, and pairs which these let link are verified.
 
 Equal sets are one vertex throughout. Defined results: null, empty and blank
 texts have no shingles and link with nothing; shorter texts than a shingle are
@@ -39,18 +39,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, workspace
+from .common import components, salted_join, stored, table, workspace
 
 #: Ids or block keys known to be at most this many are broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Documents on one key, of which all pairs are verified, in the first and in later rounds; of more, pivots find the links.
-FEW, FEW_LATER = 16, 128
-#: Bits of the sketch by which pairs are sifted before their sets are fetched.
-SKETCH_BITS = 2048
-#: Common added elements that a pair's prefixes must show (or all that it needs, if fewer).
-LAP = 4
-#: Rounds of pivots before the pairs that are still open are verified one by one.
-PIVOTS = 2
+#: Documents on one key of which all pairs are looked at; of more, pivots find the links, then chunks of documents.
+FEW = 16
+#: Rounds of pivots, the last of which compares what is still in different components in chunks; documents of a chunk.
+STARS, CHUNK = 4, 2048
+#: Frequent shingles that are known to all tasks (9 bytes each); they only order the blocks, so that the bound costs no pair.
+FREQUENT = 1 << 18
+#: Shingles of a stretch of documents that are counted at once, least count in it, and most that are passed on from it.
+STRETCH_CODES, OFTEN, STRETCH_SHINGLES = 1 << 22, 4, 1 << 13
 #: Width of a size band: its largest size over its smallest.
 BAND = 1.5
 U = np.uint64
@@ -101,11 +101,19 @@ class Rule:
     words: int = 5
     num: int = 80
     den: int = 100
+    #: Least bits of a sketch; it has at least as many as its set has elements.
+    bits: int = 2048
+    #: A set is cut into slices of at most about twice as many codes when intersections are counted.
+    slice: int = 1024
 
     def apart(self, size: int) -> int:
         """Most elements by which a set of this size or larger can differ from a smaller or equal partner of at least this size."""
         return (self.den - self.num) * size // self.num
 
+    def slices(self, size: int) -> int:
+        """Into how many slices the codes of a set are cut."""
+        return 1 << len(f"{size // self.slice:b}") - 1
+
     def bands(self, most: int) -> list[int]:
         """First sizes of the bands, up to beyond `most`."""
         out = [1]
@@ -113,13 +121,14 @@ class Rule:
             out.append(max(out[-1] + 1, int(out[-1] * BAND)))
         return out
 
-    def keys(self, codes: np.ndarray) -> np.ndarray:
+    def keys(self, codes: np.ndarray, frequent: Frequent) -> np.ndarray:
         """Keys of the blocks on which the set meets its partners."""
         n, out = len(codes), []
         if not n:
             return codes
         bands = self.bands(n)
         own = len(bands) - 2
+        common = frequent.of(codes)
         for band in range(own, -1, -1):
             last = bands[band + 1] - 1
             if self.den * last < self.num * n:
@@ -127,18 +136,18 @@ class Rule:
             d = self.apart(last)
             if not d:
                 continue  # only equal sets would link
-            spare = 1 + d // 8
-            blocks = d + 1 + spare
+            blocks = 2 * last + 16
             at = ((codes >> U(20)) % U(blocks)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            at, row = at[order], codes[order]
+            at, row, rare = at[order], codes[order], common[order]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            parity, index = np.bitwise_xor.reduceat(row, first), at[first]
-            if blocks - len(index) > spare:
-                full = np.zeros(blocks, np.uint64)
-                full[index] = parity
-                parity, index = full, np.arange(blocks)
-            out.append(mixed(parity ^ mixed(U(band << 40) + index.astype(np.uint64))))
+            parity, index, rare = np.bitwise_xor.reduceat(row, first), at[first], np.minimum.reduceat(rare, first)
+            key = mixed(parity ^ mixed(U(band << 40) + index.astype(np.uint64)))
+            key = key[np.lexsort((key, rare))[: d + 1]]
+            if len(key) <= d:  # blocks without elements come last in the order
+                empty = np.setdiff1d(np.arange(blocks), index)[: d + 1 - len(key)]
+                key = np.concatenate((key, mixed(mixed(U(band << 40) + empty.astype(np.uint64)))))
+            out.append(key)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -146,10 +155,34 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+class Frequent:
+    """How frequent shingles are, as the bit length of their counts; others count as 0."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.levels = codes[order], np.frexp(counts[order].astype(np.float64))[1].astype(np.uint8)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(codes), np.uint8)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.levels[at], np.uint8(0))
+
+
 def set_digests(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): size and a 128-bit digest of each document's set."""
+    """One pass over all texts with two kinds of rows: (doc_id, n_shingles, h1, h2), size and a 128-bit digest of each
+    document's set; and (code, n), the shingles that many documents of one stretch of the input hold."""
+    names = ["doc_id", "n_shingles", "h1", "h2", "code", "n"]
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        codes, counts = np.unique(np.concatenate(sets), return_counts=True)
+        top = np.flatnonzero(counts >= OFTEN)
+        top = top[np.argsort(-counts[top], kind="stable")[:STRETCH_SHINGLES]]
+        nothing = pa.nulls(len(top), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(codes[top].view(np.int64)), pa.array(counts[top].astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [], 0
         for batch in batches:
             n, h1, h2 = [], [], []
             for value in batch.column(1):
@@ -157,19 +190,34 @@ def set_digests(docs: DataFrame, rule: Rule) -> DataFrame:
                 n.append(len(codes))
                 h1.append(int(np.bitwise_xor.reduce(codes, initial=0).view(np.int64)) if len(codes) else 0)
                 h2.append(int(mixed(codes ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(codes) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], names=["doc_id", "n_shingles", "h1", "h2"])
+                sets.append(codes)
+                size += len(codes)
+                if size > STRETCH_CODES:
+                    yield often(sets)
+                    sets, size = [], 0
+            nothing = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), nothing, nothing], names=names)
+        if sets:
+            yield often(sets)
+
+    return _rows(docs).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+def frequent_shingles(seen: DataFrame) -> Frequent:
+    """The most frequent shingles of all documents, at most `FREQUENT` of them, from the (code, n) rows of `set_digests`."""
+    top = seen.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    return Frequent(top["code"].to_numpy().view(np.uint64), top["n"].to_numpy())
 
 
-def block_keys(docs: DataFrame, rule: Rule) -> DataFrame:
+def block_keys(docs: DataFrame, rule: Rule, frequent: Frequent) -> DataFrame:
     """(key, doc) for each block on which a document meets its partners."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids, size = [], [], 0
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = rule.keys(shingles(value.as_py(), rule.words)).view(np.int64)
+                got = rule.keys(shingles(value.as_py(), rule.words), shared.value).view(np.int64)
                 keys.append(got)
                 ids.append(np.full(len(got), doc, np.int64))
                 size += len(got)
@@ -182,195 +230,192 @@ def block_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     return _rows(docs).mapInArrow(run, "key long, doc long")
 
 
-def sketch(codes: np.ndarray) -> np.ndarray:
+def sketch(codes: np.ndarray, least: int) -> np.ndarray:
     """Parities of the codes' bit positions: two sketches differ in at most as many bits as the sets have elements apart."""
-    counts = np.bincount((codes >> U(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
-    return np.packbits((counts & 1).astype(np.uint8))
+    bits = max(least, 1 << (len(codes) - 1).bit_length())
+    counts = np.bincount(((codes >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
 
 
-def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, size, sketch): the size of each document's set and its parity sketch as bytes."""
+def folded(rows: list[bytes]) -> np.ndarray:
+    """Sketches as one matrix; longer ones are folded to the length of the shortest, which keeps the bound."""
+    width = min(map(len, rows)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(r, U).reshape(-1, width), axis=0) for r in rows])
+
+
+def marked_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, size, sketch, slices, slice, codes): each document's parity sketch, in a row without codes, and its sorted codes
+    in slices by their first bits, cut as its partners may need them. Sketch and codes are bytes."""
+    names = ["doc", "size", "sketch", "slices", "slice", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, row = [], []
-            for value in batch.column(1):
+            out: list[list] = [[] for _ in names]
+            held = 0
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = shingles(value.as_py(), rule.words)
-                size.append(len(codes))
-                row.append(sketch(codes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(row, pa.binary())], names=["doc", "size", "sketch"])
+                rows = [(doc, len(codes), sketch(codes, rule.bits).tobytes(), 0, 0, None)]
+                for n in sorted({rule.slices(len(codes)), rule.slices(-(-rule.num * len(codes) // rule.den))}):
+                    at = np.searchsorted(codes, np.arange(1, n, dtype=np.uint64) << U(64 - n.bit_length() + 1)) if n > 1 else []
+                    rows += [(doc, len(codes), None, n, i, x.tobytes()) for i, x in enumerate(np.split(codes, at))]
+                for column, values in zip(out, zip(*rows, strict=True), strict=True):
+                    column += values
+                held += len(codes)
+                if held > 1_000_000:
+                    yield _marked(out, names)
+                    out, held = [[] for _ in names], 0
+            if out[0]:
+                yield _marked(out, names)
 
-    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary")
+    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary, slices int, slice int, codes binary")
 
 
-def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, codes): each document's sorted codes as bytes."""
+def _marked(columns: list[list], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = pa.array([shingles(v.as_py(), rule.words).tobytes() for v in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["doc", "codes"])
 
-    return _rows(docs).mapInArrow(run, "doc long, codes binary")
+def near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether the Hamming distance of sketches `x` and `y` lets sets of sizes `n` and `m` link."""
+    apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64), np.abs(n - m))
+    return (rule.den + rule.num) * apart <= (rule.den - rule.num) * (n + m)
 
 
-def sifted(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that are `open` or that the Hamming distance of their `sketches` lets link."""
+def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(pivot, doc, size2, size): the pairs that the Hamming distance of their sketches lets link."""
+    marks = sets.where("sketch is not null").select("doc", "size", "sketch")
     other = marks.select(F.col("doc").alias("pivot"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    both = pairs.join(marks, "doc").join(other, "pivot").select("pivot", "doc", "open", "size", "size2", "sketch", "sketch2")
+    both = salted_join(pairs.join(marks, "doc"), other, "pivot", "doc", pairs.groupBy("pivot").count()).select("pivot", "doc", "size2", "size", "sketch2", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (5, 6))
-            n, m = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
-            near = (rule.den + rule.num) * apart <= (rule.den - rule.num) * (n + m)
-            keep = near | batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.select(["pivot", "doc", "open"]).filter(pa.array(keep))
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = np.zeros(len(x), bool)
+            widths = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+            for w in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == w).all(axis=1))
+                rows = folded([x[i] for i in at] + [y[i] for i in at])
+                keep[at] = near(rows[: len(at)], rows[len(at) :], batch.column(2).to_numpy()[at], batch.column(3).to_numpy()[at], rule)
+            yield batch.select(["pivot", "doc", "size2", "size"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "pivot long, doc long, size2 long, size long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the pairs (pivot, doc, size2, size) that link, by the exact sizes of their sets' intersection."""
+    codes = sets.where("codes is not null")
+    smaller = F.least("size", "size2")
+    slices = F.pow(F.lit(2), F.length(F.bin(F.floor(smaller / rule.slice))) - 1).cast("int")
+    cut = pairs.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    one = cut.join(codes.select("doc", "slices", "slice", "codes"), ["doc", "slices", "slice"])
+    other = codes.select(F.struct(F.col("doc").alias("pivot"), "slices", "slice").alias("of"), F.col("codes").alias("pivot_codes"))
+    of = F.struct("pivot", "slices", "slice").alias("of")
+    both = salted_join(one.select("*", of), other, "of", "doc", cut.groupBy(of).count()).select("pivot", "doc", "size2", "size", "pivot_codes", "codes")
 
-    return both.mapInArrow(run, "pivot long, doc long, open boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = [len(np.intersect1d(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["pivot", "doc", "size2", "size", "common"])
 
+    counted = both.mapInArrow(run, "pivot long, doc long, size2 long, size long, common long").groupBy("pivot", "doc", "size2", "size").agg(F.sum("common").alias("common"))
+    return counted.where(rule.den * F.col("common") >= rule.num * (F.col("size") + F.col("size2") - F.col("common"))).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
 
-def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """For pairs (pivot, doc, open): the document's size, whether they link, and, where `open`, the elements that only the
-    document (`added`) or only the pivot (`removed`) has."""
-    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("pivot"), F.col("codes").alias("pivot_codes")), "pivot").select("pivot", "doc", "codes", "pivot_codes", "open")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for x, y, more in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                a, p = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                added, removed = np.setdiff1d(a, p, assume_unique=True), np.setdiff1d(p, a, assume_unique=True)
-                common = len(a) - len(added)
-                out[0].append(len(a))
-                out[1].append(rule.den * common >= rule.num * (len(a) + len(removed)))
-                out[2].append(added.view(np.int64) if more else [])
-                out[3].append(removed.view(np.int64) if more else [])
-            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["pivot", "doc", "open", "size", "linked", "added", "removed"])
-
-    return both.mapInArrow(run, "pivot long, doc long, open boolean, size long, linked boolean, added array<long>, removed array<long>")
-
-
-def met(keys: DataFrame, few: int, rule: Rule, folder: str) -> DataFrame:
-    """Pairs (pivot, doc, open) of the documents that share a key and may link.
-
-    `keys` has (key, doc), each once, and, if the documents met before, the
-    pivot `at` which they did, whether they are `linked` to it, how many
-    elements they `added` to it, their `size`, and whether the key is `sure`
-    to count. The result reads what this stores in `folder`. Documents that
-    are linked already make no pairs among themselves. Of a key with up to
-    `few` documents all pairs are made, less those that share too few of their
-    added elements; with more, each with a pivot, and `open` says that others
-    remain. The pivot is the document that meets others most often: it lies
-    near the middle of its group.
+def met(docs: DataFrame, rule: Rule, frequent: Frequent, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (pivot, doc) of the documents that share a key, and the keys (key, doc) of more than `FEW` documents.
+
+    Of a key with up to `FEW` documents all pairs are made; with more, each
+    with a pivot, the document that meets others most often: it lies near the
+    middle of its group. The result reads what this stores in `folder`.
     """
-    before = "at" in keys.columns
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), *([F.bool_and("linked").alias("_all")] if before else []))
-    groups = stored(groups.where("n > 1 and not _all" if before else "n > 1").select("key", "n"), "groups", folder)
-    small = groups.count() <= BROADCAST_ROWS
-    members = stored(keys.join(F.broadcast(groups) if small else groups, "key"), "members", folder)
-    if not before:
-        members = members.withColumns({"at": F.lit(0).cast("long"), "linked": F.lit(False), "added": F.lit(0), "size": F.lit(0).cast("long"), "sure": F.lit(True)})
-    large = members.where(f"n > {few}")
-    meetings = members.groupBy("doc").agg(F.sum("n").alias("meetings"))
+    keys = block_keys(docs, rule, frequent)
+    groups = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("pivot"), F.max("doc").alias("doc")).where("n > 1"), "groups", folder)
+    more = groups.where("n > 2").select("key", "n")
+    members = keys.join(F.broadcast(more), "key") if more.count() <= BROADCAST_ROWS else salted_join(keys, more, "key", "doc", more.withColumnRenamed("n", "count"))
+    members = stored(members.select("key", "doc", "n"), "members", folder)
+    lists = members.where(f"n <= {FEW}").groupBy("key").agg(F.collect_list("doc").alias("of"))
+    first = lists.select("of", F.explode("of").alias("pivot"))
+    every = first.select("pivot", F.explode(F.filter("of", lambda y: y > F.col("pivot"))).alias("doc"))
+    large = members.where(f"n > {FEW}")
+    meetings = large.groupBy("doc").agg(F.sum("n").alias("meetings"))
     pivots = large.join(meetings, "doc").groupBy("key").agg(F.max_by("doc", F.struct("meetings", -F.col("doc"))).alias("pivot"))
-    star = large.join(pivots, "key").where("doc <> pivot").select("pivot", "doc", F.lit(True).alias("open"))
-    lists = members.where(f"n <= {few}").groupBy("key", "at", "sure").agg(F.collect_list(F.struct("doc", "linked", "added", "size")).alias("of"))
-    first = lists.select("at", "sure", "of", F.explode("of").alias("x"))
-    others = F.filter("of", lambda y: (y["doc"] > F.col("x.doc")) & ~(y["linked"] & F.col("x.linked")))
-    every = first.select("at", "sure", "x", F.explode(others).alias("y"))
-    every = every.groupBy("at", F.col("x.doc").alias("pivot"), F.col("y.doc").alias("doc")).agg(F.bool_or("sure").alias("sure"), F.count("*").alias("common"), F.first(F.col("x.added") + F.col("y.added")).alias("added"), F.first(F.col("x.size") + F.col("y.size")).alias("size"))
-    if not large.where("not sure").isEmpty():  # keys with many documents count as common, too
-        beyond = large.where("not sure").groupBy("at", "doc").agg(F.count("*").alias("beyond"))
-        every = every.join(beyond, ["at", "doc"], "left").withColumn("common", F.col("common") + F.coalesce("beyond", F.lit(0)))
-    may = (F.col("common") >= LAP) | ((rule.den + rule.num) * (F.col("added") - 2 * F.col("common")) <= (rule.den - rule.num) * F.col("size"))
-    every = every.where(F.col("sure") | may).select("pivot", "doc", F.lit(False).alias("open"))
-    return star.unionAll(every).groupBy("pivot", "doc").agg(F.bool_or("open").alias("open"))
-
-
-def again(seen: DataFrame, rule: Rule) -> DataFrame:
-    """Keys on which documents that met at a pivot, not all linked to it, meet without it."""
-    seen = seen.where("open")
-    open_pivots = seen.groupBy("pivot").agg(F.bool_and("linked").alias("_all"), F.count("*").alias("n")).where("not _all and n > 1").select("pivot")
-    rows = seen.join(open_pivots, "pivot", "left_semi")
-    key = F.xxhash64("pivot", "e").alias("key")
-
-    # A partner shares all but d of the added elements, so that the first d + LAP of them, in the order of
-    # codes, show LAP common ones or all that are needed.
-    d = F.floor(F.col("size") * (rule.den - rule.num) / rule.num)
-    prefix = F.slice("added", F.lit(1), F.greatest(F.lit(1), F.size("added") - F.greatest(F.lit(1), F.size("added") - d) + LAP).cast("int"))
-
-    def keyed(rows: DataFrame, elements: Column, sure: bool) -> DataFrame:
-        out = rows.select("pivot", "doc", "linked", F.size("added").alias("n_added"), "size", F.explode(elements).alias("e"))
-        return out.select(key, "doc", F.col("pivot").alias("at"), "linked", F.col("n_added").alias("added"), "size", F.lit(sure).alias("sure"))
-
-    # Without a shared added element, only documents lacking the same elements can link, and only where the counts allow.
-    cell = ["pivot", "size", "a", "r", "linked"]
-    cells = rows.select("pivot", "size", F.size("added").alias("a"), F.size("removed").alias("r"), "linked").distinct()
-    other = cells.select("pivot", *(F.col(c).alias(f"{c}2") for c in cell[1:]))
-    reach = (rule.den + rule.num) * (F.col("a") + F.col("a2") + F.abs(F.col("r") - F.col("r2"))) <= (rule.den - rule.num) * (F.col("size") + F.col("size2"))
-    fit = cells.join(other, "pivot").where(reach & ~(F.col("linked") & F.col("linked2")) & (F.col("r") > 0) & (F.col("r2") > 0)).select(*cell).distinct()
-    short = rows.withColumns({"a": F.size("added"), "r": F.size("removed")}).join(fit, cell, "left_semi")
-    return keyed(rows, prefix, False).unionAll(keyed(short, F.col("removed"), True))
+    star = salted_join(large, pivots, "key", "doc", large.groupBy("key").count()).where("doc <> pivot").select("pivot", "doc")
+    pairs = groups.where("n = 2 and pivot < doc").select("pivot", "doc").unionAll(every).unionAll(star)
+    return stored(pairs.distinct(), "pairs", folder), stored(large.select("key", "doc"), "large", folder)
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """`docs` whose doc_id is (left_semi) or isn't (left_anti) in `ids(doc_id)`."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+def apart(large: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """(key, doc, of): the keys whose documents lie in several components `of`."""
+    named = stored(large.join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("of")), "named", folder)
+    several = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("count")).where("x < y").select("key", "count")
+    return stored(salted_join(named, several.select("key"), "key", "doc", several), "apart", folder)
 
 
-def links(docs: DataFrame, digests: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) that connect exactly the documents which links of `rule`
-    connect, among one document for each different set."""
-    spark = docs.sparkSession
-    representatives = digests.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    copies = stored(digests.select("doc_id").distinct().join(representatives, "doc_id", "left_anti"), "copies")
-    docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if has_repeats(digests) else docs.where(F.col("doc_id").isNotNull())
-    docs = only(docs, copies, "left_anti")
-    with workspace(spark) as all_rounds:
-        with workspace(spark) as first:
-            pairs = stored(met(block_keys(docs, rule), FEW, rule, first), "pairs", all_rounds)
-        marks = stored(sketches(only(docs, named_in(pairs, all_rounds), "left_semi"), rule), "sketches", all_rounds)
-        pairs = stored(sifted(pairs, marks, rule), "sifted", all_rounds)
-        sets = stored(shingle_sets(only(docs, named_in(pairs, all_rounds), "left_semi"), rule), "sets", all_rounds)  # later pairs are of these, too
-        found = []
-        for i in range(1, PIVOTS + 1):
-            with workspace(spark) as this:
-                seen = stored(checked(pairs, sets, rule), "checked", this)
-                found.append(stored(linked(seen), "links"))
-                keys = stored(again(seen, rule), "keys", all_rounds)
-                if keys.isEmpty():
-                    return reduce(DataFrame.unionAll, found)
-                if i < PIVOTS:
-                    pairs = stored(sifted(met(keys, FEW_LATER, rule, this), marks, rule), "sifted", all_rounds)
-        pairs = stored(rest(keys, components(reduce(DataFrame.unionAll, found)), all_rounds), "rest", all_rounds)
-        pairs = stored(sifted(pairs, marks, rule), "sifted", all_rounds)
-        found.append(stored(linked(checked(pairs, sets, rule)), "links"))
-    return reduce(DataFrame.unionAll, found)
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (pivot, doc) of each key's documents outside of its largest component with a document of that component."""
+    parts = rows.groupBy("key", "of").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"))
+    pivots = parts.groupBy("key").agg(F.max_by(F.struct("of", "pivot"), F.struct("n", "of")).alias("x")).select("key", F.col("x.of").alias("largest"), F.col("x.pivot").alias("pivot"))
+    return salted_join(rows, pivots, "key", "doc", rows.groupBy("key").count()).where("of <> largest").select("pivot", "doc").distinct()
 
 
-def linked(seen: DataFrame) -> DataFrame:
-    return seen.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+def across(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (pivot, doc, size2, size) of documents of one key in different components whose sketches let them link.
 
+    The documents of a key are dealt into chunks, and a task compares the
+    sketches of two chunks, so no task holds more than two of them.
+    """
+    marks = sets.where("sketch is not null").select("doc", "size", "sketch")
+    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("count"))
+    dealt = salted_join(rows, chunks.select("key", "chunks"), "key", "doc", chunks.select("key", "count")).join(marks, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "doc", "of", "size", "sketch")
+
+    def compare(group: pa.Table) -> pa.Table:
+        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        own, ids, of, size = (group[c].to_numpy() for c in ("own", "doc", "of", "size"))
+        marks = folded(group["sketch"].to_pylist())
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = [np.empty((0, 2), np.int64)]
+        for part in np.array_split(left, max(1, len(left) * len(right) * marks.shape[1] // 2_000_000)):
+            hit = near(marks[part][:, None], marks[right][None], size[part][:, None], size[right][None], rule) & (of[part][:, None] != of[right][None])
+            i, j = np.nonzero(hit)
+            found.append(np.stack((part[i], right[j]), axis=1))
+        at = np.concatenate(found)
+        at = at[ids[at[:, 0]] < ids[at[:, 1]]] if x == y else at
+        at = np.where((ids[at[:, 0]] < ids[at[:, 1]])[:, None], at, at[:, ::-1])
+        return pa.table({"pivot": ids[at[:, 0]], "doc": ids[at[:, 1]], "size2": size[at[:, 0]], "size": size[at[:, 1]]})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "pivot long, doc long, size2 long, size long").distinct()
 
-def named_in(pairs: DataFrame, folder: str) -> DataFrame:
-    """The ids in `pairs`."""
-    return stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "members", folder)
 
+def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`docs` whose doc_id is (left_semi) or isn't (left_anti) in `ids(doc_id)`."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
-def rest(keys: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
-    """All pairs that share a key and aren't in one component yet; the result reads what this stores in `folder`."""
-    shared = keys.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.bool_and("linked").alias("_all")).where("x < y and not _all").select("key")
-    named = keys.join(shared, "key", "left_semi").select("key", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("of"))
-    mixed_keys = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key")
-    named = stored(named.join(mixed_keys, "key", "left_semi").distinct(), "open", folder)
-    other = named.select("key", F.col("doc").alias("doc2"), F.col("of").alias("of2"))
-    pairs = named.join(other, "key").where("doc < doc2 and of <> of2").select(F.col("doc").alias("pivot"), F.col("doc2").alias("doc"))
-    return pairs.distinct().withColumn("open", F.lit(False))
+
+def links(docs: DataFrame, seen: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect exactly the documents which links of `rule`
+    connect, among one document for each different set. `seen` is stored rows of `set_digests`."""
+    digests = seen.where("code is null")
+    with workspace(docs.sparkSession) as folder:
+        representatives = digests.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        copies = stored(digests.select("doc_id").distinct().join(representatives, "doc_id", "left_anti"), "copies", folder)
+        docs = docs.where(F.col("doc_id").isNotNull())
+        docs = only(docs.dropDuplicates(["doc_id"]) if has_repeats(digests) else docs, copies, "left_anti")
+        pairs, large = met(docs, rule, frequent_shingles(seen), folder)
+        named = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "named", folder)
+        sets = stored(marked_sets(only(docs, named, "left_semi"), rule), "sets", folder)
+        found = [stored(linked(stored(sifted(pairs, sets, rule), "sifted", folder), sets, rule), "links")]
+        for turn in range(STARS):
+            large = apart(large, components(reduce(DataFrame.unionAll, found)), folder)
+            if large.isEmpty():
+                return reduce(DataFrame.unionAll, found)
+            if turn < STARS - 1:
+                pairs = stored(sifted(stored(stars(large, turn), "stars", folder), sets, rule), "sifted", folder)
+            else:
+                pairs = stored(across(large.select("key", "doc", "of"), sets, rule), "across", folder)
+            found.append(stored(linked(pairs, sets, rule), "links"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def has_repeats(digests: DataFrame) -> bool:
@@ -380,8 +425,9 @@ def has_repeats(digests: DataFrame) -> bool:
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    digests = stored(set_digests(docs, rule), "digests")
-    labels = components(links(docs, digests, rule))
+    seen = stored(set_digests(docs, rule), "digests")
+    labels = components(links(docs, seen, rule))
+    digests = seen.where("code is null").select("doc_id", "n_shingles", "h1", "h2")
     first = digests.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"))
     named = first.join(labels, F.col("first") == F.col("id"), "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "first").alias("component_id"))
     out = digests.join(named, ["n_shingles", "h1", "h2"], "left")

@@ -50,10 +50,12 @@ def test_jaccard_classes(spark, n, num):
 
 def test_jaccard_large_groups_take_pivots(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 2)
-    monkeypatch.setattr(jaccard_join, "FEW_LATER", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    monkeypatch.setattr(jaccard_join, "STARS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     rows = family(5, 70)
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(d, jaccard_join.Rule(3, 90)).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(d, jaccard_join.Rule(3, 90, bits=64, slice=16)).collect()}
     assert got == helpers.jaccard_classes(rows, 3, 90)
 
 
@@ -165,7 +167,7 @@ def test_next_and_fingerprints(spark, monkeypatch, tmp_path):
 
 
 def test_syncmers_are_closed_and_context_free(spark):
-    words = [random.Random(9).choice(WORDS) for _ in range(60)]
+    words = random.Random(9).choices(WORDS, k=60)
     d = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(["x", "y", *words, "z"]))], "doc_id long, text string")
     a, b = (x["a"] for x in syncmers.with_anchors(d, "text", "a").orderBy("doc_id").collect())
     assert set(a) <= set(b) and len(a) > 10
