@@ -40,9 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
 def workspace(spark: SparkSession) -> Iterator[str]:
     """A folder in the shared one for what `stored` needs no longer than this block; deleted at its end."""
     folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-    yield folder
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
@@ -53,6 +55,14 @@ def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, sizes: DataFrame) -> DataFrame:
     """`many` joined with `one`, which has one row for each `key`, so that no task gets all rows of a frequent key.
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import time
 import urllib.parse
 
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bandflow.llm import bpe, htmlmain, linededup, secrets
+from bandflow.llm import bpe, common, htmlmain, linededup, secrets
 
 DOCS = "doc_id long, text string, ids string, secrets long, n_chars int"
 
@@ -175,6 +176,50 @@ def test_blocks_of_documents_that_are_not_the_first(spark):
     assert deduplicated(spark, texts) == want == cut_by_brute_force(texts, 8)
 
 
+def test_overlaps_of_later_documents(spark):
+    a, b = "a1 a2 a3 a4 a5", "b1 b2 b3 b4 b5"
+    texts = [a, b, f"{a}\n{b}", f"{a}\n{b}"]
+    assert deduplicated(spark, texts) == [*texts[:3], ""]
+    long = "one two three four five six seven eight nine"
+    assert deduplicated(spark, [f"x\n{long}\n{a}", f"y\r\n {long}\t\r\n{a}\r\nz"]) == [f"x\n{long}\n{a}", "y\r\nz"]
+    rows = [(1, long, 7, 5, "k"), (2, f"p\n{long}", None, 6, "l"), (2, f"p\n{long}", None, 6, "l"), (3, "q", 1, 7, None), (None, long, 1, 8, None), (1, f"{long}\nr", 9, 9, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_lines_cut int, _unit long, _cut string")
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_lines_cut"], r["_unit"], r["_cut"]) for r in linededup.dedup_lines(odd).collect()), key=str)
+    assert got == sorted([(1, long, 0, 5, "k"), (2, "p", 1, 6, "l"), (2, "p", 1, 6, "l"), (3, "q", 0, 7, None), (0, long, 0, 8, None), (1, f"{long}\nr", 0, 9, None)], key=str)
+
+
+@pytest.mark.parametrize("rare", [1, 3])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, rare):
+    """Rare lines and blocks together find what aligning all pairs finds."""
+    monkeypatch.setattr(linededup, "RARE", rare)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(rare)
+    passages = ["\n".join(f"p{i}.{k} x y" for k in range(r.randint(1, 5))) for i in range(8)]
+    texts = ["\n".join(r.choice([r.choice(passages), f"own {r.random()}", "", "common line", r.choice(passages).split("\n")[0]]) for _ in range(r.randint(0, 9))) for _ in range(60)]
+    texts += [t for t in texts[:10] for _ in range(3)]
+    got = deduplicated(spark, texts)
+    assert got == cut_by_brute_force(texts, 8) and got != texts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=16), st.lists(st.integers(0, 6), max_size=16), st.integers(1, 9))
+def test_alignment_finds_all_common_blocks(later, earlier, least):
+    a, b = np.array(later, np.uint64), np.array(earlier, np.uint64)
+    words = lambda row: np.array(row, np.int64) % 4
+    match = linededup.patience(later, earlier)
+    assert all(later[i] == earlier[j] for i, j in match.items()) and [match[i] for i in sorted(match)] == sorted(match.values())
+    cut = linededup.common_blocks(a, words(later), b, words(earlier), least)
+    want = np.zeros(len(later), bool)
+    for p in range(len(later)):
+        for q in range(len(earlier)):
+            n = 0
+            while p + n < len(later) and q + n < len(earlier) and later[p + n] == earlier[q + n] and later[p + n] % 4:
+                n += 1
+            if words(later)[p : p + n].sum() >= least:
+                want[p : p + n] = True
+    assert (cut == want).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=14), max_size=4), st.integers(1, 12))
 def test_least_blocks_cover_common_runs(rows, least):
