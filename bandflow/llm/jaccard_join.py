@@ -45,8 +45,8 @@ from .common import components, salted_join, stored, table, workspace
 BROADCAST_ROWS = 1_000_000
 #: Documents on one key of which all pairs are looked at; of more, pivots find the links, then chunks of documents.
 FEW = 16
-#: Rounds of pivots, the last of which compares what is still in different components in chunks; documents of a chunk.
-STARS, CHUNK = 4, 2048
+#: Further rounds of pivots at most, after which what is still in different components is compared in chunks; documents of a chunk.
+STARS, CHUNK = 3, 2048
 #: Frequent shingles that are known to all tasks (9 bytes each); they only order the blocks, so that the bound costs no pair.
 FREQUENT = 1 << 18
 #: Shingles of a stretch of documents that are counted at once, least count in it, and most that are passed on from it.
@@ -301,9 +301,10 @@ def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "pivot long, doc long, size2 long, size long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): the pairs (pivot, doc, size2, size) that link, by the exact sizes of their sets' intersection."""
-    codes = sets.where("codes is not null")
+def linked(pairs: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFrame:
+    """(a, b): the pairs (pivot, doc, size2, size) that link, by the exact sizes of their sets' intersection; reads what it stores in `folder`."""
+    named = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct(), "named", folder)
+    codes = sets.where("codes is not null").join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "doc", "left_semi")
     smaller = F.least("size", "size2")
     slices = F.pow(F.lit(2), F.length(F.bin(F.floor(smaller / rule.slice))) - 1).cast("int")
     cut = pairs.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -405,16 +406,20 @@ def links(docs: DataFrame, seen: DataFrame, rule: Rule) -> DataFrame:
         pairs, large = met(docs, rule, frequent_shingles(seen), folder)
         named = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "named", folder)
         sets = stored(marked_sets(only(docs, named, "left_semi"), rule), "sets", folder)
-        found = [stored(linked(stored(sifted(pairs, sets, rule), "sifted", folder), sets, rule), "links")]
-        for turn in range(STARS):
-            large = apart(large, components(reduce(DataFrame.unionAll, found)), folder)
-            if large.isEmpty():
-                return reduce(DataFrame.unionAll, found)
-            if turn < STARS - 1:
-                pairs = stored(sifted(stored(stars(large, turn), "stars", folder), sets, rule), "sifted", folder)
+        new = stored(linked(stored(sifted(pairs, sets, rule), "sifted", folder), sets, rule, folder), "links")
+        found, turn = [new], 0
+        while not (large := apart(large, components(reduce(DataFrame.unionAll, found)), folder)).isEmpty():
+            last = turn == STARS or new.isEmpty()
+            if last:
+                pairs = across(large.select("key", "doc", "of"), sets, rule)
             else:
-                pairs = stored(across(large.select("key", "doc", "of"), sets, rule), "across", folder)
-            found.append(stored(linked(pairs, sets, rule), "links"))
+                pairs = sifted(stored(stars(large, turn), "stars", folder), sets, rule)
+            pairs = stored(pairs, "sifted", folder)
+            new = stored(linked(pairs, sets, rule, folder), "links")
+            found.append(new)
+            if last:
+                break
+            turn += 1
     return reduce(DataFrame.unionAll, found)
 
 

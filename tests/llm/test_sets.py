@@ -51,7 +51,7 @@ def test_jaccard_classes(spark, n, num):
 def test_jaccard_large_groups_take_pivots(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 2)
     monkeypatch.setattr(jaccard_join, "CHUNK", 8)
-    monkeypatch.setattr(jaccard_join, "STARS", 2)
+    monkeypatch.setattr(jaccard_join, "STARS", 1)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     rows = family(5, 70)
     d = spark.createDataFrame(rows, "doc_id long, text string")
