@@ -43,10 +43,10 @@ def top_levels(t: DataFrame, keys: list[str], lowest_band: bool) -> DataFrame:
     )
 
 
-def with_reference(t: DataFrame, keys: list[str]) -> DataFrame:
-    """`t` with `ref`, the price of the last arrival within `keys`."""
+def with_reference(t: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """`t` with `ref`, the price of the last arrival within `keys`; `few` tells that there are few keys at any size."""
     last = t.groupBy(*keys).agg(F.max_by("price", "ord").alias("ref"))
-    return t.join(last, keys)
+    return t.join(F.broadcast(last) if few else last, keys)
 
 
 def file_levels(t: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def horizon_levels(t: DataFrame, as_of: int | None = None, hours=X.HORIZON_HOURS
     from bandflow.operators.live import in_horizons, with_as_of
 
     rows = in_horizons(with_as_of(t, as_of), hours)
-    return top_levels(with_reference(rows, ["hours"]), ["hours"], lowest_band=False)
+    return top_levels(with_reference(rows, ["hours"], few=True), ["hours"], lowest_band=False)
 
 
 def history_rows(levels: DataFrame, timestamp: int, session: str, pair: str) -> DataFrame:

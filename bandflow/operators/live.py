@@ -16,16 +16,20 @@ RSI_CANDLES, RSI_DELTAS, MACD_CANDLES = 15, 42, 26
 
 
 def with_as_of(t: DataFrame, as_of: int | None = None) -> DataFrame:
-    """`t` with the column `as_of`: given, or the newest time of the table."""
-    if as_of is not None:
-        return t.withColumn("as_of", F.lit(as_of).cast("long"))
-    return t.crossJoin(F.broadcast(t.agg(F.max("timestamp").alias("as_of"))))  # one row
+    """`t` with the column `as_of`: given, or the newest time of the table.
+
+    The time is a literal, found first where it isn't given, so that filters
+    on it reach the scan.
+    """
+    if as_of is None:
+        as_of = t.agg(F.max("timestamp")).first()[0]
+    return t.withColumn("as_of", F.lit(as_of).cast("long"))
 
 
 def in_horizons(t: DataFrame, hours=X.HORIZON_HOURS) -> DataFrame:
     """A row for each horizon that a trade lies in."""
     reached = F.filter(F.array(*map(F.lit, hours)), lambda h: F.col("timestamp") >= F.col("as_of") - h * X.HOUR_MS)
-    return t.withColumn("hours", F.explode(reached))
+    return t.where(F.col("timestamp") >= F.col("as_of") - max(hours) * X.HOUR_MS).withColumn("hours", F.explode(reached))
 
 
 def _horizons(t: DataFrame, hours) -> DataFrame:

@@ -14,16 +14,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bandflow.functions.expressions import WINDOW_PACKETS, percent, sum_where
+from bandflow.sources.shared import shared_dir
 
 MEASURES = ("vol_total", "vol_buy", "vol_sell", "trades")
+#: Volumes are summed exactly in this type, so that a window is a difference of two running sums.
+EXACT = "decimal(38,10)"
 
 
 def packet_ids(t: DataFrame, key: str = "market") -> DataFrame:
-    """`t` with its second and packet number, in arrival order within `key`."""
-    order = Window.partitionBy(key).orderBy("ord")
+    """`t` with its second and packet number, in arrival order within `key`.
+
+    The arrival order is cut into stretches by range. Packets are numbered
+    within a stretch; one row for each stretch tells how many the earlier ones
+    hold and whether the first second goes on from the stretch before.
+    """
+    shared_dir(t.sparkSession)
     t = t.withColumn("sec", F.floor(F.col("timestamp") / 1000))
-    fresh = F.when(F.col("sec") == F.lag("sec").over(order), 0).otherwise(1)
-    return t.withColumn("_fresh", fresh).withColumn("packet", F.sum("_fresh").over(order).cast("long")).drop("_fresh")
+    t = t.repartitionByRange(key, "ord").withColumn("_stretch", F.spark_partition_id()).checkpoint(eager=True)
+    order = Window.partitionBy(key, "_stretch").orderBy("ord")
+    before = F.lag("sec").over(order)
+    t = t.withColumn("_fresh", F.when(before.isNull() | (F.col("sec") == before), 0).otherwise(1)).withColumn("_local", F.sum("_fresh").over(order))
+    ends = t.groupBy(key, "_stretch").agg(F.min_by("sec", "ord").alias("first"), F.max_by("sec", "ord").alias("last"), F.max("_local").alias("n"))
+    stretches = Window.partitionBy(key).orderBy("_stretch")
+    ends = ends.withColumn("starts", F.when(F.lag("last").over(stretches) == F.col("first"), 0).otherwise(1) + F.lag("n", 1, 0).over(stretches))
+    offsets = ends.select(key, "_stretch", F.sum("starts").over(stretches).alias("_offset"))
+    # One row for each range partition and key.
+    return t.join(F.broadcast(offsets), [key, "_stretch"]).withColumn("packet", (F.col("_offset") + F.col("_local")).cast("long")).drop("_fresh", "_local", "_stretch", "_offset")
 
 
 def packets(t: DataFrame, key: str = "market", keep_open: bool = False) -> DataFrame:
@@ -40,13 +56,23 @@ def packets(t: DataFrame, key: str = "market", keep_open: bool = False) -> DataF
 
 
 def rolling(p: DataFrame, sizes: Sequence[int] = WINDOW_PACKETS, key: str = "market") -> DataFrame:
-    """State of each window of all bands after every packet, in long form."""
+    """State of each window of all bands after every packet, in long form.
+
+    Packets are numbered without gaps, so a window is a running sum less the
+    one `n` packets earlier: one sort, one pass and one lag for each size. A
+    key has at most a packet for each second, however many trades there are.
+    """
     whole = p.where("seg is null")
-    out = None
-    for n in sizes:
-        frame = Window.partitionBy(key).orderBy("packet").rowsBetween(-(n - 1), 0)
-        state = whole.select(key, "packet", F.lit(n).alias("window"), *(F.sum(m).over(frame).alias(m) for m in MEASURES), (F.count("*").over(frame) / n * 100.0).alias("fill_pct"))
-        out = state if out is None else out.unionByName(state)
+    order = Window.partitionBy(key).orderBy("packet")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = whole.select(key, "packet", *(F.sum(F.col(m).cast(EXACT)).over(so_far).alias(m) for m in MEASURES), F.count("*").over(so_far).alias("_n"))
+    sums = F.struct(*MEASURES, "_n")
+    whole = whole.withColumn("_now", sums).select(key, "packet", "_now", *(F.lag("_now", n).over(order).alias(f"_{n}") for n in sizes))
+    states = F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"_{n}").alias("then")) for n in sizes))
+    out = whole.select(key, "packet", "_now", F.inline(states))
+    inside = lambda m: F.col(f"_now.{m}") - F.coalesce(F.col(f"then.{m}"), F.lit(0))
+    kinds = dict.fromkeys(MEASURES, "double") | {"trades": "long"}
+    out = out.select(key, "packet", "window", *(inside(m).cast(kinds[m]).alias(m) for m in MEASURES), (inside("_n") / F.col("window") * 100.0).alias("fill_pct"))
     return out.withColumns({"buy_pct": percent(F.col("vol_buy"), F.col("vol_total")), "sell_pct": percent(F.col("vol_sell"), F.col("vol_total"))})
 
 

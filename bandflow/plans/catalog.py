@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bandflow.functions import expressions as X
 from bandflow.operators import book, lab, levels, liquidations, live, normalize, windows
 from bandflow.sources import trades as T
+from bandflow.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,7 +102,7 @@ def seg_custom_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- raw messages ------------------------------------------------------------------
-_KIND = "CASE WHEN ord % 97 = 0 OR ord % 79 = 0 THEN 'json' WHEN ord % 89 = 0 THEN 'number' WHEN ord % 83 = 0 THEN 'trade' END"
+_KIND = "CASE WHEN ord % 97 = 0 OR ord % 79 = 0 OR ord % 73 = 0 THEN 'json' WHEN ord % 89 = 0 THEN 'number' WHEN ord % 83 = 0 THEN 'trade' END"
 _VALID = f"SELECT ord, market, timestamp, price, volume_base, {R('price * volume_base', 4)} AS volume_usdt, side FROM trades WHERE ({_KIND}) IS NULL"
 
 
@@ -118,7 +119,7 @@ query("norm_spot", f"WITH {TRADES} {_VALID} AND market = 'spot'")(_normalised("s
 query("norm_futures", f"WITH {TRADES} {_VALID} AND market = 'futures'")(_normalised("futures"))
 query("norm_auto", f"WITH {TRADES} SELECT ord, 'spot' AS market, timestamp FROM trades WHERE ({_KIND}) IS NULL")(lambda spark, d: normalize.detected(T.raw_messages(spark, d)).select("ord", "market", "timestamp"))
 query("norm_rejects", f"WITH {TRADES} SELECT ord, {_KIND} AS reject_kind FROM trades WHERE ({_KIND}) IS NOT NULL")(lambda spark, d: normalize.rejects(T.raw_messages(spark, d)).select("ord", "reject_kind"))
-query("trade_text", f"WITH {TRADES} SELECT ord, '[' || timestamp || '] ' || strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' UTC | ' || printf('%.2f', price) || ' | ' || CASE side WHEN 0 THEN 'BUY' ELSE 'SELL' END AS line FROM trades")(on_events(lambda t: t.select("ord", normalize.display(t).alias("line"))))
+query("trade_text", f"WITH {TRADES} SELECT ord, '[' || timestamp || '] ' || strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' UTC | precio: ' || printf('%.2f', price) || ' | vol_usdt: ' || printf('%.2f', volume_usdt) || ' | vol_base: ' || printf('%.8f', volume_base) || ' | ' || CASE side WHEN 0 THEN 'BUY' ELSE 'SELL' END AS line FROM trades")(on_events(lambda t: t.select("ord", normalize.display(t).alias("line"))))
 
 # --- selections and buffer ------------------------------------------------------------
 _DAY = f"day AS (SELECT * FROM trades WHERE timestamp >= (SELECT max(timestamp) FROM trades) - {X.DAY_MS})"
@@ -134,7 +135,7 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY market ORDER BY ord ROWS UNBOUNDED
 g AS (SELECT market, packet, sec, seg, sum(volume_usdt) AS vol_total, sum({BUY}) AS vol_buy, sum({SELL}) AS vol_sell, count(*) AS trades FROM i GROUP BY GROUPING SETS ((market, packet, sec, seg), (market, packet, sec))),
 lastp AS (SELECT market, max(packet) AS lp FROM i GROUP BY market), closed AS (SELECT g.* FROM g JOIN lastp USING (market) WHERE packet < lp)"""
 query("packets", f"WITH {_PACKETS} SELECT * FROM closed")(on_dense(windows.packets))
-_SIZES = (180, 3600)
+_SIZES = X.WINDOW_PACKETS
 _ROLL = " UNION ALL ".join(f"SELECT market, packet, {n}::INTEGER AS \"window\", sum(vol_total) OVER w AS vol_total, sum(vol_buy) OVER w AS vol_buy, sum(vol_sell) OVER w AS vol_sell, (sum(trades) OVER w)::BIGINT AS trades, count(*) OVER w / {n}.0::DOUBLE * 100.0::DOUBLE AS fill_pct FROM closed WHERE seg IS NULL WINDOW w AS (PARTITION BY market ORDER BY packet ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in _SIZES)
 query("rolling_windows", f"WITH {_PACKETS}, r AS ({_ROLL}) SELECT *, {P('vol_buy', 'vol_total')} AS buy_pct, {P('vol_sell', 'vol_total')} AS sell_pct FROM r")(on_dense(lambda t: windows.rolling(windows.packets(t), _SIZES)))
 _WIN = ", ".join(f"({n}::INTEGER)" for n in X.WINDOW_PACKETS)
@@ -171,18 +172,10 @@ def live_levels(t: DataFrame) -> DataFrame:
     return levels.horizon_levels(t)
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bandflow-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("levels_history_latest", f"WITH {TRADES}, src AS (SELECT * FROM trades WHERE market = 'spot'), l AS (WITH {_levels_sql('src', 'market', True)}) SELECT 2::BIGINT AS timestamp, 'NY' AS sesion, 'SOLUSDT' AS par, * EXCLUDE (market) FROM l")
 def levels_history_latest(spark: SparkSession, d: str) -> DataFrame:
     """Two results appended to the history; the newest is read back."""
-    path = _shared(spark, "history")
+    path = new_path(spark, "history")
     t = T.event_trades(spark, d)
     for stamp, market in ((1, "futures"), (2, "spot")):
         found = levels.file_levels(t.where(F.col("market") == market), ["market"])
@@ -284,11 +277,25 @@ query("liq_parse_json", f"WITH {_LIQ} SELECT ord, kind, {R('usdt', 2)} AS usdt F
 @query("parquet_roundtrip", f"WITH {TRADES} SELECT market, seg::SMALLINT AS seg, count(*) AS trades, sum(volume_usdt) AS vol FROM trades GROUP BY ALL")
 def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Trades written below symbol, market and date folders and read back."""
-    path = _shared(spark, "trades")
+    path = new_path(spark, "trades")
     T.write_trades(T.event_trades(spark, d).withColumn("symbol", F.lit("SOLUSDT")), path)
     return spark.read.parquet(path).groupBy("market", "seg").agg(F.count("*").alias("trades"), F.sum("volume_usdt").alias("vol"))
 
 
+@query("store_analysed", f"WITH {TRADES} SELECT seg, count(*) AS trades, sum(volume_usdt) AS vol FROM trades WHERE market = 'futures' AND seg >= 10 GROUP BY seg")
+def store_analysed(spark: SparkSession, d: str) -> DataFrame:
+    """Trades written to a store, found by the engine's catalog, read back by day and filtered by band."""
+    from bandflow.api import Engine
+
+    base = new_path(spark, "store")
+    T.write_trades(T.event_trades(spark, d).withColumn("symbol", F.lit("SOLUSDT")), base)
+    engine = Engine(spark, base)
+    (pair,) = engine.list_symbols()
+    days = [r["name"] for r in engine.list_files(pair, "futures").collect()]
+    found = engine.trades(pair, "futures", f"{days[0]}..{days[-1]}").where("seg >= 10")
+    return found.groupBy("seg").agg(F.count("*").alias("trades"), F.sum("volume_usdt").alias("vol"))
+
+
 @query("csv_text", f"WITH {TRADES} SELECT ord, concat_ws(',', timestamp, printf('%.4f', price), printf('%.4f', volume_usdt), side, seg) AS line FROM trades")
 def csv_text(spark: SparkSession, d: str) -> DataFrame:
     from bandflow.sources.export import csv_line

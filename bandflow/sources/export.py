@@ -22,5 +22,10 @@ def csv_line(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.concat_ws(",", *(F.when(x.contains(","), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x) for x in cells))
 
 
+def json_line(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """A row as a JSON object with the display texts of its cells."""
+    return F.to_json(F.struct(*(as_text(df, c).alias(c) for c in columns or df.columns)))
+
+
 def as_strings(df: DataFrame) -> DataFrame:
     return df.select(*(as_text(df, c).alias(c) for c in df.columns))

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandflow.plans import catalog
 from bandflow.sources import trades as T
+from bandflow.sources.shared import new_path
 from bandflow.streaming import pipelines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _place(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bandflow-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _landed(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
     """`rows` written as Parquet and opened again as a stream."""
-    path = _place(spark, label)
+    path = new_path(spark, label)
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
@@ -31,7 +24,7 @@ def _landed(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
 def stream_minute(spark: SparkSession, d: str) -> DataFrame:
     """Minute totals of a stream, as its complete result stands at the end."""
     stream = _landed(spark, T.event_trades(spark, d).select("timestamp", "side", "volume_usdt"), "landing")
-    out, checkpoint = _place(spark, "minutes"), _place(spark, "checkpoint")
+    out, checkpoint = new_path(spark, "minutes"), new_path(spark, "checkpoint")
     pipelines.run_now(pipelines.minute_totals(stream), out, checkpoint, "complete")
     return spark.read.parquet(out)
 
@@ -39,24 +32,40 @@ def stream_minute(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Raw messages of both markets through the ingest job; the stored trades by band."""
     stream = _landed(spark, T.raw_messages(spark, d).withColumn("symbol", F.lit("SOLUSDT")), "landing")
-    out, checkpoint = _place(spark, "trades"), _place(spark, "checkpoint")
+    out, checkpoint = new_path(spark, "trades"), new_path(spark, "checkpoint")
     pipelines.ingest(stream, out, checkpoint).awaitTermination()
     stored = spark.read.parquet(out)
     return stored.groupBy("symbol", "market", "seg").agg(F.count("*").alias("trades"))
 
 
-def stream_book(spark: SparkSession, d: str) -> DataFrame:
-    """The book after a stream of updates: the last state of each level."""
+def _book_changes(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
-    diffs = T.book_diffs(spark, d).withColumn("symbol", F.lit("SOLUSDT"))
-    out, checkpoint = _place(spark, "book"), _place(spark, "checkpoint")
-    pipelines.run_now(pipelines.books(_landed(spark, diffs, "landing")), out, checkpoint)
-    return spark.read.parquet(out).groupBy("side", "price").agg(F.max_by("qty", "u").alias("qty")).where("qty > 0")
+    path = new_path(spark, "landing")
+    messages = T.book_stream(spark, d).withColumn("symbol", F.lit("SOLUSDT")).coalesce(1).sortWithinPartitions("ord")
+    messages.write.option("maxRecordsPerFile", 20_000).parquet(path)
+    stream = spark.readStream.schema(messages.schema).parquet(path)
+    out, checkpoint = new_path(spark, "book"), new_path(spark, "checkpoint")
+    pipelines.run_now(pipelines.books(stream), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+def stream_book(spark: SparkSession, d: str) -> DataFrame:
+    """The book after a stream of snapshots and updates with broken sequences."""
+    return pipelines.standing(_book_changes(spark, d)).select("side", "price", "qty")
+
+
+def stream_book_log(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted and rejected levels of each epoch of that stream."""
+    return _book_changes(spark, d).groupBy("epoch", "accepted").agg(F.count("*").alias("levels"), F.min("u").alias("first_u"))
 
 
-QUERIES |= {"stream_minute": stream_minute, "stream_ingest": stream_ingest, "stream_book": stream_book}
+# Epoch k + 1 begins `UNSYNCED` updates after the k-th broken sequence.
+_EPOCHS = catalog._DIFFS + f""", changes AS (SELECT side, price, qty, u, CASE WHEN ord < {499 + T.UNSYNCED} THEN 0 ELSE (ord - {499 + T.UNSYNCED}) // 500 + 1 END + 1 AS epoch, NOT (ord >= 499 AND (ord - 499) % 500 < {T.UNSYNCED}) AS accepted FROM diffs
+UNION ALL SELECT x.side, x.price, (event_id % 7 + 1)::DOUBLE, event_id * 3 + 2, CASE WHEN event_id = 0 THEN 1 ELSE (event_id - {499 + T.UNSYNCED}) // 500 + 2 END, true FROM events, (VALUES ('bid', 100.25::DOUBLE), ('ask', 200.75::DOUBLE)) x(side, price) WHERE event_id = 0 OR (event_id > 499 AND event_id % 500 = {(499 + T.UNSYNCED) % 500}))"""
+QUERIES |= {"stream_minute": stream_minute, "stream_ingest": stream_ingest, "stream_book": stream_book, "stream_book_log": stream_book_log}
 SQL |= {
     "stream_minute": f"WITH {catalog.TRADES} SELECT timestamp // 60000 * 60000 AS minuto, count(*) AS trades, sum({catalog.BUY}) AS buy_vol, sum({catalog.SELL}) AS sell_vol FROM trades GROUP BY 1",
     "stream_ingest": f"WITH {catalog.TRADES} SELECT 'SOLUSDT' AS symbol, market, {catalog.CASE.replace('volume_usdt', '(price * volume_base)')} AS seg, count(*) AS trades FROM trades WHERE ({catalog._KIND}) IS NULL GROUP BY ALL",
-    "stream_book": f"WITH {catalog._BOOK} SELECT side, price, qty FROM book",
+    "stream_book": f"WITH {_EPOCHS} SELECT side, price, qty FROM (SELECT side, price, arg_max(qty, u) AS qty FROM changes WHERE accepted AND epoch = (SELECT max(epoch) FROM changes) GROUP BY ALL) WHERE qty > 0",
+    "stream_book_log": f"WITH {_EPOCHS} SELECT epoch, accepted, count(*) AS levels, min(u) AS first_u FROM changes GROUP BY ALL",
 }

@@ -1,11 +1,14 @@
 """The facade, the catalog of files and the live source."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from bandflow.api import Engine
+from bandflow.operators import liquidations, live
 from bandflow.sources import catalog, exchange
-from bandflow.sources.trades import TRADE_SCHEMA
+from bandflow.sources.trades import TRADE_SCHEMA, book_diffs, dense_trades, liquidation_orders, with_bands, write_trades
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +40,34 @@ def test_analysis_and_errors(engine):
     assert engine.run_analysis("resumen", "BTCUSDT", "spot").error
 
 
+def test_written_store_is_read(spark, tmp_path):
+    rows = [(1_704_067_200_000 + 3_600_000 * j, 100.0 + j, 50.0 * 4**j, 0.5, j % 2, "SOLUSDT", "spot") for j in range(30)]
+    t = spark.createDataFrame(rows, "timestamp long, price double, volume_usdt double, volume_base double, side int, symbol string, market string")
+    write_trades(with_bands(t), f"{tmp_path}/store")
+    store = Engine(spark, f"{tmp_path}/store")
+    assert store.list_symbols() == ["SOLUSDT"] and [r["name"] for r in store.list_files("SOLUSDT").collect()] == ["2024-01-01.parquet", "2024-01-02.parquet"]
+    assert store.run_analysis("resumen", "SOLUSDT", "spot").frame.first()["trades"] == 30
+    got = store.trades("SOLUSDT", "spot", "2024-01-01.parquet")
+    assert got.count() == 24 and [r["price"] for r in got.orderBy("ord").collect()] == [100.0 + j for j in range(24)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seg,10)" in plan(got.where("seg >= 10"))
+    cvd = plan(live.cvd(store.trades("SOLUSDT", "spot"), hours=(1, 4)))
+    assert cvd.count("FileScan") == 1 and "GreaterThanOrEqual(timestamp,1704157200000)" in cvd
+    assert store.drop_file("SOLUSDT", "spot", "2024-01-01.parquet") and store.trades("SOLUSDT", "spot").count() == 6
+    assert not store.drop_file("SOLUSDT", "spot", "2024-01-01.parquet")
+
+
+def test_live_reports_and_dashboard(spark, tmp_path):
+    events = "/root/testdata/sf0.001"
+    if not Path(events).exists():
+        pytest.skip("test tables are not here")
+    t = dense_trades(spark, events)
+    reports = Engine(spark, str(tmp_path)).live_report(t)
+    assert all(df.count() > 0 for df in reports.values())
+    liqs = liquidations.events(liquidation_orders(spark, events))
+    assert all(df.count() > 0 for df in Engine(spark, str(tmp_path)).dashboard(t, book_diffs(spark, events), liqs).values())
+
+
 def test_levels_history(engine):
     found = engine.levels_newest("SOLUSDT")
     engine.append_levels(found, 1, "Asia", "SOLUSDT")

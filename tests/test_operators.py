@@ -74,6 +74,11 @@ RAW = '{"e":"trade","E":5,"s":"B","t":9,"p":"%s","q":"%s","T":%s,"m":%s}'
         (RAW % ("1", "1", "-5", "true"), "json", None, None),
         ('{"p":1.5,"q":"1","T":5,"m":true}', "json", None, None),
         ('{"p":"1.5","q":"1","t":5,"m":true}', "json", None, None),
+        ('{"p":"1.5","q":"1","T":5,"m":true}', "json", None, None),
+        ('{"e":"trade","E":5,"t":9,"p":"1.5","q":"1","T":5,"m":true}', "json", None, None),
+        ('{"e":"trade","E":"5","s":"B","t":9,"p":"1.5","q":"1","T":5,"m":true}', "json", None, None),
+        (RAW % ("inf", "1", "5", "true"), None, float("inf"), 1),
+        (RAW % ("NaN", "1", "5", "true"), "trade", None, None),
     ],
 )
 def test_normalise(spark, raw, kind, usdt, side):
