@@ -26,8 +26,9 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, chain
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import pyarrow as pa
@@ -41,8 +42,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Tokens in which percent escapes may spell compressed bytes, and how these begin.
+TOKEN = re.compile(r"""[^\s"'<>&]++""")
+PACKED = re.compile(r"%1f%8b|(?:x|%78)%(?:01|5e|9c|da)|x\^|BZh[1-9]1AY|%fd7zXZ%00", re.IGNORECASE)
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Shorter runs can hold a finding only if they are compressed; of the formats only zlib is so short, and begins so.
+SHORT = re.compile(r"(?<![A-Za-z0-9+/_-])e[A-P][A-Za-z0-9+/_-]{8,13}(?![A-Za-z0-9+/_-])={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Base64 lines over single line breaks; the last line may be short.
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
@@ -90,6 +96,19 @@ class Layer:
     def inside(cls, text: str, span: Span) -> Layer:
         return cls(text, [0], [span], [False])
 
+    @classmethod
+    def grouped(cls, text: str, groups: list[Span]) -> Layer:
+        """Text whose UTF-8 bytes came in threes from `groups`."""
+        if text.isascii():
+            starts = list(range(0, len(text), 3))
+            return cls(text, starts, groups[: len(starts)], [False] * len(starts))
+        at, origins = 0, []
+        for c in text:
+            end = at + len(c.encode("utf-8"))
+            origins.append((groups[at // 3][0], groups[(end - 1) // 3][1]))
+            at = end
+        return cls(text, list(range(len(text))), origins, [False] * len(text))
+
     def place(self, start: int, end: int) -> Span:
         """Span of the original text that characters start..end came from."""
         i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
@@ -139,21 +158,28 @@ def readable(data: bytes) -> str | None:
 
 
 def percent_pieces(text: str) -> list[tuple[int, int, str]]:
-    """One piece for each character that percent escapes spell."""
+    """One piece for each character that percent escapes spell; bytes that are no UTF-8 stay escaped."""
     out = []
     for m in PERCENT.finditer(text):
-        try:
-            decoded = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
         at = m.start()
-        for c in decoded:
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":
+                at += 3
+                continue
             end = at + 3 * len(c.encode("utf-8"))
             out.append((at, end, c))
             at = end
     return out
 
 
+def percent_blobs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of what looks like compressed bytes in percent escapes."""
+    for token in TOKEN.finditer(text):
+        if "%" in token[0]:
+            for m in PACKED.finditer(token[0]):
+                yield token.start() + m.start(), token.end(), unquote_to_bytes(token[0][m.start() :])
+
+
 def unicode_pieces(text: str) -> list[tuple[int, int, str]]:
     """One piece for each character that Unicode escapes spell; surrogates count in pairs."""
     out: list[tuple[int, int, str]] = []
@@ -177,6 +203,9 @@ def blobs(text: str) -> Iterator[tuple[int, int, bytes]]:
             for start, end in wrapped(m[0]):
                 if (data := from_base64(m[0][start:end].replace("\r", "").replace("\n", ""))) is not None:
                     yield m.start() + start, m.start() + end, data
+    for m in SHORT.finditer(text):
+        if (data := from_base64(m[0], 10)) is not None:
+            yield m.start(), m.end(), data
     for m in BASE64.finditer(text):
         if (data := from_base64(m[0])) is not None:
             yield m.start(), m.end(), data
@@ -203,9 +232,17 @@ def wrapped(run: str) -> list[Span]:
     return list(out)
 
 
-def from_base64(blob: str) -> bytes | None:
+def groups_of(run: str, start: int) -> list[Span]:
+    """Places of each four base64 characters of `run`, line breaks not counted."""
+    if "\n" not in run:
+        return [(start + i, start + min(i + 4, len(run))) for i in range(0, len(run), 4)]
+    at = [start + i for i, c in enumerate(run) if c not in "\r\n"]
+    return [(at[i], at[min(i + 3, len(at) - 1)] + 1) for i in range(0, len(at), 4)]
+
+
+def from_base64(blob: str, least: int = 16) -> bytes | None:
     core = blob.rstrip("=")
-    if len(core) % 4 == 1 or len(core) < 16:
+    if len(core) % 4 == 1 or len(core) < least:
         return None
     alphabet = core.replace("-", "+").replace("_", "/")
     try:
@@ -314,13 +351,13 @@ def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
             seen.add(key)
             work.append(layer)
 
-    def opened(data: bytes, span: Span) -> bool | None:
-        """Whether all of `data` was seen; None if it is neither text nor compressed."""
+    def opened(data: bytes, span: Span, groups: Callable[[], list[Span]] | None = None) -> bool | None:
+        """Whether all of `data` was seen; None if it is neither text nor compressed. `groups` are the places of its threes of bytes."""
         known, whole = None, True
         while True:
             plain = readable(data)
             if plain is not None:
-                push(Layer.inside(plain, span))
+                push(Layer.inside(plain, span) if groups is None or known is not None else Layer.grouped(plain, groups()))
                 return whole
             stream = Inflated([data])
             pieces, held, size = iter(stream), [], 0
@@ -342,7 +379,10 @@ def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
             push(replaced(layer, pieces))
         if "\\" in layer.text and (pieces := unicode_pieces(layer.text)):
             push(replaced(layer, pieces))
-        tried = [(start, end, opened(data, layer.place(start, end))) for start, end, data in blobs(layer.text)]
+        places = lambda start, end: lambda: [layer.place(s, e) for s, e in groups_of(layer.text[start:end], start)]
+        tried = [(start, end, opened(data, layer.place(start, end), places(start, end))) for start, end, data in blobs(layer.text)]
+        if "%" in layer.text:
+            tried += [(start, end, opened(data, layer.place(start, end))) for start, end, data in percent_blobs(layer.text)]
         complete &= settled(tried)
     return complete
 
@@ -350,7 +390,7 @@ def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
     """(plain findings, all findings, whether every layer was opened whole)."""
     base = base_matches(text)
-    if "%" not in text and "\\" not in text and not BASE64.search(text):
+    if "%" not in text and "\\" not in text and not BASE64.search(text) and not SHORT.search(text):
         return base, base, True
     found = set(base)
     complete = explore(Layer.whole(text), found)

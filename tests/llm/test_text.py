@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import time
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -110,6 +112,49 @@ def test_wrapped_base64_and_members(width, end):
     assert not secrets.scan(cut)[2]
 
 
+def test_holes_that_were(spark):
+    find = lambda t: secrets.scan(t)[1]
+    access = "AKIA" + "Q" * 16
+    assert ("access" in [k for *_, k in find("%FF" + "".join(f"%{b:02X}" for b in access.encode()))]) and find("é%41KIA" + "Q" * 16)
+    for packed in (gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode())):
+        text = "a=1&data=" + urllib.parse.quote_from_bytes(packed) + "&b=2"
+        assert any(k == "assign" and s >= 2 and e <= len(text) - 4 for s, e, k in find(text))
+    tiny = base64.b64encode(zlib.compress(b"0" * 16)).decode()
+    assert len(tiny) <= 16 and (2, 2 + len(tiny), "hex") in find(f"a {tiny} b")
+    for filler, end in (("plain words here. ", ""), ("wörter änd öther. ", ""), ("plain words here. ", "\n")):
+        plain = f"{filler}{SECRET} {filler}{access} {filler}"
+        blob = base64.b64encode(plain.encode()).decode()
+        blob = end.join(blob[i : i + 60] for i in range(0, len(blob), 60))
+        got = sorted((s, e) for s, e, k in find(f"x {blob} y") if k in ("assign", "access"))
+        assert len(got) >= 2 and got[0][1] <= got[-1][0] and all(e - s < len(blob) / 2 for s, e in got)
+        for s, e in got:
+            assert 2 <= s < e <= 2 + len(blob)
+
+
+def plain_findings(text):
+    """The base findings by one loop over places, without `finditer`."""
+    out, kinds = [], ((secrets.ASSIGN, "assign"), (re.compile("AKIA[A-Z0-9]+"), "access"), (re.compile("[0-9a-f]+"), "hex"))
+    for order, (pattern, kind) in enumerate(kinds):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if not m:
+                at += 1
+                continue
+            good = len(m[2]) >= 12 if kind == "assign" else m.end() - m.start() >= (18 if kind == "access" else 16)
+            if good:
+                out.append((m.start(), order, m.end(), kind))
+            at = m.end()
+    return [(s, e, k) for s, _, e, k in sorted(out)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "api_key", "Token", " ", "=", ":", "\"", "AKIA", "ABCD0123", "0123456789abcdef", "deadbeef", "é", "x", "_-./", "\n"]), max_size=24))
+def test_base_findings_by_brute_force(parts):
+    text = "".join(parts)
+    assert secrets.scan(text)[0] == plain_findings(text)
+
+
 def test_large_layers_are_scanned(monkeypatch):
     monkeypatch.setattr(secrets, "MAX_EXPANDED", 3 << 20)
     filler = "some words of prose, and more. " * 400_000
