@@ -10,13 +10,13 @@ byte of every document.
 
 Defined results: null text or text without a letter is `und` with score 0;
 without any labelled document to learn from, everything is `und`; repeated
-rows give repeated results; extra columns are carried along by
-`identify` and never read.
+rows give repeated results; an empty table gives an empty result; extra columns
+are carried along by `predictions` and never read, but for those named
+lang_pred and score, which are overwritten.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Bytes of a window at prediction, and windows computed at once.
 WINDOW, BATCH = 128, 2048
@@ -36,6 +35,7 @@ WINDOW, BATCH = 128, 2048
 @dataclass(frozen=True)
 class Training:
     docs_per_lang: int = 400
+    langs: int = 64  #: languages learnt at most, the most frequent ones
     windows: int = 4
     length: int = 64
     hidden: int = 12
@@ -199,6 +199,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: numerals, ordinals and marks are none."""
+    return any(map(str.isalpha, text))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -206,13 +211,13 @@ def held_out() -> Column:
 def sample(docs: DataFrame, how: Training) -> list[tuple[str, list[bytes]]]:
     """(lang, windows) of at most `docs_per_lang` labelled documents of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.langs).collect()}
     if not sizes:
         return []
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(how.seed)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * how.docs_per_lang / n))])
     at = [F.substring("text", (F.length("text") * F.lit(i / how.windows)).cast("int") + 1, how.length) for i in range(how.windows)]
-    got = rows.withColumn("u", draw).where(F.col("u") < F.element_at(share, F.col("lang"))).select("lang", "u", F.array(*at).alias("w")).collect()
+    got = rows.withColumn("u", draw).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "u", F.array(*at).alias("w")).collect()
     out, taken = [], dict.fromkeys(sizes, 0)
     for r in sorted(got, key=lambda r: (r["u"], r["w"])):
         if taken[r["lang"]] < how.docs_per_lang:
@@ -236,6 +241,7 @@ def learn(docs: DataFrame, how: Training | None = None) -> Recogniser | None:
 
 def predictions(docs: DataFrame, net: Recogniser | None, keep: list[str]) -> DataFrame:
     """Columns `keep`, lang_pred and score for every row of `docs`; only `text` is looked at."""
+    keep, text = [c for c in keep if c.lower() not in ("lang_pred", "score")], fresh(docs, "_text")
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +249,7 @@ def predictions(docs: DataFrame, net: Recogniser | None, keep: list[str]) -> Dat
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                known = [i for i, t in enumerate(texts) if net is not None and LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if known:
                     p = net.pooled([texts[i].encode() for i in known])
@@ -252,7 +258,7 @@ def predictions(docs: DataFrame, net: Recogniser | None, keep: list[str]) -> Dat
                         langs[i], scores[i] = net.langs[best], min(1.0, float(row[best]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

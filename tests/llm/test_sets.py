@@ -117,8 +117,9 @@ def test_language_held_out(spark):
     docs = common.table(spark, SF, "documents")
     got = langid.op2_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.9 and got["score"].between(0, 1).all()
-    odd = spark.createDataFrame([(1, None, "en", "s"), (2, "123 !", "en", "s"), (3, "", None, "s")], "doc_id long, text string, lang string, score string")
-    assert [r["lang_pred"] for r in langid.predictions(odd, langid.learn(docs), ["doc_id"]).collect()] == ["und"] * 3
+    texts = [None, "123 !", "", "½ ² ① Ⅷ"]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score string, _text int")
+    assert [(r["lang_pred"], r["score"], r["_text"]) for r in langid.predictions(odd, langid.learn(docs), odd.columns).collect()] == [("und", 0.0, 1)] * 4
     assert langid.learn(odd.limit(0)) is None
     assert langid.predictions(docs, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
@@ -129,23 +130,40 @@ def corpus(spark, n=300):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_mixing_meets_marginals(spark):
-    out = mixing.mix(corpus(spark), mixing.Targets(shares={"source": {"a": 0.3, "b": 0.7, "gone": 5.0}}, rounds=200)).toPandas()
-    w = out["n_tokens"] * out["weight"]
-    share = w.groupby(out["source"]).sum() / w.sum()
-    assert share["b"] == pytest.approx(0.7, abs=1e-3)
-    lang = out.assign(w=w, lang=out["lang"].fillna("(none)")).groupby("lang")[["w", "n_tokens"]].sum()
-    want = lang["n_tokens"] ** 0.5 / (lang["n_tokens"] ** 0.5).sum()
-    assert (lang["w"] / lang["w"].sum() - want).abs().max() < 1e-3
-    assert (out["n_tokens"] * out["probability"]).sum() == pytest.approx(0.6 * out["n_tokens"].sum(), rel=1e-3)
-    assert mixing.mix(corpus(spark).limit(0)).count() == 0
+def test_mixing_sample_meets_marginals(spark):
+    """Expected drawn tokens, with cells that are drawn whole among them."""
+    d = corpus(spark).withColumns({"topic": F.when(F.col("doc_id") % 10 == 0, "sports").otherwise("news"), "weight": F.lit("clash"), "_lang": F.lit(1)})
+    how = mixing.Targets(shares={"source": {"a": 0.35, "b": 0.65, "gone": 5.0}, "topic": {"sports": 0.2, "news": 0.8}}, budget=0.45)
+    out = mixing.mix(d, how).toPandas()
+    w = out["n_tokens"] * out["probability"]
+    shares = {c: w.groupby(out[c].fillna("(none)")).sum() / w.sum() for c in ("source", "topic", "lang")}
+    assert (out["probability"] == 1).any() and set(out["topic"]) == {"sports", "news"} and set(out["_lang"]) == {1}
+    assert shares["source"]["b"] == pytest.approx(0.65, abs=0.01) and shares["topic"]["sports"] == pytest.approx(0.2, abs=0.01)
+    tokens = out.groupby(out["lang"].fillna("(none)"))["n_tokens"].sum() ** 0.5
+    assert (shares["lang"] - tokens / tokens.sum()).abs().max() < 0.01
+    assert w.sum() == pytest.approx(0.45 * out["n_tokens"].sum(), rel=0.01)
+    assert out["n_tokens"][out["drawn"]].sum() == pytest.approx(w.sum(), rel=0.1)
+    assert np.allclose(out["weight"] * 0.45, out["probability"]) and mixing.mix(d.limit(0)).count() == 0
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mix(d.withColumn("lang", F.col("source")), mixing.Targets(shares={"source": {"a": 0.9, "b": 0.1}, "lang": {"a": 0.1, "b": 0.9}}, budget=0.2))
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
+def test_mixing_tables_meet_targets(spark):
+    out = mixing.op9_mixing(spark, SF).toPandas()
+    w = out["n_tokens"] * out["probability"]
+    for c in mixing.DIMENSIONS:
+        of = out[c].fillna("(none)")
+        totals = out["n_tokens"].groupby(of).sum()
+        want = mixing.goal(totals.to_numpy(float), list(totals.index), None, mixing.Targets())
+        assert np.abs(w.groupby(of).sum().to_numpy() - want).max() < 0.01 * want.sum()
 
 
 def test_mixing_large_equals_small(spark):
     how = mixing.Targets(rounds=4, tolerance=0.0)
     a = mixing.mix(corpus(spark, 60), how).orderBy("doc_id").toPandas()
     b = mixing.mix(corpus(spark, 60), how, small_cells=0).orderBy("doc_id").toPandas()
-    assert np.allclose(a["weight"], b["weight"]) and np.allclose(a["probability"], b["probability"], atol=1e-6)
+    assert np.allclose(a["weight"], b["weight"], atol=1e-6) and np.allclose(a["probability"], b["probability"], atol=1e-6)
 
 
 def test_next_and_fingerprints(spark, monkeypatch, tmp_path):
