@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Keys that `salted_join` may deal over several tasks, and rows up to which a key never needs it.
 HOT_KEYS, HOT_ROWS = 10_000, 1000
+#: Rows of an Arrow batch of texts or sets.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering the session's Arrow batches to `BATCH_ROWS` rows, so that a worker holds few long texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, else (tests) a local one."""
     given = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: What may stand between the quoted values of a tag. Quotes count after an equals sign; possessive repeats keep broken tags linear.
 BETWEEN = r"""[^<>"'=]++|=(?!\s*["'])|["']"""
@@ -409,7 +409,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
             texts = [model.extract(value.as_py()) for value in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, salted_join, stored, table, workspace
+from .common import components, salted_join, small_batches, stored, table, workspace
 
 #: Ids or block keys known to be at most this many are broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -50,7 +50,7 @@ STARS, CHUNK = 3, 2048
 #: Frequent shingles that are known to all tasks (9 bytes each); they only order the blocks, so that the bound costs no pair.
 FREQUENT = 1 << 18
 #: Shingles of a stretch of documents that are counted at once, least count in it, and most that are passed on from it.
-STRETCH_CODES, OFTEN, STRETCH_SHINGLES = 1 << 22, 4, 1 << 13
+STRETCH_CODES, OFTEN, STRETCH_SHINGLES = 1 << 21, 4, 1 << 12
 #: Width of a size band: its largest size over its smallest.
 BAND = 1.5
 U = np.uint64
@@ -152,7 +152,7 @@ class Rule:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 class Frequent:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, salted_join, stored, table, workspace
+from .common import fresh, salted_join, small_batches, stored, table, workspace
 
 #: Least words of an aligned block.
 MIN_WORDS = 8
@@ -162,7 +162,7 @@ def lined(docs: DataFrame) -> DataFrame:
     """(unit, doc_id, h, w): hashes and word counts of each different document's lines."""
     lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x, F.lit(BLANKS)))
     hashes, words = F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, word_count)
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.select(unit().alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("h"), words.alias("w")).dropDuplicates(["unit"])
 
 

@@ -3,11 +3,13 @@
 A vector is scaled to length one and turned by a random orthonormal frame; the
 signs of its coordinates are its code. Beside the code stands a correction
 factor, the inner product of the coded and the turned vector: dividing by it
-makes the inner product of a code with another turned vector an unbiased
+makes the inner product of a code with another unit vector an unbiased
 estimate of the cosine, whose error lies within a bound known from the factor.
-Pairs whose upper bound is below the threshold are rejected by it; all others
-are computed again exactly, in double precision, and only those exact values
-decide.
+`coded` computes code, factor and the unit vector in bytes (the other side of
+an estimate) once for each vector, and only these are compared. Pairs whose
+upper bound is below the threshold are rejected by it; for all others the
+vectors themselves are fetched and the cosine is computed again in double
+precision, and only those exact values decide.
 
 Which pairs are looked at follows from the code, too: it is cut into bands of
 bits, and vectors of one label meet where they agree on a band. The bits of a
@@ -15,15 +17,19 @@ band grow with the logarithm of the largest label and the number of bands
 follows from the bits, so that a pair at the threshold is missed with a
 probability of at most `MISS`; closer pairs are missed less often still.
 
-Equal vectors are one vertex with a count. Members of a band's value are dealt
-into chunks by hash, chunks meet in pairs, and no task holds more than two
-chunks, however many vectors agree. A pair that agrees on several bands is
-taken from the first.
+Equal vectors are one vertex with a count. The members of a band's value are
+dealt into chunks by hash and each task compares two chunks, however many
+vectors agree. It passes on, for each vector, which of the other chunk stay
+open, and after the exact comparison how many links each vector has and a
+spanning forest of them, so no list of all links is ever made. A pair that
+agrees on several bands is taken from the first.
 
 Defined results: a vector that is null, empty, zero or holds null or
 non-finite components, or whose label or id is null, links with nothing;
 vectors of different lengths don't link; rows that repeat id and vector count
-as copies; an empty table gives an empty result; extra columns are not read.
+as copies; rows with equal ids and different vectors share the larger count and
+the smaller component; an empty table gives an empty result; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, salted_join, stored, table, workspace
 
 #: Chance of missing a pair at the threshold.
 MISS = 1e-6
@@ -44,6 +50,8 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Vectors of a chunk, on average.
 CHUNK = 256
+#: Least bits of a code, which set the error of estimates.
+LEAST_BITS = 256
 SEED = 29
 _frames: dict[tuple[int, int], np.ndarray] = {}
 
@@ -62,6 +70,7 @@ def bands_for(bits: int, threshold: float) -> int:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -72,14 +81,19 @@ def codes(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return signs, np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1])
 
 
-def upper_bounds(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of the cosines of rows of `a` with coded rows of `b`, and upper bounds of them."""
-    signs, factor = codes(b, bits)
-    length = signs.shape[1]
-    turned = unit(a) @ frame(bits, a.shape[1]).T
-    estimate = turned @ np.where(signs, 1.0, -1.0).T / math.sqrt(length) / factor
+def in_bytes(rows: np.ndarray) -> np.ndarray:
+    """Unit vectors with components in steps of 1/127 of one."""
+    return np.rint(unit(rows) * 127).astype(np.int8)
+
+
+def upper_bounds(small: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of the cosines of vectors `in_bytes` with coded ones, and upper bounds of them."""
+    length, size = signs.shape[1], small.shape[1]
+    decoded = np.where(signs, 1.0, -1.0) @ frame(length, size) / math.sqrt(length) / factor[:, None]
+    estimate = (small / 127.0) @ decoded.T
     error = ERRORS * np.sqrt((1 - factor**2) / factor**2 / max(1, length - 1))
-    return estimate, estimate + error
+    rounding = np.linalg.norm(decoded, axis=1) * math.sqrt(size) / 254
+    return estimate, estimate + error + rounding
 
 
 def valid_vectors(table_: DataFrame) -> DataFrame:
@@ -94,85 +108,139 @@ def distinct_vectors(valid: DataFrame) -> DataFrame:
     return valid.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies"), F.first("v").alias("v"))
 
 
-def band_keys(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
-    """(key, band, uid) for each band of each vector."""
+def coded(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(uid, label, size, code, factor, small): what estimates need of each vector, in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            uid, label = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             sizes = lists.value_lengths().to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 for part in np.array_split(at, max(1, len(at) // 1000)):
                     rows = np.array(lists.take(pa.array(part)).flatten()).reshape(len(part), size)
-                    values = codes(rows, bits * bands)[0][:, : bits * bands].reshape(len(part), bands, bits) @ weights
-                    names = ["uid", "label", "size", "band", "value"]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[part], bands)), pa.array(np.repeat(label[part], bands), pa.string()), pa.array(np.full(n * bands, size, np.int32)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(values.ravel())], names=names)
+                    signs, factor = codes(rows, max(LEAST_BITS, bits * bands))
+                    packed = np.packbits(signs, axis=1)
+                    columns = [batch.column(0).take(pa.array(part)), batch.column(1).take(pa.array(part)), pa.array(np.full(len(part), size, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(factor), pa.array([x.tobytes() for x in in_bytes(rows)], pa.binary())], names=["uid", "label", "size", "code", "factor", "small"])
 
-    rows = vectors.select("uid", "label", "v").mapInArrow(run, "uid long, label string, size int, band int, value long")
-    return rows.select(F.xxhash64("label", "size", "band", "value").alias("key"), "band", "uid")
+    return vectors.select("uid", "label", "v").mapInArrow(run, "uid long, label string, size int, code binary, factor double, small binary")
 
 
-def links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b), a < b, of `vectors(uid, label, v)`: exact cosine at least `threshold`."""
-    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    bits = min(40, max(8, math.ceil(math.log2(largest)) + 2))
-    bands = bands_for(bits, threshold)
-    keys = stored(band_keys(vectors, bits, bands), "keys")
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(common, "key").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CHUNK)))
-    members = members.join(vectors.select("uid", "v"), "uid")
-    chunks = members.groupBy("key", "band", "chunk").agg(F.collect_list(F.struct("uid", "v")).alias("of"))
-    chunks = stored(chunks, "chunks")
-    other = chunks.select("key", F.col("chunk").alias("chunk2"), F.col("of").alias("of2"))
-    both = chunks.join(other, "key").where("chunk <= chunk2").select("band", (F.col("chunk") == F.col("chunk2")).alias("same"), "of", "of2")
-    estimate_bits = 256
-
-    def unpack(cell) -> tuple[np.ndarray, np.ndarray]:
-        flat = cell.values
-        ids, lists = flat.field("uid").to_numpy(), flat.field("v")
-        return ids, np.array(lists.flatten()).reshape(len(ids), -1)
+def signs_of(packed: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
 
-        def values(rows: np.ndarray, upto: int) -> np.ndarray:
-            return codes(rows, bits * bands)[0][:, : bits * upto].reshape(len(rows), upto, bits) @ weights
+def band_values(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    return signs[:, : bits * bands].reshape(len(signs), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
 
+def band_keys(marks: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(key, band, uid) for each band of each coded vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, same, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                a_ids, a = unpack(x)
-                b_ids, b = unpack(y)
-                if len(a_ids) < 2 and same or a.shape[1] != b.shape[1]:
-                    continue
-                open_ = upper_bounds(a, b, max(estimate_bits, a.shape[1]))[1] >= threshold
-                if same:
-                    open_ &= a_ids[:, None] < b_ids[None, :]
-                i, j = np.nonzero(open_)
-                exact = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a[i], axis=1) * np.linalg.norm(b[j], axis=1))
-                i, j = i[exact >= threshold], j[exact >= threshold]
-                if band and len(i):
-                    earlier = (values(a, band)[i] == values(b, band)[j]).any(axis=1)
-                    i, j = i[~earlier], j[~earlier]
-                if len(i):
-                    p, q = a_ids[i], b_ids[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n = part.num_rows
+                by_width: dict[int, list[int]] = {}
+                for i, code in enumerate(part.column(3).to_pylist()):
+                    by_width.setdefault(len(code), []).append(i)
+                for rows in by_width.values():
+                    values = band_values(signs_of(part.column(3).take(pa.array(rows)).to_pylist()), bits, bands)
+                    of = pa.array(np.repeat(rows, bands))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in (0, 1, 2)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(rows))), pa.array(values.ravel())], names=["uid", "label", "size", "band", "value"])
+
+    rows = marks.select("uid", "label", "size", "code").mapInArrow(run, "uid long, label string, size int, band int, value long")
+    return rows.select(F.xxhash64("label", "size", "band", "value").alias("key"), "band", "uid")
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Those of `pairs` that join what wasn't joined before."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    keep = []
+    for i, (a, b) in enumerate(pairs.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[b] = a
+            keep.append(i)
+    return pairs[keep]
+
+
+def still_open(marks: DataFrame, threshold: float, bits: int, bands: int, folder: str) -> DataFrame:
+    """(key, x, y, uid, right, mask): the vectors of two chunks of a band's value whose upper bounds leave a pair open. The
+    `mask` of a vector of chunk x has a bit for each listed vector of chunk y, by uid."""
+    keys = stored(band_keys(marks, bits, bands), "keys", folder)
+    common = stored(keys.groupBy("key").agg(F.count("*").alias("count"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("count > 1"), "common", folder)
+    members = salted_join(keys, common.drop("count"), "key", "uid", common.select("key", "count"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.select("key", "band", "uid", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
+    rows = members.join(marks.select("uid", "code", "factor", "small"), "uid")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("uid")
+        x, y, band = (group[c][0].as_py() for c in ("x", "y", "band"))
+        own, ids = group["own"].to_numpy(), group["uid"].to_numpy()
+        signs, factor = signs_of(group["code"].to_pylist()), group["factor"].to_numpy()
+        small = np.frombuffer(b"".join(group["small"].to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float64)
+        i, j = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        maybe = upper_bounds(small[i], signs[j], factor[j])[1] >= threshold
+        maybe &= upper_bounds(small[j], signs[i], factor[i])[1].T >= threshold
+        if x == y:
+            maybe &= i[:, None] < j[None, :]
+        values = band_values(signs, bits, band) if band else None
+        for k in range(band):  # a pair that agreed on an earlier band was taken there
+            maybe &= values[i, k][:, None] != values[j, k][None, :]
+        rows, columns = maybe.any(axis=1), maybe.any(axis=0)
+        masks = [m.tobytes() for m in np.packbits(maybe[rows][:, columns], axis=1)]
+        uid = np.concatenate((ids[i[rows]], ids[j[columns]]))
+        right = np.arange(len(uid)) >= rows.sum()
+        n = len(uid)
+        return pa.table({"key": pa.array([group["key"][0].as_py()] * n, pa.int64()), "x": pa.array(np.full(n, x, np.int32)), "y": pa.array(np.full(n, y, np.int32)), "uid": uid, "right": right, "mask": pa.array(masks + [None] * int(columns.sum()), pa.binary())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, x int, y int, uid long, right boolean, mask binary")
+
+
+def links(vectors: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """(uid, n, to): rows of counts of linked others by vector, and rows of links (uid, to) that span all. Links have an exact cosine of at least `threshold`."""
+    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = min(40, max(8, math.ceil(math.log2(largest)) + 2))
+    bands = bands_for(bits, threshold)
+    marks = stored(coded(vectors, bits, bands), "codes", folder)
+    rows = stored(still_open(marks, threshold, bits, bands, folder), "open", folder).join(vectors.select("uid", "v", "copies"), "uid")
+
+    def exact(group: pa.Table) -> pa.Table:
+        group = group.sort_by("uid")
+        right, ids, copies = (group[c].to_numpy() for c in ("right", "uid", "copies"))
+        v = unit(np.array(group["v"].combine_chunks().flatten()).reshape(len(ids), -1))
+        a, b = np.flatnonzero(~right), np.flatnonzero(right)
+        mask = np.unpackbits(np.frombuffer(b"".join(group["mask"].take(pa.array(a)).to_pylist()), np.uint8).reshape(len(a), -1), axis=1, count=len(b)).astype(bool)
+        i, j = np.nonzero(mask)
+        i, j = a[i], b[j]
+        cosine = np.concatenate([np.einsum("ij,ij->i", v[p], v[q]) for p, q in zip(np.array_split(i, len(i) // 50_000 + 1), np.array_split(j, len(i) // 50_000 + 1), strict=True)])
+        i, j = i[cosine >= threshold], j[cosine >= threshold]
+        n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        some, spanning = np.flatnonzero(n), forest(np.stack((ids[i], ids[j]), axis=1))
+        uid = np.concatenate((ids[some], spanning[:, 0])).astype(np.int64)
+        return pa.table({"uid": uid, "n": pa.array([*n[some].astype(np.int64).tolist(), *[None] * len(spanning)], pa.int64()), "to": pa.array([*[None] * len(some), *spanning[:, 1].tolist()], pa.int64())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(exact, "uid long, n long, to long")
 
 
 def near_duplicates(table_: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     valid = valid_vectors(table_).withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(SEED), "v", "label")})
-    vectors = stored(distinct_vectors(valid), "vectors")
-    found = stored(links(vectors, threshold), "links")
-    copies = vectors.select("uid", "copies")
-    ends = found.select(F.col("a").alias("uid"), F.col("b").alias("to")).unionAll(found.select(F.col("b").alias("uid"), F.col("a").alias("to")))
-    degree = ends.join(copies.withColumnRenamed("uid", "to"), "to").groupBy("uid").agg(F.sum("copies").alias("others"))
-    labels = components(found).select(F.col("id").alias("uid"), "component_id")
+    with workspace(table_.sparkSession) as folder:
+        vectors = stored(distinct_vectors(valid), "vectors")
+        found = stored(links(vectors, threshold, folder), "links")
+    degree = found.where("n is not null").groupBy("uid").agg(F.sum("n").alias("others"))
+    labels = components(found.where("to is not null").select(F.col("uid").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("uid"), "component_id")
     known = vectors.join(degree, "uid", "left").join(labels, "uid", "left").select("label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "uid").alias("component_id"))
     of_valid = valid.select("vec_id", "label", "h1", "h2").join(known, ["label", "h1", "h2"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = table_.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_valid, "vec_id", "left")

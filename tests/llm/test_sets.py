@@ -89,12 +89,25 @@ def test_embedding_links(spark, monkeypatch):
     assert neardup.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size_and_repeats(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal(24)
+    rows = [(i, [float(x) for x in (base + r.standard_normal(24) * 0.04) * scale], "a") for i, scale in enumerate((1e200, 1e-200, 1.0, 3e150))]
+    rows += [rows[0], rows[2], (9, [-x for x in rows[2][1]], "a"), (10, rows[2][1], None)]
+    got = {(x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {(0, 5, 0, True), (1, 5, 0, False), (2, 5, 0, False), (3, 5, 0, False), (9, 0, 9, True), (10, 0, 10, True)}
+
+
 def test_embedding_bounds_hold():
     r = np.random.default_rng(0)
     a, b = r.standard_normal((200, 32)), r.standard_normal((200, 32))
     exact = neardup.unit(a) @ neardup.unit(b).T
-    estimate, upper = neardup.upper_bounds(a, b, 256)
+    signs, factor = neardup.codes(b, 256)
+    estimate, upper = neardup.upper_bounds(neardup.in_bytes(a).astype(float), signs, factor)
     assert (exact <= upper).mean() > 0.9999 and abs((estimate - exact).mean()) < 0.002
+    near = b + r.standard_normal((200, 32)) * 0.1
+    exact = np.einsum("ij,ij->i", neardup.unit(near), neardup.unit(b))
+    assert (exact <= np.diag(neardup.upper_bounds(neardup.in_bytes(near).astype(float), signs, factor)[1])).all()
 
 
 def test_language_gradients():
