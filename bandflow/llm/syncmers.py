@@ -12,8 +12,10 @@ than k words or without a chosen window has one anchor, the hash of all its word
 texts have none. The likeness of two fingerprints is the share of anchors they
 have in common, 2 * common / (both counts), and 1 for two empty ones.
 
-Defined results: rows with equal ids follow each other by text hash; a null id
-comes after all others; a single document follows itself; an empty table
+All hashes have 64 bits. `anchor_positions` gives the anchors with their places.
+
+Defined results: rows with equal ids follow each other by text hash; null ids
+come after all others, by text hash; a single document follows itself; an empty table
 gives an empty result; columns besides doc_id and text are not read.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 #: Words in a window, and in the inner part that decides.
 K, S = 5, 1
@@ -44,47 +46,47 @@ def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
     raw = f"{out}_raw"
 
     def parts(w: Column) -> Column:
-        of = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.hash(*(F.get(c, i + j) for j in range(GRAM))))
+        of = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM))))
         return F.get(F.transform(F.array(F.split(w, "")), lambda c: of(c)), F.lit(0))  # characters are split off once a word
 
     long = lambda w: F.length(w) > LONG
     df = df.withColumn(raw, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS), lambda w: w != ""))
-    split = F.flatten(F.transform(raw, lambda w: F.when(long(w), parts(w)).otherwise(F.array(F.hash(w)))))
-    return df.withColumn(out, F.when(F.exists(raw, long), split).otherwise(F.transform(raw, lambda w: F.hash(w)))).drop(raw)
+    split = F.flatten(F.transform(raw, lambda w: F.when(long(w), parts(w)).otherwise(F.array(F.xxhash64(w)))))
+    return df.withColumn(out, F.when(F.exists(raw, long), split).otherwise(F.transform(raw, lambda w: F.xxhash64(w)))).drop(raw)
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """`df` with the array column `out` of the anchors of column `text`, in text order, each once."""
-    words, parts = f"_{out}_words", f"_{out}_parts"
+def with_windows(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """`df` with the array column `out` of the chosen windows of column `text`, in text order, as structs (position, anchor)."""
+    words, parts = fresh(df, f"_{out}_words"), fresh(df, f"_{out}_parts")
     df = with_words(df, text, words)
     inner = F.col(words)
     if s > 1:
         at = lambda i, j: F.get(F.col(words), i + j)
-        inner = F.when(F.size(words) >= s, F.transform(F.sequence(F.lit(0), F.size(words) - s), lambda i: F.hash(*(at(i, j) for j in range(s))))).otherwise(F.array().cast("array<int>"))
+        inner = F.when(F.size(words) >= s, F.transform(F.sequence(F.lit(0), F.size(words) - s), lambda i: F.xxhash64(*(at(i, j) for j in range(s))))).otherwise(F.array().cast("array<long>"))
     df = df.withColumn(parts, inner)
 
     def chosen(i: Column) -> Column:
         row = [F.get(F.col(parts), i + j) for j in range(k - s + 1)]
         least = F.least(*row)
-        whole = F.hash(*(F.get(F.col(words), i + j) for j in range(k)))
+        whole = F.struct(i.alias("position"), F.xxhash64(*(F.get(F.col(words), i + j) for j in range(k))).alias("anchor"))
         return F.when((row[0] == least) | (row[-1] == least), whole)
 
+    kind = "array<struct<position:int,anchor:bigint>>"
     many = F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - k), chosen), lambda x: x.isNotNull())
-    few = F.when(F.size(words) > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(out, F.when(F.size(words) >= k, F.array_distinct(many)).otherwise(F.array().cast("array<int>")))
+    few = F.when(F.size(words) > 0, F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(words).alias("anchor")))).otherwise(F.array().cast(kind))
+    df = df.withColumn(out, F.when(F.size(words) >= k, many).otherwise(F.array().cast(kind)).cast(kind))
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(few)).drop(words, parts)
 
 
-def anchor_positions(df: DataFrame, text: str, k: int = K) -> DataFrame:
-    """(doc_id, anchor, position): where the anchors of each text stand, for positional matching."""
-    df = with_words(df, text, "_w")
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """`df` with the array column `out` of the anchors of column `text`, in text order, each once."""
+    return with_windows(df, text, out, k, s).withColumn(out, F.array_distinct(F.col(f"{out}.anchor")))
 
-    def chosen(i: Column) -> Column:
-        row = [F.get(F.col("_w"), i + j) for j in range(k)]
-        return F.when((row[0] == F.least(*row)) | (row[-1] == F.least(*row)), F.hash(*row))
 
-    many = F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(0), F.size("_w") - k), chosen))
-    return df.select("doc_id", F.posexplode(many).alias("position", "anchor")).where("anchor is not null").select("doc_id", "anchor", "position")
+def anchor_positions(df: DataFrame, text: str, k: int = K, s: int = S) -> DataFrame:
+    """(doc_id, position, anchor): where the anchors of each text stand, for positional matching."""
+    windows = with_windows(df.select("doc_id", F.col(text).alias("text")), "text", "of", k, s)
+    return windows.select("doc_id", F.inline("of"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -106,27 +108,40 @@ def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame],
     stretch. No task sees more than its stretch. `derive` adds columns to the
     rows before they are dealt out.
     """
+    tag = "_next"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag = f"_{tag}"
+    c_stretch, c_tie, c_of, c_top, c_top_tie, c_to, c_first, c_part, c_copy = (f"{tag}_{x}" for x in ("stretch", "tie", "of", "top", "top_tie", "to", "first", "part", "copy"))
     cuts_at = [i / 256 for i in range(257)]
-    n, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", cuts_at, 10_000)).first()
+    n, unnamed, cuts = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", cuts_at, 10_000)).first()
     cuts = sorted(set(cuts or [0]))
     fine = max(1, math.ceil(n / len(cuts) / STRETCH_ROWS))
     bounds = F.array(*(F.lit(int(c)).cast("long") for c in [*cuts, cuts[-1] + 1]))
     i = F.greatest(F.lit(0), F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))) - 1)
     low, high = F.get(bounds, i).cast("double"), F.get(bounds, i + 1).cast("double")
     within = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id").cast("double") - low) / F.coalesce(high - low, F.lit(1.0)) * fine)))
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(i.cast("long") * fine + F.coalesce(within, F.lit(0)))
-    docs = docs.withColumn("_stretch", stretch)
-
-    order = Window.orderBy("_stretch")  # one row for each stretch
-    tops = docs.groupBy("_stretch").agg(F.max("doc_id").alias("_top"))
-    lowest = F.min("_stretch").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = cut(tops.select(F.col("_stretch").alias("_of"), "_top", F.coalesce(F.lead("_stretch").over(order), lowest).alias("_to")))
+    # Null ids are below all others and cut by text hash.
+    below = F.floor((F.col(c_tie).cast("double") / float(1 << 63) + 1) / 2 * max(1, math.ceil(unnamed / STRETCH_ROWS)))
+    stretch = F.when(F.col("doc_id").isNull(), -1 - below).otherwise(i.cast("long") * fine + F.coalesce(within, F.lit(0)))
+    docs = docs.withColumn(c_tie, F.xxhash64("text")).withColumn(c_stretch, stretch)
+
+    unnamed_part = max(1, math.ceil(unnamed / STRETCH_ROWS / 256))
+    # The first row of a stretch goes to the next higher one; the highest stretch of a coarse part to the lowest of the next part.
+    part = F.floor(F.col(c_of) / fine)
+    first_row = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", F.bitwise_not(c_tie).alias("t"))).alias(c_first)
+    tops = cut(docs.groupBy(F.col(c_stretch).alias(c_of)).agg(first_row).withColumn(c_part, F.when(F.col(c_of) < 0, F.floor(F.col(c_of) / unnamed_part)).otherwise(part)))
+    lowest = {r[c_part]: r["low"] for r in tops.groupBy(c_part).agg(F.min(c_of).alias("low")).collect()}  # at most 257 parts and 256 of null ids
+    parts = sorted(lowest)
+    following = F.create_map(*[F.lit(x) for p, q in zip(parts, parts[1:] + parts[:1], strict=True) for x in (p, lowest[q])]) if parts else F.lit(None)
+    order = Window.partitionBy(c_part).orderBy(c_of)
+    tops = tops.select(c_of, F.col(f"{c_first}.doc_id").alias(c_top), F.bitwise_not(F.col(f"{c_first}.t")).alias(c_top_tie), F.coalesce(F.lead(c_of).over(order), F.element_at(following, F.col(c_part)) if parts else F.lit(None)).cast("long").alias(c_to))
     tops = F.broadcast(tops) if tops.count() <= BROADCAST_STRETCHES else tops
-    first = docs.join(tops, (F.col("_stretch") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top"))).drop("_of", "_top", "_stretch")
-    both = docs.withColumn("_copy", F.lit(False)).unionByName(first.withColumnRenamed("_to", "_stretch").withColumn("_copy", F.lit(True)))
+    same = (F.col(c_stretch) == F.col(c_of)) & F.col("doc_id").eqNullSafe(F.col(c_top)) & (F.col(c_tie) == F.col(c_top_tie))
+    first = docs.join(tops, same).drop(c_of, c_top, c_top_tie, c_stretch)
+    both = docs.withColumn(c_copy, F.lit(False)).unionByName(first.withColumnRenamed(c_to, c_stretch).withColumn(c_copy, F.lit(True)))
     both = derive(both)
-    rows = Window.partitionBy("_stretch").orderBy("_copy", F.desc_nulls_last("doc_id"), "_tie")
-    return both.withColumn("_tie", F.xxhash64("text")).withColumns({f"next_{c}": F.lead(c).over(rows) for c in columns}).where(~F.col("_copy")).drop("_copy", "_tie", "_stretch")
+    rows = Window.partitionBy(c_stretch).orderBy(c_copy, F.desc_nulls_last("doc_id"), c_tie)
+    return both.withColumns({f"next_{c}": F.lead(c).over(rows) for c in columns}).where(~F.col(c_copy)).drop(c_copy, c_tie, c_stretch)
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

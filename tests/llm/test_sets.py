@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
+import struct
 from pathlib import Path
 
 import corpus_pipeline
 import helpers
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from bandflow.llm import common, jaccard_join, langid, mixing, neardup, syncmers, warc
@@ -203,10 +206,60 @@ def test_syncmers_are_closed_and_context_free(spark):
     a, b = (x["a"] for x in syncmers.with_anchors(d, "text", "a").orderBy("doc_id").collect())
     assert set(a) <= set(b) and len(a) > 10
     at = syncmers.anchor_positions(d, "text").toPandas()
+    assert at[at.doc_id == 0].anchor.tolist() == a
     joined = at[at.doc_id == 0].merge(at[at.doc_id == 1], on="anchor")
     assert set(joined.position_y - joined.position_x) == {2}
 
 
+def anchors_by_loop(text):
+    """Anchors by plain loops over windows of words."""
+    words = []
+    for w in re.split(r"[\x20\x09-\x0D]+", text or ""):
+        if len(w) > syncmers.LONG:
+            words += [chained(w[i : i + syncmers.GRAM]) for i in range(len(w) - syncmers.GRAM + 1)]
+        elif w:
+            words.append(chained([w]))
+    out = []
+    for i in range(len(words) - syncmers.K + 1):
+        row = words[i : i + syncmers.K]
+        if min(row) in (row[0], row[-1]):
+            out.append(chained(row))
+    return list(dict.fromkeys(out)) or ([chained(words)] if words else [])
+
+
+def chained(values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_fingerprints_by_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    texts = [" ".join(r.choices(WORDS[:40], k=r.randint(0, 50))) + r.choice(["", "\t\n", " " + "".join(r.choices("0123456789abcdefé漢", k=40))]) for _ in range(60)]
+    texts += [None, "", " ", texts[0], "x" * 17, "漢字" * 30]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in syncmers.op10_syncmers(spark, str(tmp_path)).collect()}
+    alike = lambda a, b: 1.0 if not a and not b else 2 * len(set(a) & set(b)) / (len(a) + len(b))
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        own, edited, following = (anchors_by_loop(x) for x in (t, t[: len(t) - half] + after[:half], after))
+        assert [int(x) for x in got[i]["fingerprint"].split()] == own and [int(x) for x in got[i]["edited_fingerprint"].split()] == edited
+        assert got[i]["near_edited"] == pytest.approx(alike(own, edited)) and got[i]["near_next"] == pytest.approx(alike(own, following))
+
+
+def test_next_of_null_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "STRETCH_ROWS", 2)
+    rows = [(i if i % 3 else None, f"t{i}") for i in range(40)] + [(7, "again"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_top": F.lit(1), "_next_of": F.lit("x")})
+    tie = {(x["doc_id"], x["text"]): x["h"] for x in d.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), tie[x]))
+    want = {x: y[1] for x, y in zip(order, order[1:] + order[:1], strict=True)}
+    assert {(x["doc_id"], x["text"]): x["next_text"] for x in syncmers.with_next(d, ["text"]).collect()} == want
+
+
 def test_short_and_unspaced_texts_have_anchors(spark, tmp_path):
     r = random.Random(5)
     short = [" ".join("".join(r.choices("etaoinshr", k=6)) for _ in range(n)) for n in (5, 6, 7) for _ in range(40)]
