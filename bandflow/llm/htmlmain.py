@@ -1,8 +1,12 @@
 """Main-text extraction by a tree-structured graphical model over DOM nodes.
 
 Every block element of a page is a binary variable, content or not. A node's
-potential comes from its tag, the hints in its class, id and role, the length
-of its text and its share of links; parent-child potentials depend on the kind
+potential comes from its tag (headers and footers inside an article apart from
+those of the page), the hints in its class, id and role, the length of its
+text and its share of links, and from what it looks like in the tree: words,
+link density and sentences of all that it holds, its place in the page, and
+whether its siblings repeat it. Training pages also carry neutral and
+misleading names, so that no hint alone decides; parent-child potentials depend on the kind
 of the parent. Sum-product messages pass from the leaves up to the root and
 back down, which gives each node's exact marginal; the text of nodes with a
 marginal of at least one half is the main text. Weights are learnt by exact
@@ -67,11 +71,12 @@ BAD_TAGS = {"nav", "footer", "aside", "form", "header", "button", "dialog", "fie
 
 
 class Node:
-    __slots__ = ("tag", "parent", "fixed", "kind", "gold", "words", "linked", "children")
+    __slots__ = ("tag", "parent", "fixed", "kind", "gold", "words", "linked", "children", "stops", "shape")
 
     def __init__(self, tag: str, parent: int, fixed: tuple[str, ...], kind: str, gold: bool):
         self.tag, self.parent, self.fixed, self.kind, self.gold = tag, parent, fixed, kind, gold
-        self.words = self.linked = self.children = 0
+        self.words = self.linked = self.children = self.stops = 0
+        self.shape: tuple[str, ...] = ()  #: features that the whole tree gives
 
 
 _described: dict[tuple[str, str], tuple[tuple[str, ...], str, bool]] = {}
@@ -155,6 +160,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         buffer.append(entities.unescape(text) if "&" in text else text)
         n = len(text.split())
         nodes[stack[-1]].words += n
+        nodes[stack[-1]].stops += sum(map(text.count, ".,;!?"))
         if link:
             nodes[stack[-1]].linked += n
 
@@ -212,6 +218,9 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         fixed, kind, gold = described(tag, attributes)
+        if tag in ("header", "footer") and (opened["article"] or opened["main"]):
+            fixed = (f"tag inner {tag}", *fixed[1:])
+            kind = "inner" if tag == "header" and not any(f.startswith("hint") for f in fixed) else kind
         nodes[stack[-1]].children += 1
         nodes.append(Node(tag, stack[-1], fixed, kind, gold))
         if not attributes.endswith("/"):
@@ -220,11 +229,42 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     if at < len(page):
         keep(page[at:])
     flush()
+    shaped(nodes)
     return nodes, runs
 
 
+def level(x: float, *bounds: float) -> int:
+    return sum(x >= b for b in bounds)
+
+
+def shaped(nodes: list[Node]) -> None:
+    """Sets the features that a node's subtree, siblings and place give."""
+    n = len(nodes)
+    words, linked, stops, blocks = ([getattr(x, c) for x in nodes] for c in ("words", "linked", "stops", "children"))
+    before, at = [0] * n, 0
+    for i, x in enumerate(nodes):
+        before[i], at = at, at + x.words
+    for i in range(n - 1, 0, -1):
+        p = nodes[i].parent
+        words[p] += words[i]
+        linked[p] += linked[i]
+        stops[p] += stops[i]
+        blocks[p] += blocks[i]
+    alike: Counter[tuple[int, str]] = Counter((x.parent, x.tag) for x in nodes)
+    for i, x in enumerate(nodes):
+        w = words[i]
+        out = [f"holds {level(w, 1, 4, 12, 40, 150)}", f"place {level(before[i], *(at * f for f in (0.05, 0.25, 0.6, 0.9))) if at else 0}"]
+        if w:
+            out.append(f"density {level(linked[i] / w, 0.02, 0.25, 0.6)}")
+            out.append(f"stops {level(stops[i], 1, 3, 8)} holds {level(w, 12, 60)}")
+            out.append(f"blocks {level(w / (blocks[i] + 1), 4, 10, 25)}")
+        if alike[x.parent, x.tag] > 2:
+            out.append("repeated")
+        x.shape = tuple(out)
+
+
 def features(node: Node) -> list[str]:
-    out = [*node.fixed]
+    out = [*node.fixed, *node.shape]
     w = node.words
     out.append("words 0" if not w else "words few" if w < 4 else "words some" if w < 12 else "words many" if w < 40 else "words long")
     if w:
@@ -308,7 +348,12 @@ def logistic(x: float) -> float:
     return 1 / (1 + exp(-x)) if x >= 0 else exp(x) / (1 + exp(x))
 
 
-def example_pages(n: int = 400, seed: int = 3) -> list[str]:
+#: Names that tell nothing, and names whose words belong to other parts of a page.
+NEUTRAL = ["box", "col-2", "block", "c1", "row wide", "inner", "panel", "module x"]
+MISLEADING = ["related", "with-sidebar", "widget-area", "post-comments-open", "has-ads", "more", "nav-target", "share-ready", "top-header"]
+
+
+def example_pages(n: int = 700, seed: int = 3) -> list[str]:
     """Labelled pages of varied layouts; content elements carry data-main="1"."""
     r = random.Random(seed)
     letters = "etaoinshrdlu"
@@ -340,8 +385,10 @@ def example_pages(n: int = 400, seed: int = 3) -> list[str]:
             "form": (r.choice(["form", "form", "div"]), r.choice(["search", "login-form", "signup", "contact-form"])),
             "share": ("div", r.choice(["share", "social", "tags", "byline"])),
         }[kind]
+        if r.random() < 0.15:
+            name = r.choice(NEUTRAL)
         how = f' class="{name}"' if name and (tag in ("div", "section", "ol", "ul") or r.random() < 0.4) else ""
-        if tag in ("div", "ul", "section", "ol") and not how:
+        if tag in ("div", "ul", "section", "ol") and not how and kind == "nav":
             tag = "nav"
         if kind == "nav":
             inner = links(r.randint(2, 9)) if tag == "ul" else f"<ul>{links(r.randint(2, 9))}</ul>"
@@ -350,6 +397,8 @@ def example_pages(n: int = 400, seed: int = 3) -> list[str]:
             inner = "".join(r.choice(["<h2>Comments</h2>", ""]) + block(child, False, 1, 40, r.choice(["", ' class="comment"'])) for _ in range(r.randint(1, 5)))
         elif kind == "side":
             inner = block("h3", False, 1, 4) + "".join(r.choice([block("p", False, 2, 40), f"<ul>{links(3)}</ul>"]) for _ in range(r.randint(1, 3)))
+        elif kind == "foot" and r.random() < 0.4:
+            inner = block("p", False, 3, 14) + r.choice(["", f"<ul>{links(r.randint(2, 6))}</ul>"])
         elif kind == "form":
             inner = f"<label>{words(1, 4)}</label><input><p>{words(1, 12)}</p><button>{words(1, 2)}</button>"
         else:
@@ -377,18 +426,22 @@ def example_pages(n: int = 400, seed: int = 3) -> list[str]:
                 body.append(boilerplate(r.choice(["ad", "share", "notice", "side"])))
         if r.random() < 0.25:
             body.append(boilerplate("comment"))
-        if r.random() < 0.15:
+        if r.random() < 0.2:
+            body[0] = f"<header data-main=1>{body[0]}{r.choice(['', block('p', False, 2, 6), boilerplate('share')])}</header>"
+        elif r.random() < 0.15:
             body.insert(0, f"<header>{body.pop(0)}</header>".replace("<header>", "<div data-main=1>").replace("</header>", "</div>"))
+        if r.random() < 0.15:
+            body.append(f"<footer>{r.choice([words(2, 8), block('p', False, 2, 12)])}</footer>")
         inner = "".join(body)
         wrap = r.random()
         if wrap < 0.45:
-            inner = f"<article data-main=1>{inner}</article>"
+            inner = f"<article{r.choice(['', '', f' class={r.choice(MISLEADING)}'])} data-main=1>{inner}</article>"
         elif wrap < 0.6:
             inner = f"<main data-main=1><article data-main=1>{inner}</article></main>"
         elif wrap < 0.8:
-            inner = f'<div class="{r.choice(["content", "post", "entry-content", "story", "main-text"])}" data-main=1>{inner}</div>'
+            inner = f'<div class="{r.choice(["content", "post", "entry-content", "story", "main-text"])} {r.choice(["", r.choice(MISLEADING)])}" data-main=1>{inner}</div>'
         elif wrap < 0.92:
-            inner = f'<div data-main=1>{inner}</div>'
+            inner = f'<div{r.choice(["", f' class="{r.choice(NEUTRAL)}"', f' class="article-body {r.choice(MISLEADING)}"', f' class="{r.choice(MISLEADING)}"'])} data-main=1>{inner}</div>'
         before = [boilerplate(k) for k in ("head", "nav", "notice", "ad", "form") if r.random() < 0.55]
         after = [boilerplate(k) for k in ("side", "comment", "ad", "form", "share", "foot", "notice") if r.random() < 0.5]
         pages.append("<html><head><title>x</title></head><body>" + "".join(before) + inner + "".join(after) + "</body></html>")

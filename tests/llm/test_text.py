@@ -349,3 +349,33 @@ def test_html_held_out_accuracy():
             if node.words:
                 seen, right = seen + 1, right + ((p >= 0.5) == node.gold)
     assert right / seen > 0.97
+
+
+def test_html_names_do_not_decide_alone():
+    model, prose = htmlmain.learn(), ["Some long prose here, with words. " * 8, "More prose of the sort, and so on. " * 9]
+    body = f"<h1>A title here</h1><p>{prose[0]}</p><p>{prose[1]}</p>"
+    want = "\n\n".join(["A title here", *(" ".join(p.split()) for p in prose)])
+    for name in ("", "box", "article-body related", "post with-sidebar", "post post-comments-open"):
+        assert model.extract(f'<html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav><div class="{name}">{body}</div></body></html>') == want
+    page = f"<div><ul><li><a href=/>Home</a></li><li><a href=/a>News</a></li></ul></div><article><header><h1>A title here</h1></header><p>{prose[0]}</p><p>{prose[1]}</p><footer>Written by X</footer></article>"
+    assert model.extract(page) == want
+
+
+def test_html_held_out_on_other_layouts():
+    """Pages of another make: portal columns without hints in names, link farms, comment rows, notices."""
+    model, r, right, seen = htmlmain.learn(), random.Random(21), 0, 0
+    word = lambda: "".join(r.choices("aeioubdgklmnprst", k=r.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    anchors = lambda n: " | ".join(f"<a href='{word()}'>{word()}</a>" for _ in range(n))
+    for _ in range(60):
+        story = "".join(f"<p data-main=1>{text(r.randint(8, 70))}</p>" for _ in range(r.randint(3, 9)))
+        main = f"<section class='{word()}' data-main=1><h1 data-main=1>{text(5)}</h1>{story}</section>"
+        top = f"<div class='{word()}'><div>{anchors(6)}</div></div>"
+        left = f"<div class='{word()}'><h4>{word()}</h4><ul>{''.join(f'<li><a href=x>{text(3)}</a></li>' for _ in range(6))}</ul></div>"
+        low = f"<footer><div>{anchors(4)}</div><p>{text(6)}</p></footer><form><label>{word()}</label><button>{word()}</button></form>"
+        notes = "<section class='comments'>" + "".join(f"<div class='comment'><b>{word()}</b><p>{text(r.randint(2, 20))}</p></div>" for _ in range(3)) + "</section>"
+        nodes, _ = htmlmain.parsed(f"<html><body>{top}{left}{main}{r.choice(['', notes])}{low}</body></html>")
+        for node, p in zip(nodes, model.marginals(nodes)[0], strict=True):
+            if node.words:
+                seen, right = seen + 1, right + ((p >= 0.5) == node.gold)
+    assert right / seen > 0.95
