@@ -46,3 +46,21 @@ def cosine_classes(rows, threshold):
                 edges.append((a, b))
     of = roots(ids, edges)
     return {i: (sum(i in e for e in edges), of[i]) for i in ids}
+
+
+def cut_by_brute_force(texts, least):
+    """Lines of every common run with any earlier document, all pairs of places compared."""
+    out = []
+    for i, text in enumerate(texts):
+        a, cut = [x.strip(" ") for x in text.split("\n")], set()
+        for other in texts[:i]:
+            b = [x.strip(" ") for x in other.split("\n")]
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] and a[p + n] == b[q + n]:
+                        n += 1
+                    if sum(len(x.split(" ")) for x in a[p : p + n]) >= least:
+                        cut |= set(range(p, p + n))
+        out.append("\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut))
+    return out

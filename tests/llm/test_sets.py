@@ -304,3 +304,51 @@ def test_pipeline(spark):
     assert corpus_pipeline.by_language(spark, docs, SF).count() >= 0.99 * len(ids)
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < len(ids) and out.columns[0] == "doc_id"
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and repeated rows, ties, a very long text and clashing columns, stage by stage."""
+    line = "the quick brown fox jumps over the lazy dog again"
+    long = "\n".join(f"row {i} of a long text with words {i * 7}" for i in range(4000))
+    rows = [(1, f"{line}\nfirst", "en", "a", 5), (2, f"{line}\nsecond one", "en", None, None), (2, f"{line}\nsecond one", "en", None, None), (3, None, None, None, None), (4, "", "en", "b", 0), (None, "no id at all here", "en", "b", 3), (5, long, "en", "c", 9), (6, "123 456", "en", "c", 7)]
+    clash = {n: F.lit("x") for n in ("topic", "weight", "score", "_unit", "_id", "pivot", "key", "lang_pred", "n_tokens")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").withColumns(clash)
+    kept = corpus_pipeline.by_language(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 2, 5]
+    out = corpus_pipeline.without_repeated_lines(spark, docs, SF)
+    texts = sorted(((r["doc_id"] or 0), r["text"]) for r in out.where("text is not null").collect())
+    assert texts == [(0, "no id at all here"), (1, f"{line}\nfirst"), (2, "second one"), (2, "second one"), (4, ""), (5, long), (6, "123 456")]
+    one = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 1, 2, 2, 3, 4, 5, 6]
+    assert corpus_pipeline.mixed(spark, docs, SF).columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.tokenised(spark, docs, SF).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
+def test_pipeline_equals_its_steps_by_brute_force(spark):
+    """Line dedup and near copies by all pairs, language, sample and tokens by their own plain versions, on what each stage keeps."""
+    docs = common.table(spark, SF, "documents").where("doc_id < 120")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    net = langid.learn(docs)
+    lang = [(i, t) for i, t in rows if t and langid.has_letter(t) and max(net.pooled([t.encode()])[0]) >= corpus_pipeline.LEAST_SCORE]
+    got = corpus_pipeline.by_language(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in lang]
+    cut = helpers.cut_by_brute_force([t for _, t in lang], 8)
+    lines = [(i, c) for (i, t), c in zip(lang, cut, strict=True) if c == t or c.strip()]
+    got = corpus_pipeline.without_repeated_lines(spark, got, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == lines
+    classes = helpers.jaccard_classes(lines, 5, 80)
+    got = corpus_pipeline.without_near_copies(spark, got, SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in lines if classes[i][1] == i]
+    drawn = corpus_pipeline.mixed(spark, got, SF)
+    assert {r["doc_id"] for r in drawn.collect()} == {r["doc_id"] for r in mixing.mix(got).where("drawn").collect()}
+    from tokenizers import Tokenizer
+
+    from bandflow.llm import bpe
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = {r["doc_id"]: r["text"] for r in drawn.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.tokenised(spark, drawn, SF).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
