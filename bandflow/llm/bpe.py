@@ -7,7 +7,9 @@ general Spark operators; `op8_bpe` derives digests of their results.
 
 Defined results: null or empty text has no tokens and decodes to the empty
 text; one very long word is merged in n log n steps and not cached; repeated
-rows give repeated results; other columns of the input are never read.
+rows give repeated results; an empty table gives an empty result; other columns
+of the input are never read. A vocabulary file that asks for another
+pre-tokenisation raises ValueError.
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ class BytePairCodec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError(f"{path} asks for another pre-tokenisation than byte level without a prefix space")
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}

@@ -206,7 +206,7 @@ class WarcReader(DataSourceReader):
         for name, values in self.wanted.items():
             value = head.get(HEADER_OF[name].lower())
             value = bare(value) if name in ("record_id", "refers_to") else value and value.removeprefix("sha1:")
-            if value not in values:
+            if (value or None) not in values:  # an empty header reads as null
                 return False
         return True
 

@@ -287,6 +287,7 @@ def test_archive(spark, tmp_path):
         assert {(r["record_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {("urn:page:1", "urn:page:2"), ("urn:page:3", "urn:page:4"), ("urn:page:", "urn:page:5")}
         assert {bytes(r["payload"]) for r in got if r["payload"] is not None} == {b"<a>", b"", "é".encode()}
         assert back.where("record_type = 'revisit'").count() == 3 and back.where(F.col("target_uri").isin("u", "é")).count() == 2
+        assert back.where("target_uri = ''").count() == 0
     warc.archive(pages, f"file://{tmp_path}/big", min_revisit_bytes=3)
     assert spark.read.format("warc").load(f"file://{tmp_path}/big").where("record_type = 'revisit'").count() == 1
     warc.archive(pages.limit(0), f"file://{tmp_path}/none0")

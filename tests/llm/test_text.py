@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import json
 import random
 import re
 import time
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -40,6 +42,14 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(docs(spark, EDGES).limit(0)).count() == 0
 
 
+def test_bpe_refuses_other_pre_tokenisation(tmp_path):
+    spec = json.loads(Path(bpe.default_vocabulary()).read_text())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="pre-tokenisation"):
+        bpe.BytePairCodec(str(tmp_path / "other.json"))
+
+
 def test_bpe_columns_round_trip(spark):
     out = bpe.decode(bpe.encode(docs(spark, EDGES[:6])))
     assert [r["decoded"] for r in out.orderBy("doc_id").collect()] == [t or "" for t in EDGES[:6]]
