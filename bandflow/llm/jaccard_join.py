@@ -32,7 +32,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -407,8 +406,13 @@ def links(docs: DataFrame, seen: DataFrame, rule: Rule) -> DataFrame:
         named = stored(pairs.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "named", folder)
         sets = stored(marked_sets(only(docs, named, "left_semi"), rule), "sets", folder)
         new = stored(linked(stored(sifted(pairs, sets, rule), "sifted", folder), sets, rule, folder), "links")
-        found, turn = [new], 0
-        while not (large := apart(large, components(reduce(DataFrame.unionAll, found)), folder)).isEmpty():
+        edges, turn = new, 0
+        while True:
+            labels = components(edges)
+            large = apart(large, labels, folder)
+            edges = stored(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")), "links")  # one for each document that links
+            if large.isEmpty():
+                return edges
             last = turn == STARS or new.isEmpty()
             if last:
                 pairs = across(large.select("key", "doc", "of"), sets, rule)
@@ -416,11 +420,10 @@ def links(docs: DataFrame, seen: DataFrame, rule: Rule) -> DataFrame:
                 pairs = sifted(stored(stars(large, turn), "stars", folder), sets, rule)
             pairs = stored(pairs, "sifted", folder)
             new = stored(linked(pairs, sets, rule, folder), "links")
-            found.append(new)
+            edges = edges.unionAll(new)
             if last:
-                break
+                return edges
             turn += 1
-    return reduce(DataFrame.unionAll, found)
 
 
 def has_repeats(digests: DataFrame) -> bool:
