@@ -45,7 +45,7 @@ BROADCAST_ROWS = 1_000_000
 #: Documents on one key of which all pairs are looked at; of more, pivots find the links, then chunks of documents.
 FEW = 16
 #: Further rounds of pivots at most, after which what is still in different components is compared in chunks; documents of a chunk.
-STARS, CHUNK = 3, 2048
+STARS, CHUNK = 1, 2048
 #: Frequent shingles that are known to all tasks (9 bytes each); they only order the blocks, so that the bound costs no pair.
 FREQUENT = 1 << 18
 #: Shingles of a stretch of documents that are counted at once, least count in it, and most that are passed on from it.
