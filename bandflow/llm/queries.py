@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_bpe": "bpe",
     "op9_mixing": "mixing",
     "op10_syncmers": "syncmers",
+    "op13_decontamination": "decontaminate",
 }
 
 
@@ -48,6 +49,17 @@ links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(far, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON id = doc_id""",
 }
 
+# Lists of words of `documents` and of windows of `benchmark` as text.
+ORACLES["op13_decontamination"] = """WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
+p AS MATERIALIZED (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i : i + 9], ' '))) AS p FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM p),
+places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM w, sizes WHERE len(w) >= n),
+hits AS MATERIALIZED (SELECT r, i, p.n, item FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS p FROM places) x JOIN p ON p.p = x.p AND p.n = x.n),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
