@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_bpe": "bpe",
     "op9_mixing": "mixing",
     "op10_syncmers": "syncmers",
+    "op12_prefix_trie": "prefixtrie",
     "op13_decontamination": "decontaminate",
 }
 
@@ -60,6 +61,21 @@ words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i
 items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+# CRC-32 of an id's decimal text, bit by bit; prefixes as lists of MD5 of length-marked roles and texts.
+ORACLES["op12_prefix_trie"] = """WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id AS c FROM o), crc AS (SELECT c, 0 AS i, 4294967295::BIGINT AS r FROM ids
+UNION ALL SELECT c, i + 1, list_reduce(range(8), lambda x, b: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END, xor(r, ascii(substr(c::VARCHAR, i + 1, 1))::BIGINT)) FROM crc WHERE i < length(c::VARCHAR)),
+heads AS (SELECT c, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(r, 4294967295::BIGINT) % 4 END AS h, c - c % 20 AS base FROM crc WHERE i = length(c::VARCHAR)),
+t AS (SELECT c, 0 AS part, pos, role, text FROM heads JOIN o ON o.conv_id = base AND pos <= h UNION ALL SELECT c, 1, pos, role, text FROM heads JOIN o ON o.conv_id = c AND pos > h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS pos, md5(length(role) || ':' || role || text) AS code, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM t),
+f AS (SELECT ids.c, coalesce(list(code ORDER BY pos) FILTER (pos IS NOT NULL), []) AS codes, coalesce(list(words ORDER BY pos) FILTER (pos IS NOT NULL), []) AS words FROM ids LEFT JOIN n USING (c) GROUP BY ids.c),
+p AS MATERIALIZED (SELECT c, d, md5(array_to_string(codes[1 : d], '')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(codes[1 : d - 1], '')) END AS up, d = len(codes) AS ends, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words FROM (SELECT *, unnest(range(0, len(codes) + 1)) AS d FROM f)),
+g AS MATERIALIZED (SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+x AS (SELECT g.*, coalesce(n, 0) AS n_children FROM g LEFT JOIN kids USING (d, k)),
+sums AS (SELECT p.d, p.k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM x JOIN p ON p.c = x.conv_id AND p.d <= x.d GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256 FROM x JOIN sums USING (d, k) LEFT JOIN x y ON y.d = x.d - 1 AND y.k = x.up"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
