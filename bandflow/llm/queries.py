@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_bpe": "bpe",
     "op9_mixing": "mixing",
     "op10_syncmers": "syncmers",
+    "op11_alignment": "alignment",
     "op12_prefix_trie": "prefixtrie",
     "op13_decontamination": "decontaminate",
 }
