@@ -32,6 +32,29 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c * F.lit(scale), 0) / F.lit(scale)
 
 
+def fixed_text(c: Column, digits: int) -> Column:
+    """A double as text with `digits` (at most 8) decimals, its exact binary value rounded half to even.
+
+    Spark's own formatting rounds the shortest decimal text, half up. The
+    fraction is taken as a whole number of 2^-62 and multiplied in two halves
+    of 31 bits, so that the decimals and what is left of them are exact; what a
+    tiny value holds below 2^-62 is added to what is left. From 2^53 on there
+    is no fraction.
+    """
+    half, mask, tens, top = 31, 2**31 - 1, 10**digits, F.abs(c)
+    scaled = (top - F.floor(top)) * float(2**62)
+    fraction = scaled.cast("long")
+    low = fraction.bitwiseAND(F.lit(mask)) * tens
+    high = F.shiftright(fraction, half) * tens + F.shiftright(low, half)
+    down, left = F.shiftright(high, half), F.shiftleft(high.bitwiseAND(F.lit(mask)), half) + low.bitwiseAND(F.lit(mask))
+    over = (left - 2**61).cast("double") + (scaled - F.floor(scaled)) * float(tens)
+    shown = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+    before = (F.floor(top) + F.when(shown >= tens, 1).otherwise(0)).cast("string")
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, before, F.lit("."), F.lpad((shown % tens).cast("string"), digits, "0"))
+    return F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").when(top >= 2.0**53, F.format_string(f"%.{digits}f", c)).otherwise(exact)
+
+
 def percent(part: Column, whole: Column, default: float = 0.0) -> Column:
     return F.when(whole > 0, part / F.when(whole > 0, whole) * 100.0).otherwise(F.lit(default))
 

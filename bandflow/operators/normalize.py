@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandflow.functions.expressions import fixed_text
+
 NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 
 
@@ -73,4 +75,5 @@ def display(t: DataFrame) -> Column:
     day = F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")).cast("string")
     part = lambda unit, size: F.lpad((F.floor(ms / unit) % size).cast("string"), 2, "0")
     clock = F.concat_ws(":", part(3_600_000, 24), part(60_000, 60), part(1000, 60))
-    return F.format_string("[%d] %s %s.%03d UTC | precio: %.2f | vol_usdt: %.2f | vol_base: %.8f | %s", ms, day, clock, ms % 1000, F.col("price"), F.col("volume_usdt"), F.col("volume_base"), side_text(F.col("side")))
+    price, usdt, base = (fixed_text(F.col(c), n) for c, n in (("price", 2), ("volume_usdt", 2), ("volume_base", 8)))
+    return F.format_string("[%d] %s %s.%03d UTC | precio: %s | vol_usdt: %s | vol_base: %s | %s", ms, day, clock, ms % 1000, price, usdt, base, side_text(F.col("side")))

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandflow.functions.expressions import fixed_text
+
 
 def as_text(df: DataFrame, name: str) -> Column:
     """A cell as text: four decimals for numbers with a fraction, NULL for nothing."""
     kind = dict(df.dtypes)[name]
     c = F.col(name)
-    text = F.format_string("%.4f", F.bround(c, 4)) if kind in ("double", "float") else c.cast("string")
+    text = fixed_text(c.cast("double"), 4) if kind in ("double", "float") else c.cast("string")
     return F.when(c.isNull(), "NULL").otherwise(text)
 
 

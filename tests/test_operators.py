@@ -192,3 +192,14 @@ def test_book(spark):
 def test_parse_levels(spark):
     m = spark.createDataFrame([(0, 1, 2, 0, [["1.5", "2"], ["x", "2"], ["3", "y"]])], "ord long, u_first long, u long, pu long, b array<array<string>>")
     assert [(float(r["price"]), r["qty"]) for r in book.parse_levels(m, "bid", "b").orderBy("price").collect()] == [(1.5, 2.0), (3.0, 0.0)]
+
+
+def test_text_of_doubles_rounds_the_binary_value_half_to_even(spark):
+    from bandflow.functions.expressions import fixed_text
+
+    values = [84.625, 104.125, 1.015, 1.005, 0.125, 0.375, -84.625, -0.001, 0.0, -0.0, 5e-9, 1.5e-8, 0.00390625, 9.995, 9.999999995, 2.0**53 + 2, 1e15 + 0.125, float("inf"), float("-inf"), float("nan")]
+    values += [k / 512 for k in range(400)] + [k / 1000 for k in range(0, 5000, 5)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(fixed_text(F.col("v"), n).alias(f"t{n}") for n in (2, 4, 8))).collect()
+    for r in rows:
+        for n in (2, 4, 8):
+            assert r[f"t{n}"] == ("%.*f" % (n, r["v"])).replace("nan", "NaN")
