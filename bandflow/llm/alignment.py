@@ -4,9 +4,9 @@ Texts are split before runs of white space whose first character is one that no
 piece of either vocabulary holds behind another (`split_characters` verifies
 it), so neither tokenizer merges across a split and the tokens of a text are
 those of its segments. Documents become numbers into the distinct segments of
-their chunk; the distinct segments of the corpus are tokenised and aligned
-once; alignments are joined back by segment, gathered by chunk, and composed
-into the documents.
+their chunk. The chunks' segments meet in buckets of equal hash, where each
+distinct one is tokenised and aligned once; alignments are joined back by the
+chunks that hold them and composed into the documents.
 
 How often an id pair is linked in the corpus follows from the segments' counts.
 Up to `PAIRS_AT_HAND` distinct pairs, their counts go to the tasks as a
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +41,8 @@ from .common import small_batches, stored, table, workspace
 CHUNK_CHARS, PART_CHARS = 16 << 20, 1 << 20
 #: Distinct pairs whose counts are broadcast (17 bytes each).
 PAIRS_AT_HAND = 2_000_000
-#: Segments that are tokenised in one call.
-CALL_SEGMENTS = 10_000
+#: Segments that are tokenised in one call, chunks that a row of an alignment names, and places that are packed at once.
+CALL_SEGMENTS, ROW_CHUNKS, PACKED_PLACES = 5_000, 1_000, 500_000
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -143,23 +144,44 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-CHUNKS = "chunk long, doc_ids array<long>, lengths array<long>, codes binary, segments array<string>, counts array<long>"
+CHUNKS = "chunk long, bucket int, doc_ids array<long>, lengths array<long>, codes binary, segments array<string>, places array<int>, counts array<long>"
 
 
-def chunks(docs: DataFrame, paths: tuple[str, str], chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Documents as numbers into the distinct segments of their chunk, a row for each chunk."""
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, since the high bytes of most are zero."""
+    return pa.compress(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(planes: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    raw = pa.decompress(planes, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def chunks(docs: DataFrame, paths: tuple[str, str], chunk_chars: int = CHUNK_CHARS, buckets: int = 64) -> DataFrame:
+    """Documents as numbers into the distinct segments of their chunk: a row for each chunk, and one for each of its buckets of segments."""
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, place = tokenizers(*paths), TaskContext.get().partitionId() << 32
+        both, chunk = tokenizers(*paths), TaskContext.get().partitionId() << 32
         known, ids, lengths, codes, held = {}, [], [], [], 0
 
-        def row() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             of = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            packed = pa.compress(of.tobytes(), codec="zstd", asbytes=True)
+            yield made([(chunk, None, ids, lengths, packed(of), None, None, None)])
             counts = np.bincount(of, minlength=len(known))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((place, ids, lengths, packed, list(known), counts), kinds, strict=True)], names=names)
+            segments = list(known)
+            bucket = np.fromiter((zlib.crc32(s.encode()) % buckets for s in segments), np.int32, len(segments))
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                at = order[begin:end]
+                yield made([(chunk, bucket[at[0]], None, None, None, [segments[i] for i in at], at, counts[at])])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -173,77 +195,103 @@ def chunks(docs: DataFrame, paths: tuple[str, str], chunk_chars: int = CHUNK_CHA
                 lengths.append(n)
                 held += len(text)
                 if held >= chunk_chars:
-                    yield row()
-                    known, ids, lengths, codes, held, place = {}, [], [], [], 0, place + 1
+                    yield from rows()
+                    known, ids, lengths, codes, held, chunk = {}, [], [], [], 0, chunk + 1
         if ids:
-            yield row()
+            yield from rows()
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CHUNKS)
 
 
-ALIGNED = "segment string, n long, faithful boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
+ALIGNED = "n long, faithful boolean, groups string, links array<long>, chunks array<long>, places array<int>"
 
 
-def aligned(totals: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """The alignment of each distinct segment (segment, n)."""
+def aligned(parts: DataFrame, paths: tuple[str, str], row_chunks: int = ROW_CHUNKS) -> DataFrame:
+    """The alignment of each distinct segment with its count and its numbers in the chunks that hold it.
+
+    Equal segments stand in one bucket; they are sorted there, so that one is
+    tokenised when its run begins. A segment of more than `row_chunks` chunks
+    takes several rows, each with a part of its chunks and of its count.
+    """
+    kinds = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    names = [x.split()[0] for x in ALIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
+        last: tuple | None = None
+
+        def solved(runs: list[list]) -> pa.RecordBatch:
+            nonlocal last
+            fresh = list(dict.fromkeys(r[0] for r in runs if last is None or r[0] != last[0]))
+            known = dict(zip(fresh, both.of_segments(fresh), strict=True)) if fresh else {}
+            out = []
+            for segment, n, of, places in runs:
+                if last is None or last[0] != segment:
+                    good, _, groups, links = both.aligned(segment, *known[segment])
+                    last = (segment, good, groups, links)
+                out.append((n, *last[1:], of, places))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        runs: list[list] = []
         for batch in batches:
-            segments = batch.column(0).to_pylist()
-            rows = []
-            for at in range(0, len(segments), CALL_SEGMENTS):
-                some = segments[at : at + CALL_SEGMENTS]
-                rows += [(len(a), len(b), *both.aligned(s, a, b)) for s, (a, b) in zip(some, both.of_segments(some), strict=True)]
-            n_a, n_b, good, n_groups, groups, links = zip(*rows, strict=True) if rows else ((),) * 6
-            columns = [batch.column(0), batch.column(1), pa.array(good, pa.bool_()), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ALIGNED.split(", ")])
-
-    return totals.mapInArrow(run, ALIGNED)
-
+            for segment, chunk, place, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if runs and runs[-1][0] == segment and len(runs[-1][2]) < row_chunks:
+                    runs[-1][1] += n
+                    runs[-1][2].append(chunk)
+                    runs[-1][3].append(place)
+                    continue
+                if len(runs) >= CALL_SEGMENTS:
+                    yield solved(runs)
+                    runs = []
+                runs.append([segment, n, [chunk], [place]])
+        if runs:
+            yield solved(runs)
 
-def decoded(codes: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(codes, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+    rows = parts.repartition("bucket").select("chunk", F.inline(F.arrays_zip("segments", "places", "counts"))).select(F.col("segments").alias("segment"), "chunk", F.col("places").alias("place"), F.col("counts").alias("n"))
+    return rows.sortWithinPartitions("segment").mapInArrow(run, ALIGNED)
 
 
-def _apart(places: DataFrame):
-    """`places` by chunk under a column of its own: both sides of a cogroup come from the same table."""
-    return places.withColumnRenamed("chunk", "place").groupBy("place")
+def _by_place(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.inline(F.arrays_zip("chunks", "places"))).select(*columns, F.col("chunks").alias("place_chunk"), F.col("places").alias("place"))
 
 
-def _without_unfaithful(totals: DataFrame, packed: DataFrame, places: DataFrame, bad: DataFrame) -> DataFrame:
-    """`totals` (segment, n) less what stands in documents with a segment of `bad`."""
+def _without_unfaithful(segments: DataFrame, documents: DataFrame) -> DataFrame:
+    """`segments` with what they count in documents that hold an unfaithful segment taken off."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         counts: dict[int, int] = {}
         if left.num_rows and right.num_rows:
             lengths = np.array(left["lengths"][0].as_py(), np.int64)
-            codes = decoded(left["codes"][0].as_py(), int(lengths.sum()))
-            wrong, ends = np.isin(codes, right["code"].to_numpy()), np.cumsum(lengths)
+            codes = unpacked(left["codes"][0].as_py(), int(lengths.sum()))
+            wrong, ends = np.isin(codes, right["place"].to_numpy()), np.cumsum(lengths)
             for begin, end in zip(ends - lengths, ends, strict=True):
                 if wrong[begin:end].any():
                     for c, n in zip(*np.unique(codes[begin:end], return_counts=True), strict=True):
                         counts[int(c)] = counts.get(int(c), 0) + int(n)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(counts), pa.int64()), "code": pa.array(list(counts), pa.int32()), "less": pa.array(list(counts.values()), pa.int64())})
+        return pa.table({"of_chunk": pa.array([key[0].as_py()] * len(counts), pa.int64()), "of_place": pa.array(list(counts), pa.int32()), "less": pa.array(list(counts.values()), pa.int64())})
 
-    wrong = places.join(bad, "segment").select("chunk", "code")
-    inside = packed.join(wrong.select(F.col("chunk").alias("place")).distinct(), F.col("chunk") == F.col("place"), "left_semi").select("chunk", "lengths", "codes")
-    less = inside.groupBy("chunk").cogroup(_apart(wrong)).applyInArrow(run, "chunk long, code int, less long")
-    less = less.join(places.select("chunk", "code", "segment"), ["chunk", "code"]).groupBy("segment").agg(F.sum("less").alias("less"))
-    return totals.join(less, "segment", "left").select("segment", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"))
+    wrong = _by_place(segments.where("not faithful"))
+    inside = documents.join(wrong.select("place_chunk").distinct(), F.col("chunk") == F.col("place_chunk"), "left_semi").select("chunk", "lengths", "codes")
+    less = inside.groupBy("chunk").cogroup(wrong.groupBy("place_chunk")).applyInArrow(run, "of_chunk long, of_place int, less long")
+    places = _by_place(segments, "id").join(less, (F.col("place_chunk") == F.col("of_chunk")) & (F.col("place") == F.col("of_place")))
+    less = places.groupBy(F.col("id").alias("_id")).agg(F.sum("less").alias("less"))
+    return segments.join(less, F.col("id") == F.col("_id"), "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("_id", "less")
 
 
-def pair_counts(aligned_segments: DataFrame) -> DataFrame:
+def pair_counts(segments: DataFrame) -> DataFrame:
     """Links of each id pair in the corpus: pair (a << 32 | b), a, b, count, and whether no pair of its b has more."""
-    links = aligned_segments.where("n > 0").select("n", F.explode("links").alias("pair"))
+    links = segments.where("n > 0").select("n", F.explode("links").alias("pair"))
     counts = links.groupBy("pair").agg(F.sum("n").alias("count"))
     counts = counts.select("pair", F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "count")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))  # a row for each id of B at most
     return counts.join(F.broadcast(most), "b").select("pair", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def scored(aligned_segments: DataFrame, pairs: DataFrame, at_hand: int = PAIRS_AT_HAND) -> DataFrame:
-    """Segments with n_links, n_best and count_sum instead of their links."""
+SCORED = "faithful boolean, groups string, n_best long, count_sum long, chunks array<long>, places array<int>"
+
+
+def scored(segments: DataFrame, pairs: DataFrame, at_hand: int = PAIRS_AT_HAND) -> DataFrame:
+    """Segments with n_best and count_sum of their links."""
     if pairs.count() <= at_hand:
         rows = pairs.select("pair", "count", "best").toArrow().sort_by("pair")
         shared = pairs.sparkSession.sparkContext.broadcast((rows["pair"].to_numpy(), rows["count"].to_numpy(), rows["best"].to_numpy().astype(np.int64)))
@@ -257,53 +305,91 @@ def scored(aligned_segments: DataFrame, pairs: DataFrame, at_hand: int = PAIRS_A
                 # Only segments of unfaithful texts alone have pairs without a count; nothing reads their sums.
                 at = np.minimum(np.searchsorted(pair, flat), max(0, len(pair) - 1)) if len(pair) else np.zeros(0, np.int64)
                 totals = [np.concatenate([[0], np.cumsum(x[at])]) if len(pair) else np.zeros(len(flat) + 1, np.int64) for x in (best, count)]
-                sums = [x[ends[1:]] - x[ends[:-1]] for x in totals]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)] + [pa.array(np.diff(ends), pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], names=[*batch.schema.names[:6], "n_links", "n_best", "count_sum"])
+                sums = [pa.array(x[ends[1:]] - x[ends[:-1]], pa.int64()) for x in totals]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums, batch.column(3), batch.column(4)], names=[x.split()[0] for x in SCORED.split(", ")])
 
-        kept = aligned_segments.select("segment", "faithful", "n_a", "n_b", "n_groups", "groups", "links")
-        return kept.mapInArrow(run, "segment string, faithful boolean, n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long")
+        return segments.select("faithful", "groups", "links", "chunks", "places").mapInArrow(run, SCORED)
     # Segments meet their pairs by shuffle; a pair in very many segments is dealt out by Spark's skew join.
-    links = aligned_segments.select("segment", F.explode("links").alias("pair")).groupBy("segment", "pair").agg(F.count("*").alias("times"))
-    sums = links.join(pairs, "pair").groupBy("segment").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    out = aligned_segments.join(sums, "segment", "left").withColumn("n_links", F.size("links").cast("long")).na.fill({"n_best": 0, "count_sum": 0})
-    return out.select("segment", "faithful", "n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum")
+    links = segments.select("id", F.explode("links").alias("pair")).groupBy("id", "pair").agg(F.count("*").alias("times"))
+    sums = links.join(pairs, "pair").groupBy(F.col("id").alias("_id")).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    return segments.join(sums, F.col("id") == F.col("_id"), "left").na.fill({"n_best": 0, "count_sum": 0}).select("faithful", "groups", "n_best", "count_sum", "chunks", "places")
+
+
+def by_chunk(scored_segments: DataFrame) -> DataFrame:
+    """Alignments gathered by the chunks that hold them, many in a row: numbers and scores as bytes, groups as one compressed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            good, best, total = (np.concatenate([np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for b in held]) for i in (0, 2, 3))
+            groups = [g for b in held for g in b.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(groups)), np.concatenate([b.column(4).value_lengths().to_numpy() for b in held]))
+            chunk, place = (np.concatenate([b.column(i).flatten().to_numpy() for b in held]) for i in (4, 5))
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0, [True]]))
+            out = []
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                at = order[begin:end]
+                rows_at = of[at]
+                text = "\n".join([groups[i] for i in rows_at]).encode()
+                numbers = np.stack([place[at].astype(np.int64), good[rows_at], best[rows_at], total[rows_at]])
+                out.append((chunk[at[0]], len(at), pa.compress(numbers.tobytes(), codec="zstd", asbytes=True), len(text), pa.compress(text, codec="zstd", asbytes=True)))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["place_chunk", "n", "numbers", "n_bytes", "groups"])
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(4).flatten())
+            if n >= PACKED_PLACES:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
+
+    return scored_segments.mapInArrow(run, "place_chunk long, n long, numbers binary, n_bytes long, groups binary")
 
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def composed(packed: DataFrame, places: DataFrame, digest: bool) -> DataFrame:
-    """Documents from their chunk's numbers and the alignments of its segments (chunk, code, ...)."""
-    text = "groups_sha256" if digest else "groups"
+def composed(documents: DataFrame, alignments: DataFrame, digest: bool) -> DataFrame:
+    """Documents from their chunk's numbers and the alignments of its segments."""
+    name = "groups_sha256" if digest else "groups"
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), **{m: pa.array([], pa.int64()) for m in MEASURES}, text: pa.array([], pa.string())})
-        ids, lengths = left["doc_ids"][0], np.array(left["lengths"][0].as_py(), np.int64)
-        codes = decoded(left["codes"][0].as_py(), int(lengths.sum()))
-        order = np.argsort(right["code"].to_numpy())
-        groups = right["groups"].to_pylist()
-        groups = [groups[i] for i in order]
+        ids, lengths = (np.array([], object), np.zeros(0, np.int64)) if not left.num_rows else (left["doc_ids"][0].as_py(), np.array(left["lengths"][0].as_py(), np.int64))
+        codes = unpacked(left["codes"][0].as_py(), int(lengths.sum())) if left.num_rows else np.zeros(0, np.int32)
+        n = int(sum(right["n"].to_pylist()))
+        groups, good, best, total = [""] * n, *(np.zeros(n, np.int64) for _ in range(3))
+        for k, numbers, size, text in zip(*(right[c].to_pylist() for c in ("n", "numbers", "n_bytes", "groups")), strict=True):
+            place, *values = np.frombuffer(pa.decompress(numbers, decompressed_size=32 * k, codec="zstd", asbytes=True), np.int64).reshape(4, k)
+            for whole, part in zip((good, best, total), values, strict=True):
+                whole[place] = part
+            shown = pa.decompress(text, decompressed_size=size, codec="zstd", asbytes=True).decode().split("\n") if size else [""] * k
+            for i, g in zip(place.tolist(), shown, strict=True):
+                groups[i] = g
+        # A group of x and y tokens ends together once, so that it has x + y - 1 links.
+        n_groups = np.fromiter((g.count("|") for g in groups), np.int64, n)
+        n_both = np.fromiter((g.count(",") for g in groups), np.int64, n) + 2 * n_groups
+        n_a = np.fromiter((sum(x.count(",") + 1 for x in [y.partition("|")[0] for y in g.split(";")]) if g else 0 for g in groups), np.int64, n)
+        measures = dict(zip(MEASURES, (n_a, n_both - n_a, n_groups, n_both - n_groups, best, total), strict=True))
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        sums = lambda x: (lambda c: c[ends] - c[begins])(np.concatenate([[0], np.cumsum(x)]))
-        good = sums(~right["faithful"].to_numpy()[order][codes]) == 0
-        out = {m: pa.array(np.where(good, sums(right[m].to_numpy()[order][codes]), 0), pa.int64()) for m in MEASURES}
+        sums = lambda x: (lambda c: c[ends] - c[begins])(np.concatenate([[0], np.cumsum(x[codes])]))
+        fine = sums(1 - good) == 0
+        out = {m: pa.array(np.where(fine, sums(x), 0), pa.int64()) for m, x in measures.items()}
         texts = []
-        for begin, end, fine in zip(begins, ends, good, strict=True):
-            if not fine or begin == end:
-                texts.append("")
-                continue
-            whole = ";".join([groups[c] for c in codes[begin:end].tolist()])
-            texts.append(hashlib.sha256(whole.encode()).hexdigest() if digest else whole)
-        return pa.table({"doc_id": pa.array(ids.values if hasattr(ids, "values") else ids.as_py(), pa.int64()), **out, text: pa.array(texts, pa.string())})
+        for begin, end, whole in zip(begins, ends, fine, strict=True):
+            text = ";".join([groups[c] for c in codes[begin:end].tolist()]) if whole else ""
+            texts.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
+        return pa.table({"doc_id": pa.array(list(ids), pa.int64()), **out, name: pa.array(texts, pa.string())})
 
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + f", {text} string"
-    left = packed.select("chunk", "doc_ids", "lengths", "codes").groupBy("chunk")
-    return left.cogroup(_apart(places)).applyInArrow(run, schema)
+    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + f", {name} string"
+    left = documents.select("chunk", "doc_ids", "lengths", "codes").groupBy("chunk")
+    return left.cogroup(alignments.groupBy("place_chunk")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, paths: tuple[str, str] | None = None, digest: bool = False, chunk_chars: int = CHUNK_CHARS, at_hand: int = PAIRS_AT_HAND) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, paths: tuple[str, str] | None = None, digest: bool = False, chunk_chars: int = CHUNK_CHARS, at_hand: int = PAIRS_AT_HAND, row_chunks: int = ROW_CHUNKS) -> tuple[DataFrame, DataFrame]:
     """Documents and id pairs.
 
     Documents have doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and
@@ -311,19 +397,17 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, digest: bool =
     those of `pair_counts`. Both are written to the shared folder; all that led
     to them is deleted.
     """
-    paths = paths or default_vocabularies()
-    with workspace(docs.sparkSession) as folder:
-        packed = stored(chunks(docs, paths, chunk_chars), "chunks", folder)
-        places = packed.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("chunk", "code", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
-        totals = places.groupBy("segment").agg(F.sum("n").alias("n"))
-        known = stored(aligned(totals, paths), "aligned", folder)
-        bad = known.where("not faithful").select("segment")
-        if not bad.isEmpty():
-            right = _without_unfaithful(known.select("segment", "n"), packed, places.drop("n"), bad)
-            known = stored(known.drop("n").join(right, "segment"), "counted", folder)
-        pairs = stored(pair_counts(known), "pairs")
-        of_places = places.drop("n").join(scored(known, pairs, at_hand), "segment").drop("segment")
-        return stored(composed(packed, of_places, digest), "composed"), pairs
+    paths, spark = paths or default_vocabularies(), docs.sparkSession
+    with workspace(spark) as folder:
+        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held = stored(chunks(docs, paths, chunk_chars, buckets), "chunks", folder)
+        documents = held.where("bucket is null")
+        known = aligned(held.where("bucket is not null"), paths, row_chunks)
+        segments = stored(known.withColumn("id", F.monotonically_increasing_id()), "aligned", folder)
+        if not segments.where("not faithful").isEmpty():
+            segments = stored(_without_unfaithful(segments, documents), "counted", folder)
+        pairs = stored(pair_counts(segments), "pairs")
+        return stored(composed(documents, by_chunk(scored(segments, pairs, at_hand)), digest), "composed"), pairs
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

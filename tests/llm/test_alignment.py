@@ -72,12 +72,12 @@ def odd_texts():
     return [*("".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)), " ", "  ", "\n", "x ", " x", "a▁b", "▁", "plain text a▁b", "the the the", "", None]
 
 
-@pytest.mark.parametrize("chunk_chars, at_hand", [(1 << 20, 1 << 20), (300, 0)])
-def test_equals_whole_texts(spark, whole, chunk_chars, at_hand):
+@pytest.mark.parametrize("chunk_chars, at_hand, row_chunks", [(1 << 20, 1 << 20, 1000), (300, 0, 3), (1000, 1 << 20, 2)])
+def test_equals_whole_texts(spark, whole, chunk_chars, at_hand, row_chunks):
     rows = list(enumerate([*odd_texts(), "the same text", "the same text"]))
     want, counts = by_brute_force(rows, whole)
     frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA).repartition(3)
-    docs, pairs = alignment.align(frame, chunk_chars=chunk_chars, at_hand=at_hand)
+    docs, pairs = alignment.align(frame, chunk_chars=chunk_chars, at_hand=at_hand, row_chunks=row_chunks)
     got = {r["doc_id"]: (r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups"]) for r in docs.collect()}
     assert len(got) == len(rows) and any(w[1] == 0 and rows[w[0]][1] for w in want)
     for w in want:
