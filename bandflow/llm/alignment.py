@@ -38,11 +38,11 @@ from .bpe import byte_letters
 from .common import small_batches, stored, table, workspace
 
 #: Characters of the texts of a chunk, and of a text that is split at once.
-CHUNK_CHARS, PART_CHARS = 16 << 20, 1 << 20
+CHUNK_CHARS, PART_CHARS = 8 << 20, 1 << 20
 #: Distinct pairs whose counts are broadcast (17 bytes each).
 PAIRS_AT_HAND = 2_000_000
 #: Segments that are tokenised in one call, chunks that a row of an alignment names, and places that are packed at once.
-CALL_SEGMENTS, ROW_CHUNKS, PACKED_PLACES = 5_000, 1_000, 500_000
+CALL_SEGMENTS, ROW_CHUNKS, PACKED_PLACES = 5_000, 1_000, 200_000
 
 
 def default_vocabularies() -> tuple[str, str]:
