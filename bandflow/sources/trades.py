@@ -110,18 +110,35 @@ def book_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Updates that a broken sequence costs in `book_stream`, until the next snapshot.
-UNSYNCED = 20
+#: Symbols of `depth_messages`, messages from one broken sequence to the next, the first broken one, and how many messages a snapshot is ahead.
+DEPTH_SYMBOLS, BROKEN_EVERY, BROKEN_AT, AHEAD = 5, 1000, 199, 10
 
 
-def book_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`book_diffs` as messages of a stream, with a snapshot of two levels before the first update and some updates after each broken sequence."""
-    d = book_diffs(spark, sf_dir).select((F.col("ord") * 10).alias("ord"), F.lit(False).alias("snapshot"), "u_first", "u", "pu", "side", "price", "qty")
-    i = F.col("event_id")
-    at = spark.read.parquet(f"{sf_dir}/events.parquet").where((i == 0) | (i % 500 == (499 + UNSYNCED) % 500) & (i > 499))
-    level = F.inline(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(price).alias("price"), (i % 7 + 1).cast("double").alias("qty")) for side, price in (("bid", 100.25), ("ask", 200.75)))))
-    s = at.select((i * 10 - 1).alias("ord"), F.lit(True).alias("snapshot"), F.lit(0).cast("long").alias("u_first"), (i * 3 + 2).alias("u"), F.lit(0).cast("long").alias("pu"), level)
-    return d.unionByName(s)
+def depth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth updates of several symbols made from `events`: three levels a message, some with a broken sequence."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, cents = F.col("event_id"), F.floor(F.col("value") * 100)
+    j = F.floor(i / DEPTH_SYMBOLS)
+    level = lambda price, qty: F.struct(price.alias("price"), qty.cast("double").alias("qty"))
+    offset = lambda factor: F.pmod(cents * factor, F.lit(2000)) / 100.0
+    return e.select(
+        F.concat(F.lit("S"), i % DEPTH_SYMBOLS).alias("symbol"),
+        i.alias("ord"),
+        F.lit(False).alias("snapshot"),
+        (j * 3 + 1).alias("u_first"),
+        (j * 3 + 3).alias("u"),
+        F.when(j % BROKEN_EVERY == BROKEN_AT, j * 3 - 1).otherwise(j * 3).alias("pu"),
+        F.array(level(F.lit(150.0) - offset(1), i % 11), level(F.lit(150.0) - offset(7), i * 3 % 7)).alias("b"),
+        F.array(level(F.lit(150.5) + offset(3), i % 5)).alias("a"),
+    )
+
+
+def depth_snapshots(requests: DataFrame) -> DataFrame:
+    """What the exchange answers to requests (symbol, u) of `depth_messages`: one level a side, some messages ahead; the first update asks for the start."""
+    j = F.floor((F.col("u") - 3) / 3)
+    last = F.when(F.col("u") > 0, (j + AHEAD) * 3 + 2).otherwise(2)
+    one = lambda price, qty: F.array(F.struct(F.lit(price).alias("price"), qty.cast("double").alias("qty")))
+    return requests.select("symbol", F.lit(-1).cast("long").alias("ord"), F.lit(True).alias("snapshot"), F.lit(0).cast("long").alias("u_first"), last.cast("long").alias("u"), F.lit(0).cast("long").alias("pu"), one(100.25, F.col("u") % 7 + 1).alias("b"), one(200.75, F.col("u") % 5 + 1).alias("a"))
 
 
 def liquidation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: ingest, minute totals, large liquidations, order books.
+"""Structured Streaming jobs: ingest, minute totals, large liquidations.
 
 Late data: stateful queries keep a day (`WATERMARK`); rows older than that
 against the newest time seen are dropped.
@@ -6,19 +6,17 @@ against the newest time seen are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from bandflow.functions import expressions as X
 from bandflow.operators import liquidations, normalize
 
 WATERMARK = "24 hours"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BOOK_SCHEMA = "symbol string, side string, price double, qty double, u long, accepted boolean, epoch long"
 
 
 def ingest(messages: DataFrame, path: str, checkpoint: str, bands: X.Bands | None = None) -> StreamingQuery:
@@ -48,58 +46,3 @@ def run_now(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
 def on_large_liquidations(liqs: DataFrame, checkpoint: str, act: Callable[[DataFrame], None], least: float = 50_000.0) -> StreamingQuery:
     """Calls `act` with each batch's large liquidations."""
     return liquidations.large(liqs, least).writeStream.foreachBatch(lambda df, _: act(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class BookProcessor(StatefulProcessor):
-    """Keeps a symbol's levels by the exchange's rules.
-
-    A snapshot clears the levels and starts an epoch. Updates older than the
-    book are left out; the first one after a snapshot must span its number,
-    each later one must continue its predecessor. One that doesn't is rejected
-    before any of its levels is touched, and so is all that follows until the
-    next snapshot. Quantity zero deletes a level.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "qty double")
-        self.last = handle.getValueState("last", "u long, synced boolean, fresh boolean, epoch long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        from pyspark.sql import Row
-
-        u, synced, fresh, epoch = self.last.get() if self.last.exists() else (0, False, False, 0)
-        # A message's levels share its place in the order of arrival; a trigger's rows are sorted, not the stream's.
-        for _, message in groupby(sorted(rows, key=lambda r: (r["ord"], r["u"])), key=lambda r: (r["ord"], r["u"])):
-            levels = list(message)
-            head = levels[0]
-            if head["snapshot"]:
-                self.levels.clear()
-                u, synced, fresh, epoch = head["u"], True, True, epoch + 1
-            elif synced and head["u"] < u:
-                continue
-            else:
-                synced = synced and (head["u_first"] <= u <= head["u"] if fresh else head["pu"] == u)
-                if synced:
-                    u, fresh = head["u"], False
-            for r in levels:
-                level = (r["side"], r["price"])
-                if synced and r["qty"] > 0:
-                    self.levels.updateValue(level, (r["qty"],))
-                elif synced and self.levels.containsKey(level):
-                    self.levels.removeKey(level)
-                yield Row(symbol=key[0], side=r["side"], price=r["price"], qty=r["qty"], u=r["u"], accepted=synced, epoch=epoch)
-        self.last.update((u, synced, fresh, epoch))
-
-    def close(self) -> None:
-        pass
-
-
-def books(messages: DataFrame) -> DataFrame:
-    """Accepted and rejected changes of a stream of snapshots and updates (symbol, snapshot, side, price, qty, u_first, u, pu, ord)."""
-    return messages.groupBy("symbol").transformWithState(BookProcessor(), BOOK_SCHEMA, "append", "none")
-
-
-def standing(changes: DataFrame) -> DataFrame:
-    """Levels that stand after `changes`: the last accepted quantity of each in the newest epoch of its symbol, if positive."""
-    newest = F.broadcast(changes.groupBy("symbol").agg(F.max("epoch").alias("epoch")))  # one row for each symbol
-    return changes.where("accepted").join(newest, ["symbol", "epoch"]).groupBy("symbol", "side", "price").agg(F.max_by("qty", "u").alias("qty")).where("qty > 0")

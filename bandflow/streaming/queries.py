@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandflow.plans import catalog
 from bandflow.sources import trades as T
 from bandflow.sources.shared import new_path
-from bandflow.streaming import pipelines
+from bandflow.streaming import books, pipelines, windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +23,40 @@ def _landed(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def _in_turns(spark: SparkSession, rows: DataFrame, label: str, run: Callable[[DataFrame], None], turns: int = 3, order: str = "ord") -> None:
+    """Lands `rows` in `turns` parts of their order, and lets `run` read each part from where it stopped before."""
+    path = new_path(spark, label)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    bounds = [low + (high + 1 - low) * i // turns for i in range(turns + 1)] if low is not None else [0, 0]
+    for begin, end in zip(bounds, bounds[1:], strict=False):
+        rows.where((F.col(order) >= begin) & (F.col(order) < end)).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
+
+
+def _window_states(spark: SparkSession, d: str) -> DataFrame:
+    """Packets and windows of the dense day, in three runs that go on from one checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
+    out, checkpoint = new_path(spark, "windows"), new_path(spark, "checkpoint")
+    trades = T.dense_trades(spark, d).select("market", "ord", "timestamp", "seg", "side", "volume_usdt")
+    _in_turns(spark, trades, "landing", lambda stream: pipelines.run_now(windows.states(stream), out, checkpoint))
+    return spark.read.schema(f"market string, {windows.SCHEMA}").parquet(out)
+
+
+def stream_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Closed packets by band of a stream in three runs."""
+    return windows.packets(_window_states(spark, d))
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """All nine windows after every closed packet of a stream in three runs."""
+    return windows.rolling(_window_states(spark, d))
+
+
+def stream_window_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The windows' bands at the end of a stream in three runs."""
+    return windows.latest(_window_states(spark, d))
+
+
 def stream_minute(spark: SparkSession, d: str) -> DataFrame:
     """Minute totals of a stream, as its complete result stands at the end."""
     stream = _landed(spark, T.event_trades(spark, d).select("timestamp", "side", "volume_usdt"), "landing")
@@ -38,34 +74,41 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return stored.groupBy("symbol", "market", "seg").agg(F.count("*").alias("trades"))
 
 
-def _book_changes(spark: SparkSession, d: str) -> DataFrame:
+def _followed(spark: SparkSession, d: str) -> str:
+    """Books of five symbols followed in three runs; three start from the job's first state, two ask for a snapshot."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
-    path = new_path(spark, "landing")
-    messages = T.book_stream(spark, d).withColumn("symbol", F.lit("SOLUSDT")).coalesce(1).sortWithinPartitions("ord")
-    messages.write.option("maxRecordsPerFile", 20_000).parquet(path)
-    stream = spark.readStream.schema(messages.schema).parquet(path)
-    out, checkpoint = new_path(spark, "book"), new_path(spark, "checkpoint")
-    pipelines.run_now(pipelines.books(stream), out, checkpoint)
-    return spark.read.parquet(out)
+    folder = new_path(spark, "books")
+    start = spark.range(3).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit(0).cast("long").alias("u"))
+    first = T.depth_snapshots(start)
+    _in_turns(spark, T.depth_messages(spark, d), "landing", lambda stream: books.follow_now(stream, T.depth_snapshots, folder, first))
+    return folder
 
 
 def stream_book(spark: SparkSession, d: str) -> DataFrame:
-    """The book after a stream of snapshots and updates with broken sequences."""
-    return pipelines.standing(_book_changes(spark, d)).select("side", "price", "qty")
+    """The books after a stream with broken sequences, read from the state store."""
+    return books.levels(spark, _followed(spark, d)).select("symbol", "side", "price", "qty")
 
 
 def stream_book_log(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted and rejected levels of each epoch of that stream."""
-    return _book_changes(spark, d).groupBy("epoch", "accepted").agg(F.count("*").alias("levels"), F.min("u").alias("first_u"))
-
-
-# Epoch k + 1 begins `UNSYNCED` updates after the k-th broken sequence.
-_EPOCHS = catalog._DIFFS + f""", changes AS (SELECT side, price, qty, u, CASE WHEN ord < {499 + T.UNSYNCED} THEN 0 ELSE (ord - {499 + T.UNSYNCED}) // 500 + 1 END + 1 AS epoch, NOT (ord >= 499 AND (ord - 499) % 500 < {T.UNSYNCED}) AS accepted FROM diffs
-UNION ALL SELECT x.side, x.price, (event_id % 7 + 1)::DOUBLE, event_id * 3 + 2, CASE WHEN event_id = 0 THEN 1 ELSE (event_id - {499 + T.UNSYNCED}) // 500 + 2 END, true FROM events, (VALUES ('bid', 100.25::DOUBLE), ('ask', 200.75::DOUBLE)) x(side, price) WHERE event_id = 0 OR (event_id > 499 AND event_id % 500 = {(499 + T.UNSYNCED) % 500}))"""
+    """What became of the messages and how many snapshots each book asked for."""
+    return books.events(spark, _followed(spark, d)).groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.max("u").alias("last_u"))
+
+
+# A book's last snapshot is the answer to its last broken sequence; updates count from the one that spans it.
+_BOOKS = f"""m AS (SELECT 'S' || event_id % {T.DEPTH_SYMBOLS} AS symbol, event_id // {T.DEPTH_SYMBOLS} AS j, event_id // {T.DEPTH_SYMBOLS} * 3 + 3 AS u, event_id AS i, floor(value * 100)::BIGINT AS cents FROM events),
+breaks AS (SELECT symbol, j, u, (j + {T.AHEAD}) * 3 + 2 AS last_id FROM m WHERE j % {T.BROKEN_EVERY} = {T.BROKEN_AT}),
+state AS (SELECT s.symbol, coalesce(max(b.u), 0) AS asked, coalesce(max(last_id), 2) AS last_id FROM (SELECT DISTINCT symbol FROM m) s LEFT JOIN breaks b USING (symbol) GROUP BY s.symbol),
+lv AS (SELECT symbol, u, 1 AS k, 'bid' AS side, 150.0::DOUBLE - (cents % 2000) / 100.0::DOUBLE AS price, (i % 11)::DOUBLE AS qty FROM m UNION ALL SELECT symbol, u, 2, 'bid', 150.0::DOUBLE - (cents * 7 % 2000) / 100.0::DOUBLE, (i * 3 % 7)::DOUBLE FROM m UNION ALL SELECT symbol, u, 3, 'ask', 150.5::DOUBLE + (cents * 3 % 2000) / 100.0::DOUBLE, (i % 5)::DOUBLE FROM m
+UNION ALL SELECT symbol, last_id, 0, 'bid', 100.25::DOUBLE, (asked % 7 + 1)::DOUBLE FROM state UNION ALL SELECT symbol, last_id, 0, 'ask', 200.75::DOUBLE, (asked % 5 + 1)::DOUBLE FROM state)"""
+_KINDS = f"""k AS (SELECT m.symbol, m.u, CASE WHEN m.j % {T.BROKEN_EVERY} = {T.BROKEN_AT} THEN 'rejected' WHEN m.j > {T.BROKEN_AT} AND (m.j - {T.BROKEN_AT}) % {T.BROKEN_EVERY} < {T.AHEAD} THEN 'stale' ELSE 'applied' END AS kind FROM m
+UNION ALL SELECT symbol, u, 'request' FROM breaks UNION ALL SELECT symbol, last_id, 'snapshot' FROM breaks
+UNION ALL SELECT DISTINCT symbol, x.u, x.kind FROM m, (VALUES (0, 'request'), (2, 'snapshot')) x(u, kind) WHERE symbol IN ('S3', 'S4'))"""
+QUERIES |= {"stream_packets": stream_packets, "stream_windows": stream_windows, "stream_window_bands": stream_window_bands}
+SQL |= {"stream_packets": catalog.SQL["packets"], "stream_windows": catalog.SQL["rolling_windows"], "stream_window_bands": catalog.SQL["rolling_by_segment"]}
 QUERIES |= {"stream_minute": stream_minute, "stream_ingest": stream_ingest, "stream_book": stream_book, "stream_book_log": stream_book_log}
 SQL |= {
     "stream_minute": f"WITH {catalog.TRADES} SELECT timestamp // 60000 * 60000 AS minuto, count(*) AS trades, sum({catalog.BUY}) AS buy_vol, sum({catalog.SELL}) AS sell_vol FROM trades GROUP BY 1",
     "stream_ingest": f"WITH {catalog.TRADES} SELECT 'SOLUSDT' AS symbol, market, {catalog.CASE.replace('volume_usdt', '(price * volume_base)')} AS seg, count(*) AS trades FROM trades WHERE ({catalog._KIND}) IS NULL GROUP BY ALL",
-    "stream_book": f"WITH {_EPOCHS} SELECT side, price, qty FROM (SELECT side, price, arg_max(qty, u) AS qty FROM changes WHERE accepted AND epoch = (SELECT max(epoch) FROM changes) GROUP BY ALL) WHERE qty > 0",
-    "stream_book_log": f"WITH {_EPOCHS} SELECT epoch, accepted, count(*) AS levels, min(u) AS first_u FROM changes GROUP BY ALL",
+    "stream_book": f"WITH {_BOOKS} SELECT symbol, side, price, qty FROM (SELECT symbol, side, price, arg_max(qty, (u, k)) AS qty FROM lv JOIN state USING (symbol) WHERE u >= last_id GROUP BY ALL) WHERE qty > 0",
+    "stream_book_log": f"WITH {_BOOKS}, {_KINDS} SELECT symbol, kind, count(*) AS n, max(u) AS last_u FROM k GROUP BY ALL",
 }
