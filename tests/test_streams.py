@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bandflow.streaming import books, pipelines, windows
+from bandflow.operators import liquidations
+from bandflow.streaming import books, buffers, dump, pipelines, windows
 
 
 @pytest.fixture
@@ -154,3 +155,91 @@ def test_snapshots_by_a_transport(spark):
     assert books.snapshot_url("https://exchange/", "solusdt") == "https://exchange/fapi/v1/depth?symbol=SOLUSDT&limit=1000"
 
 
+
+
+# --- the day's buffer
+BUFFERED = "symbol string, market string, ord long, timestamp long, price double, volume_usdt double, side int, seg int"
+COMMANDS = "symbol string, market string, ord long, command string"
+
+
+def buffer_by_loop(rows, every, window):
+    """The reference's buffer: a list, purged from the front at every `every`-th trade."""
+    kept, n, newest = [], 0, 0
+    for r in rows:
+        kept.append(r)
+        n, newest = n + 1, max(newest, r[3])
+        while n % every == 0 and kept and kept[0][3] < newest - window:
+            kept.pop(0)
+    return kept, n
+
+
+def test_buffer_with_late_rows_and_commands(spark, folder):
+    rng = random.Random(4)
+    rows, now = [], 1_000_000
+    for i in range(300):
+        now += rng.randint(0, 40)
+        rows.append((rng.choice(["a", "A", "B"]), "spot", 10 * i, now - rng.choice([0, 0, 0, 900, 2500]), 1.0, float(rng.randint(1, 9)), rng.choice([0, 1, 3]), 1))
+    commands = [("a", "spot", -1, "register"), ("A", "spot", 505, "register"), ("b", "spot", 700, "register"), ("B", "spot", 1995, "remove"), ("b", "spot", 2205, "register"), ("C", "spot", 5, "remove")]
+    run = {"out": f"{folder}/out", "checkpoint": f"{folder}/checkpoint"}
+
+    def go(stream):
+        asked = spark.readStream.schema(COMMANDS).parquet(f"{folder}/commands")
+        pipelines.run_now(buffers.buffered(stream, asked, 7, 1000, 10), run["out"], run["checkpoint"])
+
+    for begin, end in ((0, 900), (900, 1800), (1800, 3000)):
+        low = begin if begin else -10
+        spark.createDataFrame([c for c in commands if low <= c[2] < end], COMMANDS).write.mode("append").parquet(f"{folder}/commands")
+        in_runs(spark, folder, [[r for r in rows if begin <= r[2] < end]], BUFFERED, go)
+    a, n_a = buffer_by_loop([r for r in rows if r[0] in "aA"], 7, 1000)
+    b, n_b = buffer_by_loop([r for r in rows if r[0] == "B" and r[2] > 2205], 7, 1000)
+    assert len(a) > 20 and any(r[3] < max(x[3] for x in a) - 1000 for r in a)  # a late row outlives the window
+    got = buffers.held(spark, run["checkpoint"], 10).collect()
+    for symbol, want in (("A", a), ("B", b)):
+        assert sorted((r["ord"], r["timestamp"], r["volume_usdt"]) for r in got if r["symbol"] == symbol) == [(r[2], r[3], r[5]) for r in want]
+    events = spark.read.schema(buffers.BUFFER).parquet(run["out"]).collect()
+    of = lambda e: sorted((r["symbol"], r["ord"]) for r in events if r["event"] == e)
+    assert of("registered") == [("A", -1), ("B", 700), ("B", 2205)] and of("known") == [("A", 505)]
+    assert of("removed") == [("B", 1995)] and of("unknown") == [("C", 5)]
+    assert of("refused") == sorted(("B", r[2]) for r in rows if r[0] == "B" and (r[2] < 700 or 1995 < r[2] < 2205))
+    last = {r["symbol"]: r for r in sorted((r for r in events if r["event"] == "totals"), key=lambda r: r["inserted"])}
+    assert (last["A"]["trades"], last["A"]["vol"], last["A"]["inserted"], last["A"]["purged"]) == (len(a), sum(r[5] for r in a), n_a, n_a - len(a))
+    assert (last["A"]["buys"], last["A"]["sells"]) == tuple(sum(r[6] == s for r in a) for s in (0, 1))
+
+
+# --- liquidations
+def test_counters_never_shrink_and_windows_see_what_is_kept(spark, folder):
+    rng = random.Random(6)
+    rows = [("X", i, 1_000_000 + i, rng.choice(["LONG liq", "SHORT liq"]), 10.0, 1.0, float(rng.randint(1, 90)), rng.randint(1, 2)) for i in range(5600)]
+    schema = "symbol string, ord long, timestamp long, kind string, price double, qty double, usdt double, seg int"
+    in_runs(spark, folder, [rows[:3000], rows[3000:5400], rows[5400:]], schema, lambda s: pipelines.run_now(buffers.liquidations(s), f"{folder}/out", f"{folder}/checkpoint"))
+    ever = {r["seg"]: (r["long_count"], r["short_usdt"]) for r in buffers.liquidation_counters(spark, f"{folder}/checkpoint").collect()}
+    assert ever == {s: (sum(r[7] == s and r[3] == "LONG liq" for r in rows), sum(r[6] for r in rows if r[7] == s and r[3] != "LONG liq")) for s in (1, 2)}
+    kept = buffers.recent_liquidations(spark, f"{folder}/checkpoint")
+    assert sorted(r["ord"] for r in kept.collect()) == list(range(600, 5600))
+    day = liquidations.windows(kept).where("minutes = 1440").first()
+    assert day["total_count"] == 5000 and day["long_usdt"] == sum(r[6] for r in rows[600:] if r[3] == "LONG liq")
+
+
+# --- sessions and dumps
+def test_sessions_freeze_once_and_leave_late_trades_out(spark, folder):
+    hour = 3_600_000
+    row = lambda i, h, price, v, side=0, seg=1: ("X", i, int(h * hour), price, v, side, seg)
+    first = [row(0, 12.5, 5.0, 10.0), row(1, 13, 7.0, 30.0, 1, 3), row(2, 14, 6.0, 30.0, 0, 2)]
+    second = [row(3, 20.2, 8.0, 1.0), row(4, 19.9, 9.0, 2.0)]  # late by less than the watermark
+    third = [row(5, 21.5, 1.0, 1.0), row(6, 28.5, 2.0, 1.0)]
+    fourth = [row(7, 19.0, 99.0, 99.0)]
+    schema = "symbol string, ord long, timestamp long, price double, volume_usdt double, side int, seg int"
+    in_runs(spark, folder, [first, second, third, fourth], schema, lambda s: pipelines.run_now(buffers.sessions(s, "1 hour"), f"{folder}/out", f"{folder}/checkpoint"))
+    got = spark.read.schema(buffers.SESSION).parquet(f"{folder}/out").orderBy("session_date", "session").collect()
+    assert [tuple(r) for r in got] == [("X", "1970-01-01", "NY", 5.0, 9.0, 4, 72.0, 58.3, 41.7, 2, "BUY")]
+
+
+def test_a_batch_stored_twice_is_there_once(spark, folder):
+    schema = "symbol string, market string, ord long, timestamp long, price double, volume_usdt double, volume_base double, side int, seg int"
+    row = lambda i, h: ("X", "spot", i, h * 3_600_000, 1.0, 2.0, 2.0, 0, 1)
+    one, two = (spark.createDataFrame(x, schema) for x in ([row(0, 1), row(1, 5)], [row(2, 5), row(3, 13)]))
+    dump.store(one, 0, f"{folder}/d")
+    for _ in range(2):
+        dump.store(two, 1, f"{folder}/d")
+    assert sorted(r["ord"] for r in dump.stored(spark, f"{folder}/d").collect()) == [0, 1, 2, 3]
+    assert [(r["period"], r["trades"]) for r in dump.dumped(spark, f"{folder}/d").orderBy("period").collect()] == [(4 * 3_600_000, 1), (12 * 3_600_000, 2)]
