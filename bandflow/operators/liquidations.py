@@ -37,7 +37,8 @@ def by_segment(liqs: DataFrame) -> DataFrame:
 def windows(liqs: DataFrame, as_of: int | None = None, minutes=X.LIQUIDATION_MINUTES) -> DataFrame:
     """Totals of the last minutes, for all windows in one pass; empty ones stay."""
     reached = F.filter(F.array(*map(F.lit, minutes)), lambda m: F.col("timestamp") >= F.col("as_of") - m * X.MINUTE_MS)
-    sums = _sides(with_as_of(liqs, as_of).withColumn("minutes", F.explode(reached)), "minutes")
+    rows = with_as_of(liqs, as_of).where(F.col("timestamp") >= F.col("as_of") - max(minutes) * X.MINUTE_MS)
+    sums = _sides(rows.withColumn("minutes", F.explode(reached)), "minutes")
     all_windows = liqs.sparkSession.createDataFrame([(m,) for m in minutes], "minutes int")
     out = all_windows.join(sums, "minutes", "left").na.fill(0)
     return out.withColumn("dominance", X.dominance(F.col("long_usdt"), F.col("short_usdt"), 1.1, ("LONG", "SHORT")))

@@ -151,7 +151,8 @@ def session_vwap(t: DataFrame, as_of: int | None = None, price: float | None = N
     """Per market session since its last start: VWAP, buying share and the
     distance of the price (by default the newest one). Sessions stay open
     ended unless `bounded`."""
-    rows = with_as_of(t, as_of)
+    # No session began before yesterday's Asian one.
+    rows = with_as_of(t, as_of).where(F.col("timestamp") >= (F.floor(F.col("as_of") / X.DAY_MS) - 1) * X.DAY_MS + 20 * X.HOUR_MS)
     last = t.agg(F.max_by("price", F.struct("timestamp", "ord")).alias("_last"))
     starts = F.array(*(F.struct(F.lit(name).alias("session"), F.lit(h).alias("h"), F.lit(back).alias("back")) for name, h, back in (("Asia", 20, 1), ("Londres", 4, 0), ("NY", 12, 0))))
     rows = rows.withColumn("x", F.explode(starts))
@@ -179,6 +180,11 @@ def session_stats(t: DataFrame) -> DataFrame:
     return rows.select("session_date", "session", "open", "close", "trades", X.rounded(F.col("volume"), 2).alias("volume"), X.rounded(share, 1).alias("buy_pct"), X.rounded(X.percent(F.col("volume") - F.col("_b"), F.col("volume")), 1).alias("sell_pct"), "dominant_seg", F.when(X.percent(F.col("_d.b"), F.col("_d.v")) >= 50, "BUY").otherwise("SELL").alias("dominant_side"))
 
 
+def last_price(t: DataFrame) -> float | None:
+    """The price of the newest arrival, a single value; null for no trades."""
+    return t.agg(F.max_by("price", "ord")).first()[0]
+
+
 def retained(t: DataFrame, as_of: int | None = None, ms: int = X.DAY_MS) -> DataFrame:
     """Trades of the last day before the newest one."""
     return with_as_of(t, as_of).where(F.col("timestamp") >= F.col("as_of") - ms).drop("as_of")

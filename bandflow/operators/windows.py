@@ -17,7 +17,7 @@ from bandflow.functions.expressions import WINDOW_PACKETS, percent, sum_where
 from bandflow.sources.shared import shared_dir
 
 MEASURES = ("vol_total", "vol_buy", "vol_sell", "trades")
-#: Volumes are summed exactly in this type, so that a window is a difference of two running sums.
+#: Volumes are summed exactly in this type, so that a window is a difference of two running sums; what it can't hold is summed beside it.
 EXACT = "decimal(38,10)"
 
 
@@ -44,7 +44,8 @@ def packet_ids(t: DataFrame, key: str = "market") -> DataFrame:
 
 def packets(t: DataFrame, key: str = "market", keep_open: bool = False) -> DataFrame:
     """Per packet and band, and with a null band for all bands: volumes and count."""
-    rows = packet_ids(t, key)
+    # Only what packets are made of is written for the numbering.
+    rows = packet_ids(t.select(key, "ord", "timestamp", "seg", "side", "volume_usdt"), key)
     v, buy, sell = F.col("volume_usdt"), F.col("side") == 0, F.col("side") == 1
     rows = rows.where(buy | sell)
     grouped = rows.groupingSets([[F.col(key), F.col("packet"), F.col("sec"), F.col("seg")], [F.col(key), F.col("packet"), F.col("sec")]], key, "packet", "sec", "seg")
@@ -61,18 +62,26 @@ def rolling(p: DataFrame, sizes: Sequence[int] = WINDOW_PACKETS, key: str = "mar
     Packets are numbered without gaps, so a window is a running sum less the
     one `n` packets earlier: one sort, one pass and one lag for each size. A
     key has at most a packet for each second, however many trades there are.
+    Infinite volumes are counted, so that a window is infinite while it holds
+    one and finite again afterwards; parts below 10^-10 are summed as doubles.
     """
-    whole = p.where("seg is null")
     order = Window.partitionBy(key).orderBy("packet")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = whole.select(key, "packet", *(F.sum(F.col(m).cast(EXACT)).over(so_far).alias(m) for m in MEASURES), F.count("*").over(so_far).alias("_n"))
-    sums = F.struct(*MEASURES, "_n")
-    whole = whole.withColumn("_now", sums).select(key, "packet", "_now", *(F.lag("_now", n).over(order).alias(f"_{n}") for n in sizes))
+    volumes = MEASURES[:-1]
+
+    def sums(m: str) -> list:
+        infinite = F.col(m) == float("inf")
+        exact = F.when(infinite, F.lit(0).cast(EXACT)).otherwise(F.coalesce(F.col(m).try_cast(EXACT), F.lit(0).cast(EXACT)))
+        rest = F.when(infinite, 0.0).otherwise(F.col(m) - exact.cast("double"))
+        return [F.sum(exact).over(so_far).alias(m), F.sum(rest).over(so_far).alias(f"{m}_rest"), F.sum(infinite.cast("long")).over(so_far).alias(f"{m}_infinite")]
+
+    whole = p.where("seg is null").select(key, "packet", *(c for m in volumes for c in sums(m)), F.sum("trades").over(so_far).alias("trades"), F.count("*").over(so_far).alias("_n"))
+    whole = whole.withColumn("_now", F.struct(*(c for c in whole.columns if c not in (key, "packet")))).select(key, "packet", "_now", *(F.lag("_now", n).over(order).alias(f"_{n}") for n in sizes))
     states = F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"_{n}").alias("then")) for n in sizes))
     out = whole.select(key, "packet", "_now", F.inline(states))
     inside = lambda m: F.col(f"_now.{m}") - F.coalesce(F.col(f"then.{m}"), F.lit(0))
-    kinds = dict.fromkeys(MEASURES, "double") | {"trades": "long"}
-    out = out.select(key, "packet", "window", *(inside(m).cast(kinds[m]).alias(m) for m in MEASURES), (inside("_n") / F.col("window") * 100.0).alias("fill_pct"))
+    volume = lambda m: F.when(inside(f"{m}_infinite") > 0, float("inf")).otherwise(inside(m).cast("double") + inside(f"{m}_rest"))
+    out = out.select(key, "packet", "window", *(volume(m).alias(m) for m in volumes), inside("trades").cast("long").alias("trades"), (inside("_n") / F.col("window") * 100.0).alias("fill_pct"))
     return out.withColumns({"buy_pct": percent(F.col("vol_buy"), F.col("vol_total")), "sell_pct": percent(F.col("vol_sell"), F.col("vol_total"))})
 
 

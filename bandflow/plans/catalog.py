@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandflow.functions import expressions as X
-from bandflow.operators import book, lab, levels, liquidations, live, normalize, windows
+from bandflow.operators import asof, book, lab, levels, liquidations, live, normalize, windows
 from bandflow.sources import trades as T
 from bandflow.sources.shared import new_path
 
@@ -209,6 +209,19 @@ query("avg_price_side", f"WITH {_CANDLES}, {_AVG} SELECT grp, {R('avg_bid', 6)}
 _IND = ("rsi", "macd", "signal", "histogram", "vwap", "avg_bid", "avg_ask", "buy_pct")
 query("group_indicators", f"WITH {_CANDLES}, {_RSI}, {_MACD}, {_VWAP}, {_AVG}, tt AS (SELECT grp, coalesce(sum(vol_usdt), 0.0::DOUBLE) AS vol_total, coalesce(sum(vol_buy), 0.0::DOUBLE) AS vb, coalesce(sum(trades), 0)::BIGINT AS trades FROM groups LEFT JOIN candles USING (grp) GROUP BY grp), j AS (SELECT *, {P('vb', 'vol_total', 50.0)} AS buy_pct FROM tt JOIN rsi USING (grp) JOIN macd USING (grp) JOIN vw USING (grp) JOIN av USING (grp)) SELECT grp, vol_total, trades, " + ", ".join(f"{R(c, 6)} AS {c}" for c in _IND) + " FROM j")(on_dense(lambda t: live.indicators(t).select("grp", "vol_total", "trades", *(X.rounded(F.col(c), 6).alias(c) for c in _IND))))
 
+# --- spot price beside futures -----------------------------------------------------------------
+_WITH_SYMBOL = f"(SELECT *, CASE WHEN user_id % 3 = 0 THEN 'SOLUSDT' ELSE 'BTCUSDT' END AS symbol FROM trades)"
+
+
+@query("asof_spot", f"WITH {TRADES}, s AS (SELECT symbol, ord, price AS spot FROM {_WITH_SYMBOL} WHERE market = 'spot') SELECT f.symbol, f.ord, f.price, spot, f.price - spot AS basis FROM {_WITH_SYMBOL} f ASOF LEFT JOIN s ON f.symbol = s.symbol AND f.ord >= s.ord WHERE f.market = 'futures'")
+def asof_spot(spark: SparkSession, d: str) -> DataFrame:
+    """Each futures trade with its symbol's last spot price."""
+    t = T.event_trades(spark, d).withColumn("symbol", F.when(F.col("user_id") % 3 == 0, "SOLUSDT").otherwise("BTCUSDT"))
+    spot = t.where("market = 'spot'").select("symbol", "ord", F.col("price").alias("spot"))
+    futures = t.where("market = 'futures'").select("symbol", "ord", "price")
+    return asof.last_before(futures, spot, ["symbol"], "spot", stretch=512).withColumn("basis", F.col("price") - F.col("spot"))
+
+
 # --- sessions ---------------------------------------------------------------------------------
 _STARTS = f"""st AS (SELECT * FROM (VALUES ('Asia', 20, 1), ('Londres', 4, 0), ('NY', 12, 0)) AS s(session, h, back) CROSS JOIN now), lastp AS (SELECT arg_max(price, (timestamp, ord)) AS last FROM dense)"""
 query("session_vwap", f"WITH {DENSE}, {_STARTS}, z AS (SELECT session, coalesce(sum(price * volume_usdt) / nullif(sum(volume_usdt), 0), 0.0::DOUBLE) AS vwap, coalesce(sum(volume_usdt), 0.0::DOUBLE) AS vol_total, count(ord) AS trades, coalesce(sum({BUY}), 0.0::DOUBLE) AS b FROM st LEFT JOIN dense d ON d.timestamp >= (as_of // {X.DAY_MS} - back) * {X.DAY_MS} + h * {X.HOUR_MS} GROUP BY session) SELECT session, {R('vwap', 6)} AS vwap, vol_total, trades, {P('b', 'vol_total', 50.0)} AS buy_pct, {R('CASE WHEN vwap > 0 THEN last - vwap ELSE 0.0::DOUBLE END', 6)} AS diff FROM z, lastp")(on_dense(lambda t: live.session_vwap(t).withColumns({"vwap": X.rounded(F.col("vwap"), 6), "diff": X.rounded(F.col("diff"), 6)})))

@@ -203,3 +203,25 @@ def test_text_of_doubles_rounds_the_binary_value_half_to_even(spark):
     for r in rows:
         for n in (2, 4, 8):
             assert r[f"t{n}"] == ("%.*f" % (n, r["v"])).replace("nan", "NaN")
+
+
+@pytest.mark.parametrize("stretch", [3, 1000])
+def test_last_value_before_each_row(spark, stretch):
+    import random
+
+    from bandflow.operators import asof
+
+    rng = random.Random(stretch)
+    left = [(rng.choice(["a", "b", "c", None]), rng.choice([rng.randint(0, 90), None]) if i % 20 == 0 else rng.randint(0, 90), i) for i in range(150)]
+    right = [(rng.choice(["a", "b"]), rng.randint(20, 60) if i % 2 else rng.randint(0, 8), rng.choice([None, float(i)])) for i in range(25)]
+    got = asof.last_before(spark.createDataFrame(left, "k string, at long, value_of long"), spark.createDataFrame(right, "k string, at long, price double"), ["k"], "price", "at", stretch).collect()
+    assert len(got) == len(left)
+    for r in got:
+        known = [(at, p) for k, at, p in right if p is not None and k == r["k"] and r["at"] is not None and at <= r["at"]]
+        assert r["price"] == (max(known)[1] if known else None)
+
+
+def test_windows_are_infinite_only_while_they_hold_an_infinite_volume(spark):
+    rows = [(1_000_000 + 1000 * i, v, 0) for i, v in enumerate([5.0, math.inf, 7.0, 1e-12, 1e-12, 2e-12, 9.0])]
+    got = windows.rolling(windows.packets(trades(spark, rows)), (2,)).orderBy("packet").collect()
+    assert [r["vol_total"] for r in got] == pytest.approx([5.0, math.inf, math.inf, 7.0 + 1e-12, 2e-12, 3e-12], rel=1e-9, abs=0)
