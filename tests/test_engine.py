@@ -92,8 +92,39 @@ def test_reconnect_and_urls():
 
 
 def test_stream_source(spark, tmp_path):
-    s = exchange.streams(spark, exchange.SourceConfig("solusdt"), "transport:fetch", base="b")
-    q = s.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path)).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("live").groupBy("market").agg(F.count("*")).count() == 2
+    pairs = [exchange.SourceConfig("solusdt"), exchange.SourceConfig("btcusdt", spot=False)]
+    lengths = {"spot/solusdt@trade": "5", "futures/btcusdt@trade": ""}
+    for market in ("spot", "futures"):
+        (tmp_path / market).mkdir()
+
+    def run():
+        for name, n in lengths.items():
+            (tmp_path / name).write_text(n)
+        s = exchange.streams(spark, pairs, "transport", **{"base.spot": f"{tmp_path}/spot", "base.futures": f"{tmp_path}/futures", "batch": "2"})
+        s.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        rows = spark.read.parquet(f"{tmp_path}/out").collect()
+        return sorted((r["symbol"], r["market"], r["seq"], r["raw"]) for r in rows)
+
+    want = lambda symbol, market, n: [(symbol, market, i, f"{symbol.lower()}@trade#{i}") for i in range(n)]
+    assert run() == want("SOLUSDT", "futures", 3) + want("SOLUSDT", "spot", 5)
+    lengths.update({"spot/solusdt@trade": "9", "futures/btcusdt@trade": "4"})
+    assert run() == want("BTCUSDT", "futures", 4) + want("SOLUSDT", "futures", 3) + want("SOLUSDT", "spot", 9)
+    assert run() == want("BTCUSDT", "futures", 4) + want("SOLUSDT", "futures", 3) + want("SOLUSDT", "spot", 9)
+
+
+def test_stream_source_plans_ranges_and_waits_without_sleeping(tmp_path):
+    reader = exchange.ExchangeReader({"symbols": "a,B", "markets": "spot", "transport": "transport", "batch": "2", "base": str(tmp_path)})
+    (tmp_path / "b@trade").write_text("")
+    assert reader.latestOffset() == {"A/spot/trade": 3, "B/spot/trade": 0}
+    (tmp_path / "b@trade").write_text("7")
+    assert reader.latestOffset()["B/spot/trade"] == 0  # its wait isn't over
+    reader.next_try.clear()
+    end = reader.latestOffset()
+    ranges = reader.partitions({"A/spot/trade": 2}, end)
+    assert [(r.symbol, r.begin, r.end) for r in ranges] == [("A", 2, 3), ("B", 0, 2), ("B", 2, 4), ("B", 4, 6), ("B", 6, 7)]
+    (tmp_path / "fail_once").write_text("")
+    with pytest.raises(OSError):
+        list(reader.read(ranges[1]))
+    assert list(reader.read(ranges[1])) == [(0, "B", "spot", "trade", "b@trade#0"), (1, "B", "spot", "trade", "b@trade#1")]
+    with pytest.raises(ValueError):
+        exchange.ExchangeReader({"transport": "transport"})
