@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandflow import jobs
 from bandflow.functions.expressions import Bands
 from bandflow.operators import book, lab, levels, liquidations, live, windows
 from bandflow.sources import catalog
-from bandflow.sources.export import csv_line
+from bandflow.sources.export import csv_line, json_bundle, section
 from bandflow.sources.trades import read_trades
 
 
@@ -56,14 +57,21 @@ class Engine:
     def export_csv(self, frame: DataFrame, path: str) -> None:
         frame.select(csv_line(frame).alias("value")).write.mode("overwrite").text(path)
 
-    def live_report(self, trades: DataFrame, as_of: int | None = None, hours: int = 4) -> dict[str, DataFrame]:
-        """All live reports over the retained day."""
+    def live_report(self, trades: DataFrame, as_of: int | None = None, hours: int = 4, spot: DataFrame | None = None) -> dict[str, DataFrame]:
+        """All live reports over the retained day; sessions are measured against the last price of `spot`, by default of `trades`."""
         day = live.retained(trades, as_of)
-        return {"levels": levels.horizon_levels(day, as_of), "cvd": live.cvd(day, as_of), "divergence": live.divergence(day, as_of), "indicators": live.indicators(day, as_of, hours), "session_vwap": live.session_vwap(day, as_of)}
+        price = live.last_price(spot if spot is not None else trades) or 0.0
+        return {"levels": levels.horizon_levels(day, as_of), "cvd": live.cvd(day, as_of), "divergence": live.divergence(day, as_of), "indicators": live.indicators(day, as_of, hours), "session_vwap": live.session_vwap(day, as_of, price)}
 
-    def dashboard(self, trades: DataFrame, diffs: DataFrame, liqs: DataFrame, depth: int = 8) -> dict[str, DataFrame]:
+    def live_report_json(self, trades: DataFrame, as_of: int | None = None, hours: int = 4, spot: DataFrame | None = None) -> DataFrame:
+        """The live report as one nested JSON text."""
+        return json_bundle({name: section(df) for name, df in self.live_report(trades, as_of, hours, spot).items()})
+
+    def dashboard(self, trades: DataFrame, diffs: DataFrame, liqs: DataFrame, depth: int = 8, spot: DataFrame | None = None) -> dict[str, DataFrame]:
+        """What the dashboard shows; the book's steps are counted from the last price of `spot`, else from the book's middle."""
         p, b = windows.packets(trades), book.state(diffs)
-        steps = book.integer_levels(b, depth)
+        price = None if spot is None else live.last_price(spot)
+        steps = book.integer_levels(b, depth, price if price and price > 0 else None)
         return {"windows": windows.latest(p), "book": book.summary(b), "pairs": book.pairs(steps), "liquidations": liquidations.by_segment(liqs), "liquidation_windows": liquidations.windows(liqs), "liquidation_steps": liquidations.price_steps(liqs), "recent_liquidations": liquidations.recent(liqs), "sessions": live.session_stats(trades)}
 
     def levels_for_file(self, path: str) -> DataFrame:
@@ -79,6 +87,22 @@ class Engine:
     def last_levels(self, symbol: str) -> DataFrame:
         return levels.latest_history(self.spark, f"{self.base}/{symbol}/indicadores/sr.parquet")
 
+    def control(self, path: str | None = None) -> jobs.Control:
+        """The pair that is followed; see `jobs.Control`."""
+        return jobs.Control(self.spark, path or f"{self.base}/_control")
+
+    def run_scheduled_levels(self, symbol: str, now: int, start: int, market: str = "spot") -> list[int]:
+        """Runs the levels job for each due time up to `now` that it hasn't run for, and returns those times."""
+        job = jobs.levels_job(self.spark, self.base, symbol, market, self.bands)
+        return jobs.run_due(self.spark, f"{self.base}/_ledger", f"levels/{symbol}/{market}", now, start, job)
+
+    def scheduled_levels(self, symbol: str) -> DataFrame:
+        return jobs.scheduled_levels(self.spark, self.base, symbol)
+
+    def update_bands(self, bounds: tuple[float, ...]) -> None:
+        """Other bounds for what is read from now on; if they are no bounds, ValueError, and the old ones stay."""
+        self.bands = Bands(bounds)
+
     def stop_streams(self) -> None:
         for q in self.spark.streams.active:
             q.stop()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, salted_join, small_batches, stored, table, workspace
+from .common import components, salted_join, small_batches, stored, table, trimmed, workspace
 
 #: Ids or block keys known to be at most this many are broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -199,7 +199,7 @@ def set_digests(docs: DataFrame, rule: Rule) -> DataFrame:
         if sets:
             yield often(sets)
 
-    return _rows(docs).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return _rows(docs).mapInArrow(trimmed(run), ", ".join(f"{x} long" for x in names))
 
 
 def frequent_shingles(seen: DataFrame) -> Frequent:
@@ -226,7 +226,7 @@ def block_keys(docs: DataFrame, rule: Rule, frequent: Frequent) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "doc"])
 
-    return _rows(docs).mapInArrow(run, "key long, doc long")
+    return _rows(docs).mapInArrow(trimmed(run), "key long, doc long")
 
 
 def sketch(codes: np.ndarray, least: int) -> np.ndarray:
@@ -266,7 +266,7 @@ def marked_sets(docs: DataFrame, rule: Rule) -> DataFrame:
             if out[0]:
                 yield _marked(out, names)
 
-    return _rows(docs).mapInArrow(run, "doc long, size long, sketch binary, slices int, slice int, codes binary")
+    return _rows(docs).mapInArrow(trimmed(run), "doc long, size long, sketch binary, slices int, slice int, codes binary")
 
 
 def _marked(columns: list[list], names: list[str]) -> pa.RecordBatch:
@@ -297,7 +297,7 @@ def sifted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep[at] = near(rows[: len(at)], rows[len(at) :], batch.column(2).to_numpy()[at], batch.column(3).to_numpy()[at], rule)
             yield batch.select(["pivot", "doc", "size2", "size"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "pivot long, doc long, size2 long, size long")
+    return both.mapInArrow(trimmed(run), "pivot long, doc long, size2 long, size long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFrame:
@@ -317,7 +317,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFr
             common = [len(np.intersect1d(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["pivot", "doc", "size2", "size", "common"])
 
-    counted = both.mapInArrow(run, "pivot long, doc long, size2 long, size long, common long").groupBy("pivot", "doc", "size2", "size").agg(F.sum("common").alias("common"))
+    counted = both.mapInArrow(trimmed(run), "pivot long, doc long, size2 long, size long, common long").groupBy("pivot", "doc", "size2", "size").agg(F.sum("common").alias("common"))
     return counted.where(rule.den * F.col("common") >= rule.num * (F.col("size") + F.col("size2") - F.col("common"))).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
 
 

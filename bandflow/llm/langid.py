@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, small_batches, table, trimmed
 
 UNKNOWN = "und"
 #: Bytes of a window at prediction, and windows computed at once.
@@ -258,7 +258,7 @@ def predictions(docs: DataFrame, net: Recogniser | None, keep: list[str]) -> Dat
                         langs[i], scores[i] = net.langs[best], min(1.0, float(row[best]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return small_batches(docs).select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
+    return small_batches(docs).select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(trimmed(run), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, salted_join, small_batches, stored, table, workspace
+from .common import fresh, salted_join, small_batches, stored, table, trimmed, workspace
 
 #: Least words of an aligned block.
 MIN_WORDS = 8
@@ -198,7 +198,7 @@ def meeting_keys(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
             where = pa.array(where[once].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys[once].view(np.int64)), pa.array(flags[once]), batch.column(0).take(where), batch.column(1).take(where)], names=["key", "rare", "unit", "doc_id"])
 
-    return both.mapInArrow(run, "key long, rare boolean, unit long, doc_id long")
+    return both.mapInArrow(trimmed(run), "key long, rare boolean, unit long, doc_id long")
 
 
 def overlapping(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
@@ -235,7 +235,7 @@ def deletions(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataF
             line = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(line.astype(np.int32))], names=["unit", "line"])
 
-    return both.mapInArrow(run, "unit long, line int").groupBy("unit").agg(F.collect_set("line").alias("cut"))
+    return both.mapInArrow(trimmed(run), "unit long, line int").groupBy("unit").agg(F.collect_set("line").alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bandflow.functions import expressions as X
 from bandflow.operators import asof, book, lab, levels, liquidations, live, normalize, windows
 from bandflow.sources import trades as T
+from bandflow.sources.export import json_bundle, section
 from bandflow.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +310,38 @@ def store_analysed(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("seg").agg(F.count("*").alias("trades"), F.sum("volume_usdt").alias("vol"))
 
 
+_DAY15 = T.DENSE_START + 14 * X.DAY_MS
+
+
+@query("levels_scheduled", f"WITH {TRADES}, src AS (SELECT * FROM trades WHERE market = 'spot' AND timestamp BETWEEN {_DAY15} AND {_DAY15 + X.DAY_MS - 1}), l AS (WITH {_levels_sql('src', 'market', True)}) SELECT {_DAY15}::BIGINT + due * 60000 AS timestamp, sesion, 'SOLUSDT' AS par, l.* EXCLUDE (market) FROM l, (VALUES (255, 'Asia'), (735, 'Londres'), (1215, 'NY')) x(due, sesion)")
+def levels_scheduled(spark: SparkSession, d: str) -> DataFrame:
+    """A day's three scheduled level jobs, caught up with in two calls after a stop."""
+    from bandflow.api import Engine
+
+    base = new_path(spark, "store")
+    T.write_trades(T.event_trades(spark, d).where("market = 'spot'").withColumn("symbol", F.lit("SOLUSDT")), base)
+    for now in (_DAY15 + 5 * X.HOUR_MS, _DAY15 + X.DAY_MS):
+        Engine(spark, base).run_scheduled_levels("SOLUSDT", now, _DAY15)
+    return _tidy(Engine(spark, base).scheduled_levels("SOLUSDT"))
+
+
+_F4 = lambda *cols: ", ".join(f"'{c}': printf('%.4f', {c}::DOUBLE)" for c in cols)
+_S4 = lambda *cols: ", ".join(f"'{c}': {c}::VARCHAR" for c in cols)
+
+
+@query(
+    "report_json",
+    f"WITH {DENSE}, {_IN}, c AS (SELECT *, vol_buy - vol_sell AS cvd, vol_buy + vol_sell AS vol_total, CASE WHEN vol_buy > vol_sell * 1.05::DOUBLE THEN 'BUY' WHEN vol_sell > vol_buy * 1.05::DOUBLE THEN 'SELL' ELSE 'EQ' END AS dominance FROM (SELECT hours, coalesce(sum({BUY}), 0.0) AS vol_buy, coalesce(sum({NOT_BUY}), 0.0) AS vol_sell, count(ord) AS trades FROM x GROUP BY hours)), "
+    f"g AS (SELECT market, seg, count(*) AS trades, sum(volume_usdt) AS vol_usdt FROM dense GROUP BY ALL), m AS (SELECT market, list({{{_S4('seg', 'trades')}, {_F4('vol_usdt')}}} ORDER BY seg) AS bands FROM g GROUP BY market) "
+    f"SELECT to_json({{'cvd': (SELECT list({{{_S4('hours')}, {_F4('vol_buy', 'vol_sell', 'cvd', 'vol_total')}, {_S4('trades', 'dominance')}}} ORDER BY hours) FROM c), 'markets': (SELECT list({{'market': market, 'bands': bands}} ORDER BY market) FROM m)}})::VARCHAR AS json",
+)
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """Horizons and the bands of each market as one nested JSON text of display values."""
+    t = T.dense_trades(spark, d)
+    by_band = t.groupBy("market", "seg").agg(F.count("*").alias("trades"), F.sum("volume_usdt").alias("vol_usdt"))
+    return json_bundle({"cvd": section(live.cvd(t), text=True), "markets": section(section(by_band, ["market"], "bands", text=True))})
+
+
 @query("csv_text", f"WITH {TRADES} SELECT ord, concat_ws(',', timestamp, printf('%.4f', price), printf('%.4f', volume_usdt), side, seg) AS line FROM trades")
 def csv_text(spark: SparkSession, d: str) -> DataFrame:
     from bandflow.sources.export import csv_line
@@ -317,6 +350,15 @@ def csv_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("ord", csv_line(t, ["timestamp", "price", "volume_usdt", "side", "seg"]).alias("line"))
 
 
+@query("csv_quoted", f"WITH {TRADES} SELECT ord, timestamp || ',\"' || CASE side WHEN 0 THEN 'BUY' ELSE 'SELL' END || ', P' || seg || '\",' || printf('%.4f', price) AS line FROM trades")
+def csv_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """CSV lines with a text that holds a comma."""
+    from bandflow.sources.export import csv_line
+
+    t = T.event_trades(spark, d).withColumn("what", F.concat(normalize.side_text(F.col("side")), F.lit(", P"), F.col("seg")))
+    return t.select("ord", csv_line(t, ["timestamp", "what", "price"]).alias("line"))
+
+
 query("trades_from_lineitem", f"SELECT {CASE} AS seg, count(*) AS trades FROM (SELECT l_extendedprice AS volume_usdt FROM lineitem) GROUP BY 1")(lambda spark, d: T.lineitem_trades(spark, d).groupBy("seg").agg(F.count("*").alias("trades")))
 
 

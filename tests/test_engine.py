@@ -64,7 +64,15 @@ def test_live_reports_and_dashboard(spark, tmp_path):
     t = dense_trades(spark, events)
     reports = Engine(spark, str(tmp_path)).live_report(t)
     assert all(df.count() > 0 for df in reports.values())
+    # Futures are measured against the last spot price, and the book's steps are counted from it.
+    futures, spot = t.where("market = 'futures'"), t.where("market = 'spot'")
+    price = spot.orderBy(F.desc("ord")).first()["price"]
+    for r in Engine(spark, str(tmp_path)).live_report(futures, spot=spot)["session_vwap"].collect():
+        assert r["diff"] == (price - r["vwap"] if r["vwap"] > 0 else 0.0)
+    assert "session_vwap" in Engine(spark, str(tmp_path)).live_report_json(futures, spot=spot).first()["json"]
     liqs = liquidations.events(liquidation_orders(spark, events))
+    steps = Engine(spark, str(tmp_path)).dashboard(t, book_diffs(spark, events), liqs, spot=spot)["pairs"].collect()
+    assert [(r["ask_precio"], r["bid_precio"]) for r in steps] == [(price // 1 + k, price // 1 - k) for k in range(1, 9)]
     assert all(df.count() > 0 for df in Engine(spark, str(tmp_path)).dashboard(t, book_diffs(spark, events), liqs).values())
 
 
