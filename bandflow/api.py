@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from bandflow import jobs
 from bandflow.functions.expressions import Bands
 from bandflow.operators import book, lab, levels, liquidations, live, windows
-from bandflow.sources import catalog
+from bandflow.sources import catalog, exchange
 from bandflow.sources.export import csv_line, json_bundle, section
 from bandflow.sources.trades import read_trades
+from bandflow.streaming import books, buffers, pipelines
 
 
 @dataclass
@@ -103,6 +105,20 @@ class Engine:
         """Other bounds for what is read from now on; if they are no bounds, ValueError, and the old ones stay."""
         self.bands = Bands(bounds)
 
+    def follow_books(self, pairs: Sequence[exchange.SourceConfig], transport: str, folder: str, rest: str = "", **options: str) -> DataFrame:
+        """Brings the futures books of `pairs` up to now from their depth streams, fetching snapshots where they are asked for; their levels."""
+        raw = exchange.streams(self.spark, [replace(p, spot=False) for p in pairs], transport, ("depth",), **options)
+        books.follow_now(books.parsed(raw.select("symbol", F.col("seq").alias("ord"), "raw")), books.snapshots_by_url(f"{transport}:snapshot", rest), folder)
+        return books.levels(self.spark, folder)
+
+    def follow_liquidations(self, pairs: Sequence[exchange.SourceConfig], transport: str, folder: str, **options: str) -> DataFrame:
+        """Counts the forced orders of `pairs` up to now; the last ones, for windows and price steps."""
+        raw = exchange.streams(self.spark, [replace(p, spot=False) for p in pairs], transport, ("forced",), **options)
+        orders = liquidations.parse(raw.select("symbol", F.col("seq").alias("ord"), "raw"), keep=("symbol",))
+        found = liquidations.events(orders, self.bands, keep=("symbol",))
+        pipelines.run_now(buffers.liquidations(found), f"{folder}/out", f"{folder}/checkpoint")
+        return buffers.recent_liquidations(self.spark, f"{folder}/checkpoint")
+
     def stop_streams(self) -> None:
         for q in self.spark.streams.active:
             q.stop()

@@ -9,18 +9,18 @@ from bandflow.functions import expressions as X
 from bandflow.operators.live import with_as_of
 
 
-def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """Fields S, p, q, T below `o` of JSON text; text that isn't JSON is left out."""
+def parse(messages: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fields S, p, q, T below `o` of JSON text, and the columns `keep`; text that isn't JSON is left out."""
     v = messages.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("_v"))))).where("_v is not null")
     get = lambda k, kind: F.try_variant_get("_v", f"$.o.{k}", kind)
-    return v.select("ord", get("S", "string").alias("S"), get("p", "string").alias("p"), get("q", "string").alias("q"), get("T", "bigint").alias("T"))
+    return v.select("ord", *keep, get("S", "string").alias("S"), get("p", "string").alias("p"), get("q", "string").alias("q"), get("T", "bigint").alias("T"))
 
 
-def events(orders: DataFrame, bands: X.Bands | None = None) -> DataFrame:
+def events(orders: DataFrame, bands: X.Bands | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Liquidations from text fields: numbers that don't parse are zero; a sold
     order closed a long position, anything else a short one."""
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-    rows = orders.select("ord", F.col("T").alias("timestamp"), F.when(F.col("S") == "SELL", "LONG liq").otherwise("SHORT liq").alias("kind"), number("p").alias("price"), number("q").alias("qty"))
+    rows = orders.select("ord", *keep, F.col("T").alias("timestamp"), F.when(F.col("S") == "SELL", "LONG liq").otherwise("SHORT liq").alias("kind"), number("p").alias("price"), number("q").alias("qty"))
     rows = rows.withColumn("usdt", F.col("price") * F.col("qty"))
     return rows.withColumn("seg", (bands or X.Bands()).of(F.col("usdt")))
 

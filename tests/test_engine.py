@@ -136,3 +136,18 @@ def test_stream_source_plans_ranges_and_waits_without_sleeping(tmp_path):
     assert list(reader.read(ranges[1])) == [(0, "B", "spot", "trade", "b@trade#0"), (1, "B", "spot", "trade", "b@trade#1")]
     with pytest.raises(ValueError):
         exchange.ExchangeReader({"transport": "transport"})
+
+
+def test_books_and_liquidations_from_their_streams(spark, tmp_path):
+    engine, pairs = Engine(spark, str(tmp_path)), [exchange.SourceConfig("a"), exchange.SourceConfig("c")]
+    for symbol, n in (("a", 8), ("c", 3)):
+        (tmp_path / f"{symbol}@depth@100ms").write_text(str(n))
+        (tmp_path / f"{symbol}@forceOrder").write_text(str(n))
+    go = lambda: {(r["symbol"], r["side"], r["price"]): r["qty"] for r in engine.follow_books(pairs, "transport", f"{tmp_path}/books", base=str(tmp_path)).collect()}
+    # The snapshot is of update 44 and has one bid: messages 4 to 7 of A follow it; C has nothing that reaches it.
+    want = {("A", "bid", 1.0): 2.0, **{("A", "bid", 50.0 - i): 1.0 for i in range(4, 8)}, ("A", "ask", 60.0): 7.0, ("C", "bid", 1.0): 2.0}
+    assert go() == want
+    (tmp_path / "a@depth@100ms").write_text("9")
+    assert go() == {**want, ("A", "bid", 42.0): 1.0, ("A", "ask", 60.0): 8.0}
+    kept = engine.follow_liquidations(pairs, "transport", f"{tmp_path}/liqs", base=str(tmp_path))
+    assert {(r["symbol"], r["n"], r["usdt"]) for r in kept.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("usdt").alias("usdt")).collect()} == {("A", 8, 280.0), ("C", 3, 30.0)}

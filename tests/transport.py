@@ -1,5 +1,6 @@
 """A transport without a network: streams of numbered messages, as long as the file at the stream's URL says."""
 
+import json
 from pathlib import Path
 
 
@@ -16,6 +17,12 @@ def fetch(url: str, begin: int, end: int) -> list[str]:
     if (failing := Path(url).parent / "fail_once").exists():
         failing.unlink()
         raise OSError("lost")
+    kind = url.partition("@")[2]
+    if kind == "depth@100ms":
+        # Message 3 of the stream is broken: its predecessor is not the one before.
+        return [json.dumps({"U": 10 * i + 1, "u": 10 * i + 10, "pu": 10 * i - 5 * (i == 3), "b": [[str(50 - i), "1"]], "a": [["60", str(i)]]}) for i in range(begin, end)]
+    if kind == "forceOrder":
+        return [json.dumps({"o": {"S": "SELL" if i % 2 else "BUY", "p": "10", "q": str(i), "T": i}}) for i in range(begin, end)]
     return [f"{Path(url).name}#{i}" for i in range(begin, end)]
 
 
