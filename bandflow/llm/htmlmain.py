@@ -105,7 +105,8 @@ def described(tag: str, attributes: str) -> tuple[tuple[str, ...], str, bool]:
         kind = "main"
     else:
         kind = "plain" if tag in ("div", "section", "ul", "ol", "table", "tbody", "tr", "dl", "td") else "block"
-    out = ((f"tag {tag}", *(f"hint {h}" for h in sorted(hints))), kind, gold)
+    # What an element without a telling name is says less than what it is with one.
+    out = ((f"tag {tag}", *(f"hint {h}" for h in sorted(hints))) if hints else (f"tag {tag}", f"unnamed {tag}"), kind, gold)
     if len(_described) < 20_000 and len(attributes) < 1000:
         _described[key] = out
     return out
@@ -233,6 +234,23 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
+def inside_other(nodes: list[Node], i: int) -> bool:
+    """Whether a block or what it stands in is called something else than content by its name or tag."""
+    while i > 0:
+        if nodes[i].kind == "bad":
+            return True
+        i = nodes[i].parent
+    return False
+
+
+def is_prose(nodes: list[Node], i: int) -> bool:
+    """Whether a block has sentences of its own, few of them linked, outside of all that is called something else."""
+    x = nodes[i]
+    if x.words < 8 or 2 * x.linked > x.words or x.children > 2 or not x.stops and x.words < 20:
+        return False
+    return not inside_other(nodes, i)
+
+
 def level(x: float, *bounds: float) -> int:
     return sum(x >= b for b in bounds)
 
@@ -333,7 +351,12 @@ class TreeModel:
         if len(nodes) == 1:
             return "\n\n".join(text for _, text in runs)
         content = self.marginals(nodes)[0]
-        return "\n\n".join(text for i, text in runs if content[i] >= 0.5)
+        kept = {i for i, _ in runs if content[i] >= 0.5}
+        if not kept and (prose := {i for i, _ in runs if is_prose(nodes, i)}):
+            # No page with prose is empty: then half of the likeliest prose's marginal sets the measure.
+            least = max(content[i] for i in prose) / 2
+            kept = {i for i, _ in runs if content[i] >= least and not inside_other(nodes, i)}
+        return "\n\n".join(text for i, text in runs if i in kept)
 
 
 ZERO = [0.0, 0.0, 0.0, 0.0]
@@ -353,7 +376,7 @@ NEUTRAL = ["box", "col-2", "block", "c1", "row wide", "inner", "panel", "module
 MISLEADING = ["related", "with-sidebar", "widget-area", "post-comments-open", "has-ads", "more", "nav-target", "share-ready", "top-header"]
 
 
-def example_pages(n: int = 700, seed: int = 3) -> list[str]:
+def example_pages(n: int = 1000, seed: int = 3) -> list[str]:
     """Labelled pages of varied layouts; content elements carry data-main="1"."""
     r = random.Random(seed)
     letters = "etaoinshrdlu"
@@ -405,13 +428,36 @@ def example_pages(n: int = 700, seed: int = 3) -> list[str]:
             inner = r.choice([words(1, 30), block("p", False, 1, 30), f"{words(1, 12)} &middot; <a href='/'>{words(1, 3)}</a>", block("h2", False, 1, 6) + words(2, 10)])
         return f"<{tag}{how}>{inner}</{tag}>"
 
+    def prose(low: int, high: int) -> str:
+        """A paragraph, now and then with some links or a button between its words."""
+        kind = r.random()
+        if kind < 0.8:
+            return block("p", True, low, high)
+        if kind < 0.9:
+            return f"<p data-main=1>{words(low, high)}<button>{words(1, 2)}</button> {words(2, 12)}</p>"
+        return "<p data-main=1>" + " ".join(f'{words(4, 9)} <a href="/{i}">{words(1, 4)}</a>' for i in range(r.randint(2, 4))) + f" {words(3, 12)}</p>"
+
+    def wrapped(parts: list[str]) -> str:
+        """Content inside neutral elements, up to three of them."""
+        out = "".join(parts)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            tag = r.choice(["div", "div", "section"])
+            out = f"<{tag}{r.choice(['', '', f' class="{r.choice(NEUTRAL)}"', f' class="{r.choice(MISLEADING)}"'])} data-main=1>{out}</{tag}>"
+        return out
+
     pages = []
     for _ in range(n):
-        body = [block(r.choice(["h1", "h1", "h2"]), True, 1, 14)]
-        for _ in range(r.randint(1, 14)):
+        few = r.random() < 0.4
+        body = [block(r.choice(["h1", "h1", "h2"]), True, 1, 14)] if r.random() < (0.4 if few else 0.8) else [prose(12, 60)]
+        headed = not body[0].startswith("<p")
+        for _ in range(r.randint(headed, 2) if few else r.randint(1, 14)):
             kind = r.random()
-            if kind < 0.74:
-                body.append(block("p", True, 1, r.choice([3, 12, 60, 120])))
+            if few and kind < 0.9:
+                body.append(prose(10, 60))
+            elif kind < 0.7:
+                body.append(prose(1, r.choice([3, 12, 60, 120])))
+            elif kind < 0.74:
+                body.append("<dl data-main=1>" + "".join(block("dt", True, 1, 4) + block("dd", True, 2, 25) for _ in range(r.randint(1, 4))) + "</dl>")
             elif kind < 0.8:
                 body.append(block(r.choice(["h2", "h3"]), True, 1, 8))
             elif kind < 0.86:
@@ -424,11 +470,15 @@ def example_pages(n: int = 700, seed: int = 3) -> list[str]:
                 body.append(block("pre", True, 3, 20))
             else:
                 body.append(boilerplate(r.choice(["ad", "share", "notice", "side"])))
+        if r.random() < 0.4:
+            i, j = sorted((r.randint(0, len(body)), r.randint(0, len(body))))
+            kept, body = body, body[:i] + ([wrapped(body[i:j])] if i < j else []) + body[j:]
+            headed = headed and body[0] == kept[0]
         if r.random() < 0.25:
             body.append(boilerplate("comment"))
-        if r.random() < 0.2:
+        if headed and r.random() < 0.2:
             body[0] = f"<header data-main=1>{body[0]}{r.choice(['', block('p', False, 2, 6), boilerplate('share')])}</header>"
-        elif r.random() < 0.15:
+        elif headed and r.random() < 0.15:
             body.insert(0, f"<header>{body.pop(0)}</header>".replace("<header>", "<div data-main=1>").replace("</header>", "</div>"))
         if r.random() < 0.15:
             body.append(f"<footer>{r.choice([words(2, 8), block('p', False, 2, 12)])}</footer>")
@@ -440,7 +490,9 @@ def example_pages(n: int = 700, seed: int = 3) -> list[str]:
             inner = f"<main data-main=1><article data-main=1>{inner}</article></main>"
         elif wrap < 0.8:
             inner = f'<div class="{r.choice(["content", "post", "entry-content", "story", "main-text"])} {r.choice(["", r.choice(MISLEADING)])}" data-main=1>{inner}</div>'
-        elif wrap < 0.92:
+        elif wrap < 0.84:
+            inner = wrapped([inner])
+        elif wrap < 0.94:
             inner = f'<div{r.choice(["", f' class="{r.choice(NEUTRAL)}"', f' class="article-body {r.choice(MISLEADING)}"', f' class="{r.choice(MISLEADING)}"'])} data-main=1>{inner}</div>'
         before = [boilerplate(k) for k in ("head", "nav", "notice", "ad", "form") if r.random() < 0.55]
         after = [boilerplate(k) for k in ("side", "comment", "ad", "form", "share", "foot", "notice") if r.random() < 0.5]

@@ -372,3 +372,69 @@ def test_html_held_out_on_other_layouts():
             if node.words:
                 seen, right = seen + 1, right + ((p >= 0.5) == node.gold)
     assert right / seen > 0.95
+
+
+P = "The harbour was quiet that morning, and nobody on the quay could say where the two boats had gone during the long night."
+
+
+@pytest.fixture(scope="module")
+def html_model():
+    return htmlmain.learn()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><div><p>P</p></div><footer>c</footer></body>", "P"),
+        ("<body><p>P</p></body>", "P"),
+        ("<div><p>P</p><p>P</p></div>", "P\n\nP"),
+        ("<section><p>P</p><p>P</p></section>", "P\n\nP"),
+        ("<article><div><p>P</p><p>P</p></div></article>", "P\n\nP"),
+        ("<main><div><div><p>P</p></div></div></main>", "P"),
+        ("<main><p>P<button>x</button> tail of it</p></main>", "P\n\ntail of it"),
+        ("<article><h1>On boats</h1><dl><dt>Quay</dt><dd>P</dd><dt>Boat</dt><dd>P</dd></dl></article>", "On boats\n\nQuay\n\nP\n\nBoat\n\nP"),
+        ("<article><p>P</p><pre>x = 1; y = 2</pre><p>P</p></article>", "P\n\nx = 1; y = 2\n\nP"),
+        ("<article><p>P</p><p>It was <a href=/a>told before</a> by those who <a href=/b>had seen it</a>, and by <a href=/c>some others</a>, that no boat came.</p></article>", "P\n\nIt was told before by those who had seen it, and by some others, that no boat came."),
+        ("<body><div class=box><div><section><h2>On boats</h2><p>P</p></section></div></div><aside class=sidebar><p>P</p></aside></body>", "On boats\n\nP"),
+        ("<body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><footer>&copy; x</footer></body>", ""),
+        ("<body><div class=cookie-notice><p>P</p></div><nav><a href=/>Home</a></nav></body>", ""),
+    ],
+)
+def test_html_plain_pages(html_model, page, want):
+    assert html_model.extract(page.replace("P<", f"{P}<")) == want.replace("P", P)
+
+
+def test_html_held_out_on_small_and_nested_pages(html_model):
+    """A third make: one to four blocks in nested neutral elements, with lists of terms, code, buttons and linked prose."""
+    r, right, seen, empty = random.Random(8), 0, 0, 0
+    word = lambda: "".join(r.choices("abdeghiklmnoprstuvz", k=r.randint(1, 9)))
+    say = lambda low, high: " ".join(word() for _ in range(r.randint(low, high))).capitalize() + "."
+    for _ in range(150):
+        blocks = []
+        for _ in range(r.randint(1, 4)):
+            blocks.append(
+                r.choice(
+                    [
+                        f"<p data-main=1>{say(12, 60)}</p>",
+                        f"<p data-main=1>{say(12, 60)}</p>",
+                        f"<p data-main=1>{say(10, 30)} <em>{say(2, 4)}</em><button>{word()}</button> {say(3, 9)}</p>",
+                        f"<p data-main=1>{say(5, 9)} <a href=/x>{word()} {word()}</a> {say(5, 9)} <a href=/y>{word()}</a> {say(4, 8)}</p>",
+                        f"<dl data-main=1><dt data-main=1>{word()}</dt><dd data-main=1>{say(6, 30)}</dd></dl><p data-main=1>{say(12, 40)}</p>",
+                        f"<p data-main=1>{say(12, 40)}</p><pre data-main=1>{word()} = {word()}\n{word()}()</pre>",
+                        f"<h3 data-main=1>{say(2, 6)}</h3><p data-main=1>{say(12, 50)}</p>",
+                    ]
+                )
+            )
+        inner = "".join(blocks)
+        for _ in range(r.randint(0, 3)):
+            tag = r.choice(["div", "section", "div", "article", "main"])
+            inner = f"<{tag}{r.choice(['', f' class={word()}', f' id={word()}'])} data-main=1>{inner}</{tag}>"
+        menu = f"<ul class={word()}>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(5)) + "</ul>"
+        low = f"<footer><p>{say(2, 6)}</p><p><a href=/>{word()}</a> | <a href=/>{word()}</a></p></footer>"
+        page = f"<html><body>{r.choice(['', menu, f'<header>{word()}</header>{menu}'])}{inner}{r.choice(['', low])}</body></html>"
+        empty += not html_model.extract(page)
+        nodes, _ = htmlmain.parsed(page)
+        for node, p in zip(nodes, html_model.marginals(nodes)[0], strict=True):
+            if node.words:
+                seen, right = seen + 1, right + ((p >= 0.5) == node.gold)
+    assert right / seen > 0.95 and empty == 0
