@@ -5,7 +5,9 @@ decoder (percent escapes, Unicode escapes, base64, compressed bytes) turns a
 layer into further ones, which are scanned and decoded in turn until nothing
 new appears. A layer that was seen before is not taken up again, so cycles
 end. Every layer knows which span of the original text each of its characters
-came from, and findings are reported there.
+came from, and findings are reported there. Decoded bytes that are neither
+UTF-8 nor compressed are scanned byte by byte and, where every second one is
+zero, as UTF-16.
 
 Spans are those of whole matches, in code points, end exclusive. Defined
 results: null or empty text has no findings; a text without any escape costs
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -60,6 +62,10 @@ STEP = 1 << 20
 #: What no finding and no encoded run goes across: a character outside of tokens.
 BETWEEN = re.compile(r"[^A-Za-z0-9+/_=%\\\x20\r\n.:\"'-]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])")
 
+#: Two bytes a character, and the least runs that a finding or an encoded run makes in bytes.
+WIDE = "utf-16-le"
+NARROW_RUN, WIDE_RUN = re.compile(rb"[\x20-\x7e]{10}"), re.compile(rb"(?:[\x20-\x7e]\x00){10}")
+
 Span = tuple[int, int]
 
 
@@ -97,15 +103,15 @@ class Layer:
         return cls(text, [0], [span], [False])
 
     @classmethod
-    def grouped(cls, text: str, groups: list[Span]) -> Layer:
-        """Text whose UTF-8 bytes came in threes from `groups`."""
-        if text.isascii():
+    def grouped(cls, text: str, groups: list[Span], encoding: str = "utf-8", skipped: int = 0) -> Layer:
+        """Text whose bytes in `encoding`, after `skipped` ones, came in threes from `groups`."""
+        if text.isascii() and encoding != WIDE:
             starts = list(range(0, len(text), 3))
             return cls(text, starts, groups[: len(starts)], [False] * len(starts))
-        at, origins = 0, []
+        at, origins, last = skipped, [], len(groups) - 1
         for c in text:
-            end = at + len(c.encode("utf-8"))
-            origins.append((groups[at // 3][0], groups[(end - 1) // 3][1]))
+            end = at + len(c.encode(encoding))
+            origins.append((groups[min(at // 3, last)][0], groups[min((end - 1) // 3, last)][1]))
             at = end
         return cls(text, list(range(len(text))), origins, [False] * len(text))
 
@@ -157,6 +163,18 @@ def readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def loose_texts(data: bytes) -> list[tuple[str, str, int]]:
+    """(text, encoding, bytes left out before it) of bytes that are no plain UTF-8 text but hold a run that could be a finding:
+    each byte as a character, and every second zero taken away."""
+    out = []
+    if NARROW_RUN.search(data):
+        out.append((data.decode("latin-1"), "latin-1", 0))
+    if m := WIDE_RUN.search(data):
+        # From here on pairs begin with the letter, whichever byte order it is.
+        out.append((data[m.start() % 2 :].decode(WIDE, "replace"), WIDE, m.start() % 2))
+    return out
+
+
 def percent_pieces(text: str) -> list[tuple[int, int, str]]:
     """One piece for each character that percent escapes spell; bytes that are no UTF-8 stay escaped."""
     out = []
@@ -292,44 +310,46 @@ def scan_stream(parts: Iterator[bytes], span: Span, found: set[tuple[int, int, s
     """Scans inflated `parts` without holding them; whether all was seen."""
     head = next(parts, b"")
     if readable(head[: STEP // 2].decode("utf-8", "ignore").encode()) is None or any(head.startswith(m) for m, _ in MAGIC if m != b"x"):
-        inner = Inflated(chain([head], parts))
+        taken: list[bytes] = [head]
+
+        def rest() -> Iterator[bytes]:
+            for part in parts:
+                if taken:
+                    taken.append(part)
+                yield part
+
+        inner = Inflated(chain([head], rest()))
         first = next(pieces := iter(inner), None)
-        if first is None:
-            deque(parts, 0)  # neither text nor compressed
-            return True
-        return scan_stream(chain([first], pieces), span, found) and inner.whole
-    decoder, inside, held, size, odd, whole = codecs.getincrementaldecoder("utf-8")(), set(), "", 0, 0, True
+        if first is not None:
+            taken.clear()
+            return scan_stream(chain([first], pieces), span, found) and inner.whole
+        head, parts = b"".join(taken), parts
+    # What is no text is scanned as if it were: the characters of findings are the same bytes in UTF-8 and in the older codes.
+    wide = WIDE_RUN.search(head)
+    decoder, held, whole = codecs.getincrementaldecoder(WIDE if wide else "utf-8")("replace"), "", True
+    head = head[wide.start() % 2 :] if wide else head
 
     def look(text: str) -> None:
         nonlocal whole
-        whole &= explore(Layer.inside(text, span), inside)
+        whole &= explore(Layer.inside(text, span), found)
 
-    try:
-        for part in chain([head], parts, [b""]):
-            text = decoder.decode(part, final=not part)
-            size += len(text)
-            odd += sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
-            held += text
-            if len(held) < 8 * STEP and part:
-                continue
-            tail = held[-STEP:]
-            cut = max((m.end() for m in BETWEEN.finditer(tail)), default=0)
-            cut = cut or max((m.end() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])\r?\n", tail)), default=0)
-            if cut and part:
-                at = len(held) - len(tail) + cut
-                look(held[:at])
-                held = held[at:]
-            elif part and len(held) > MAX_EXPANDED:
-                look(held)
-                held, whole = held[-4096:], False
-    except UnicodeDecodeError:
-        return True  # not text: as with a small layer
+    for part in chain([head], parts, [b""]):
+        held += decoder.decode(part, final=not part)
+        if len(held) < 8 * STEP and part:
+            continue
+        tail = held[-STEP:]
+        cut = max((m.end() for m in BETWEEN.finditer(tail)), default=0)
+        cut = cut or max((m.end() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])\r?\n", tail)), default=0)
+        if cut and part:
+            at = len(held) - len(tail) + cut
+            look(held[:at])
+            held = held[at:]
+        elif part and len(held) > MAX_EXPANDED:
+            look(held)
+            held, whole = held[-4096:], False
     if held:
         look(held)
-    if odd * 20 <= size:
-        found |= inside
-        return whole
-    return True
+    return whole
 
 
 def settled(tried: list[tuple[int, int, bool | None]]) -> bool:
@@ -352,7 +372,7 @@ def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
             work.append(layer)
 
     def opened(data: bytes, span: Span, groups: Callable[[], list[Span]] | None = None) -> bool | None:
-        """Whether all of `data` was seen; None if it is neither text nor compressed. `groups` are the places of its threes of bytes."""
+        """Whether all of `data` was seen; None if it is not compressed and holds no run that could be a finding. `groups` are the places of its threes of bytes."""
         known, whole = None, True
         while True:
             plain = readable(data)
@@ -367,7 +387,10 @@ def explore(first: Layer, found: set[tuple[int, int, str]]) -> bool:
                 if size > MAX_EXPANDED:
                     return scan_stream(chain(held, pieces), span, found) and stream.whole and whole
             if not held:
-                return known
+                loose = loose_texts(data)
+                for text, encoding, skipped in loose:
+                    push(Layer.inside(text, span) if groups is None or known is not None else Layer.grouped(text, groups(), encoding, skipped))
+                return whole if loose else known
             whole &= stream.whole
             data, known = b"".join(held), whole
 
@@ -419,8 +442,9 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
             wholes.append(complete)
         return pd.DataFrame({"found": found, "complete": wholes})
 
-    rows = docs.withColumn("_scanned", spans(F.col(text)))
-    return rows.withColumn(out, F.col("_scanned.found")).withColumn(f"{out}_complete", F.col("_scanned.complete")).drop("_scanned")
+    scanned = fresh(docs, "_scanned")
+    rows = docs.withColumn(scanned, spans(F.col(text)))
+    return rows.withColumn(out, F.col(f"{scanned}.found")).withColumn(f"{out}_complete", F.col(f"{scanned}.complete")).drop(scanned)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -438,3 +438,33 @@ def test_html_held_out_on_small_and_nested_pages(html_model):
             if node.words:
                 seen, right = seen + 1, right + ((p >= 0.5) == node.gold)
     assert right / seen > 0.95 and empty == 0
+
+
+LATER = "password = Zq8Kp4Lw9Xv2Mn7R"
+
+
+@pytest.mark.parametrize("raw", [b"\xff " + LATER.encode(), f"né {LATER}".encode("latin-1"), LATER.encode("utf-16"), LATER.encode("utf-16-be"), b"\x01\x02\x03" * 9 + LATER.encode(), b"odd" + LATER.encode("utf-16-le")])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, lambda x: zlib.compress(base64.b64encode(x))])
+def test_secrets_in_bytes_that_are_no_utf8(raw, pack):
+    blob = base64.b64encode(pack(raw)).decode()
+    base, every, complete = secrets.scan(f"see {blob} there")
+    assert not base and complete and [k for _, _, k in every if k == "assign"] == ["assign"]
+    start, end, _ = next(x for x in every if x[2] == "assign")
+    assert 4 <= start < end <= 4 + len(blob)
+    if pack(b"x") == b"x":  # by groups: four characters for three bytes
+        at = raw.find(b"p\0a") if b"p\0a" in raw else raw.find(b"\0p") if b"\0p" in raw else raw.find(b"password")
+        assert start == 4 + at // 3 * 4
+
+
+def test_secrets_in_a_large_stream_of_other_bytes(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_EXPANDED", 3 << 20)
+    for filler, encoding in ((b"\xfe\x01 filler, ", "latin-1"), ("some words, ".encode("utf-16-le"), "utf-16-le")):
+        raw = filler * 500_000 + LATER.encode(encoding) + filler * 1000
+        every, complete = secrets.scan(base64.b64encode(gzip.compress(raw)).decode())[1:]
+        assert complete and any(k == "assign" for _, _, k in every)
+
+
+def test_secrets_keep_a_column_named_like_the_scan(spark):
+    rows = spark.createDataFrame([(1, "password=abcdefabcdef12", "mine")], "doc_id long, text string, _scanned string")
+    got = secrets.find_secrets(rows).first()
+    assert got["_scanned"] == "mine" and got["secrets"][0]["kind"] == "assign"
