@@ -298,15 +298,21 @@ def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("store_analysed", f"WITH {TRADES} SELECT seg, count(*) AS trades, sum(volume_usdt) AS vol FROM trades WHERE market = 'futures' AND seg >= 10 GROUP BY seg")
 def store_analysed(spark: SparkSession, d: str) -> DataFrame:
-    """Trades written to a store, found by the engine's catalog, read back by day and filtered by band."""
+    """Trades of two symbols written to a store, a part of one as an older single file without bands; found by the
+    engine's catalog, read back and filtered by band."""
     from bandflow.api import Engine
 
     base = new_path(spark, "store")
-    T.write_trades(T.event_trades(spark, d).withColumn("symbol", F.lit("SOLUSDT")), base)
+    t = T.event_trades(spark, d).withColumn("symbol", F.when(F.col("user_id") % 3 == 0, "SOLUSDT").otherwise("BTCUSDT"))
+    older = (F.col("symbol") == "BTCUSDT") & (F.col("market") == "futures") & (F.col("ord") % 10 == 0)
+    T.write_trades(t.where(~older), base)
+    columns = [x.split()[0] for x in T.TRADE_SCHEMA.split(", ") if not x.startswith("seg ")]
+    t.where(older).select(*columns).write.parquet(f"{base}/BTCUSDT/futures/2023-12-31_20-00.parquet")
     engine = Engine(spark, base)
-    (pair,) = engine.list_symbols()
-    days = [r["name"] for r in engine.list_files(pair, "futures").collect()]
-    found = engine.trades(pair, "futures", f"{days[0]}..{days[-1]}").where("seg >= 10")
+    found = None
+    for pair in engine.list_symbols():
+        one = engine.trades(pair, "futures").where("seg >= 10").select("seg", "volume_usdt")
+        found = one if found is None else found.unionAll(one)
     return found.groupBy("seg").agg(F.count("*").alias("trades"), F.sum("volume_usdt").alias("vol"))
 
 

@@ -11,7 +11,7 @@ from bandflow.functions import expressions as X
 from bandflow.operators import liquidations
 from bandflow.plans import catalog
 from bandflow.sources import trades as T
-from bandflow.sources.shared import new_path
+from bandflow.sources.shared import delete, new_path
 from bandflow.streaming import books, buffers, dump, pipelines, windows
 
 QUERIES: dict = {}
@@ -40,6 +40,7 @@ def _in_turns(spark: SparkSession, rows: DataFrame, label: str, run: Callable[[D
     for begin, end in zip(bounds, bounds[1:], strict=False):
         rows.where((F.col(order) >= begin) & (F.col(order) < end)).write.mode("append").parquet(path)
         run(spark.readStream.schema(rows.schema).parquet(path))
+    delete(spark, path)
 
 
 def _window_states(spark: SparkSession, d: str) -> DataFrame:
