@@ -306,7 +306,7 @@ def store_analysed(spark: SparkSession, d: str) -> DataFrame:
     t = T.event_trades(spark, d).withColumn("symbol", F.when(F.col("user_id") % 3 == 0, "SOLUSDT").otherwise("BTCUSDT"))
     older = (F.col("symbol") == "BTCUSDT") & (F.col("market") == "futures") & (F.col("ord") % 10 == 0)
     T.write_trades(t.where(~older), base)
-    columns = [x.split()[0] for x in T.TRADE_SCHEMA.split(", ") if not x.startswith("seg ")]
+    columns = [F.col(n).cast(k).alias(n) for n, k in (x.split() for x in T.TRADE_SCHEMA.split(", ")) if n != "seg"]
     t.where(older).select(*columns).write.parquet(f"{base}/BTCUSDT/futures/2023-12-31_20-00.parquet")
     engine = Engine(spark, base)
     found = None
