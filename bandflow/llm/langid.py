@@ -35,7 +35,7 @@ WINDOW, BATCH = 128, 2048
 @dataclass(frozen=True)
 class Training:
     docs_per_lang: int = 400
-    langs: int = 64  #: languages learnt at most, the most frequent ones
+    langs: int | None = None  #: languages learnt at most, the most frequent ones; by default all
     windows: int = 4
     length: int = 64
     hidden: int = 12
@@ -209,15 +209,20 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, how: Training) -> list[tuple[str, list[bytes]]]:
-    """(lang, windows) of at most `docs_per_lang` labelled documents of each language."""
+    """(lang, windows) of at most `docs_per_lang` labelled documents of each language.
+
+    About twice as many are drawn by a hash of id and text and reach the
+    driver; equal rows have one draw and are one document of the sample.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.langs).collect()}
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    sizes = {r["lang"]: r["count"] for r in (frequent if how.langs is None else frequent.limit(how.langs)).collect()}
     if not sizes:
         return []
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(how.seed)), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(how.seed)), 11) / F.lit(float(1 << 53))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * how.docs_per_lang / n))])
     at = [F.substring("text", (F.length("text") * F.lit(i / how.windows)).cast("int") + 1, how.length) for i in range(how.windows)]
-    got = rows.withColumn("u", draw).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "u", F.array(*at).alias("w")).collect()
+    got = rows.withColumn("u", draw).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "u", F.array(*at).alias("w")).groupBy("lang", "u").agg(F.first("w").alias("w")).collect()
     out, taken = [], dict.fromkeys(sizes, 0)
     for r in sorted(got, key=lambda r: (r["u"], r["w"])):
         if taken[r["lang"]] < how.docs_per_lang:

@@ -35,14 +35,16 @@ not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, salted_join, stored, table, workspace
+from .common import components, salted_join, stored, table, trimmed, workspace
 
 #: Chance of missing a pair at the threshold.
 MISS = 1e-6
@@ -50,6 +52,8 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Vectors of a chunk, on average.
 CHUNK = 256
+#: Vectors up to which all groups of a batch are sieved together.
+SMALL_GROUP = 64
 #: Least bits of a code, which set the error of estimates.
 LEAST_BITS = 256
 SEED = 29
@@ -86,14 +90,19 @@ def in_bytes(rows: np.ndarray) -> np.ndarray:
     return np.rint(unit(rows) * 127).astype(np.int8)
 
 
+def decoding(signs: np.ndarray, factor: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What codes stand for, corrected, and by how much an estimate with each may be too low."""
+    length = signs.shape[1]
+    decoded = np.where(signs, 1.0, -1.0) @ frame(length, size) / math.sqrt(length) / factor[:, None]
+    error = ERRORS * np.sqrt((1 - factor**2) / factor**2 / max(1, length - 1))
+    return decoded, error + np.linalg.norm(decoded, axis=1) * math.sqrt(size) / 254
+
+
 def upper_bounds(small: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of the cosines of vectors `in_bytes` with coded ones, and upper bounds of them."""
-    length, size = signs.shape[1], small.shape[1]
-    decoded = np.where(signs, 1.0, -1.0) @ frame(length, size) / math.sqrt(length) / factor[:, None]
+    decoded, slack = decoding(signs, factor, small.shape[1])
     estimate = (small / 127.0) @ decoded.T
-    error = ERRORS * np.sqrt((1 - factor**2) / factor**2 / max(1, length - 1))
-    rounding = np.linalg.norm(decoded, axis=1) * math.sqrt(size) / 254
-    return estimate, estimate + error + rounding
+    return estimate, estimate + slack
 
 
 def valid_vectors(table_: DataFrame) -> DataFrame:
@@ -155,6 +164,36 @@ def band_keys(marks: DataFrame, bits: int, bands: int) -> DataFrame:
     return rows.select(F.xxhash64("label", "size", "band", "value").alias("key"), "band", "uid")
 
 
+def by_group(rows: DataFrame, names: tuple[str, ...], work: Callable[[pa.Table], pa.Table], schema: str, sieve: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """`work` on each group of rows with equal `names` (numbers), many groups in a call.
+
+    Groups come sorted, so that a task holds a batch and the group that goes on
+    in the next one. `sieve` tells, for all groups of a batch at once, which
+    need work at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
+            if not parts or not sum(p.num_rows for p in parts):
+                continue
+            t = pa.concat_tables(parts).combine_chunks()
+            keys = np.stack([t[c].to_numpy() for c in names])
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0).any(axis=0)]))
+            ends = np.append(starts[1:], t.num_rows)
+            held = None
+            if batch is not None:
+                held, starts, ends = t.slice(starts[-1]), starts[:-1], ends[:-1]
+            if sieve and len(starts):
+                keep = sieve(t, starts, ends)
+                starts, ends = starts[keep], ends[keep]
+            for begin, end in zip(starts, ends, strict=True):
+                yield from work(t.slice(begin, end - begin)).to_batches()
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(trimmed(run), schema)
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Those of `pairs` that join what wasn't joined before."""
     parent: dict[int, int] = {}
@@ -183,6 +222,44 @@ def still_open(marks: DataFrame, threshold: float, bits: int, bands: int, folder
     members = members.select("key", "band", "uid", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     rows = members.join(marks.select("uid", "code", "factor", "small"), "uid")
 
+    def sieve(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Groups with a pair that bounds leave open, and all that are not small."""
+        sizes = ends - starts
+        keep = sizes > SMALL_GROUP
+        own, x, y, band = (t[c].to_numpy() for c in ("own", "x", "y", "band"))
+        widths = np.stack([pc.binary_length(t[c]).to_numpy() for c in ("code", "small")])
+        small_ones = np.flatnonzero((sizes > 1) & ~keep)
+        for width in np.unique(widths[:, starts[small_ones]], axis=1).T:
+            groups = small_ones[(widths[:, starts[small_ones]] == width[:, None]).all(axis=0)]
+            # Rows of these groups, and all their pairs by group size.
+            at = np.concatenate([np.arange(starts[g], ends[g]) for g in groups])
+            first = np.concatenate([[0], np.cumsum(sizes[groups])])[:-1]
+            i, j, of = [], [], []
+            for n in np.unique(sizes[groups]):
+                same = np.flatnonzero(sizes[groups] == n)
+                a, b = np.triu_indices(n, 1)
+                i.append((first[same][:, None] + a).ravel())
+                j.append((first[same][:, None] + b).ravel())
+                of.append(np.repeat(groups[same], len(a)))
+            i, j, of = (np.concatenate(z) for z in (i, j, of))
+            # Of two chunks only pairs across are compared.
+            across = (x[at[i]] == y[at[i]]) | (own[at[i]] != own[at[j]])
+            i, j, of = i[across], j[across], of[across]
+            rows_at = pa.array(at)
+            signs, factor = signs_of(t["code"].take(rows_at).to_pylist()), t["factor"].to_numpy()[at]
+            small = np.frombuffer(b"".join(t["small"].take(rows_at).to_pylist()), np.int8).reshape(len(at), -1) / 127.0
+            values = band_values(signs, bits, bands)
+            decoded, slack = decoding(signs, factor, small.shape[1])
+            for part in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
+                p, q = i[part], j[part]
+                earlier = np.arange(bands) < band[at[p]][:, None]
+                fresh = ~((values[p] == values[q]) & earlier).any(axis=1)
+                part, p, q = part[fresh], p[fresh], q[fresh]
+                maybe = np.einsum("ij,ij->i", small[p], decoded[q]) + slack[q] >= threshold
+                maybe[maybe] = np.einsum("ij,ij->i", small[q[maybe]], decoded[p[maybe]]) + slack[p[maybe]] >= threshold
+                keep[of[part[maybe]]] = True
+        return keep
+
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("uid")
         x, y, band = (group[c][0].as_py() for c in ("x", "y", "band"))
@@ -204,7 +281,7 @@ def still_open(marks: DataFrame, threshold: float, bits: int, bands: int, folder
         n = len(uid)
         return pa.table({"key": pa.array([group["key"][0].as_py()] * n, pa.int64()), "x": pa.array(np.full(n, x, np.int32)), "y": pa.array(np.full(n, y, np.int32)), "uid": uid, "right": right, "mask": pa.array(masks + [None] * int(columns.sum()), pa.binary())})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "key long, x int, y int, uid long, right boolean, mask binary")
+    return by_group(rows, ("key", "x", "y"), compare, "key long, x int, y int, uid long, right boolean, mask binary", sieve)
 
 
 def links(vectors: DataFrame, threshold: float, folder: str) -> DataFrame:
@@ -230,7 +307,7 @@ def links(vectors: DataFrame, threshold: float, folder: str) -> DataFrame:
         uid = np.concatenate((ids[some], spanning[:, 0])).astype(np.int64)
         return pa.table({"uid": uid, "n": pa.array([*n[some].astype(np.int64).tolist(), *[None] * len(spanning)], pa.int64()), "to": pa.array([*[None] * len(some), *spanning[:, 1].tolist()], pa.int64())})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(exact, "uid long, n long, to long")
+    return by_group(rows, ("key", "x", "y"), exact, "uid long, n long, to long")
 
 
 def near_duplicates(table_: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -241,8 +318,11 @@ def near_duplicates(table_: DataFrame, threshold: float = 0.98) -> DataFrame:
         found = stored(links(vectors, threshold, folder), "links")
     degree = found.where("n is not null").groupBy("uid").agg(F.sum("n").alias("others"))
     labels = components(found.where("to is not null").select(F.col("uid").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("uid"), "component_id")
-    known = vectors.join(degree, "uid", "left").join(labels, "uid", "left").select("label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "uid").alias("component_id"))
-    of_valid = valid.select("vec_id", "label", "h1", "h2").join(known, ["label", "h1", "h2"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    # A vector that very many rows share is dealt over several tasks.
+    named = F.concat_ws(":", "h1", "h2", "label").alias("vector")
+    known = vectors.join(degree, "uid", "left").join(labels, "uid", "left").select(named, F.col("copies").alias("count"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "uid").alias("component_id"))
+    known = stored(known, "known")
+    of_valid = salted_join(valid.select("vec_id", named), known.drop("count"), "vector", "vec_id", known.select("vector", "count")).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = table_.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_valid, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

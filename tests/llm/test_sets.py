@@ -113,6 +113,16 @@ def test_embedding_bounds_hold():
     assert (exact <= np.diag(neardup.upper_bounds(neardup.in_bytes(near).astype(float), signs, factor)[1])).all()
 
 
+def test_language_sample_of_equal_ids_and_rows(spark):
+    """Rows that share an id, or none, are drawn apart; a document that repeats is one of the sample."""
+    rows = [(None, f"some words of text number {i} and a few more of them", "en") for i in range(900)] + [(7, "the same text again and again", "fr")] * 700 + [(i, "rare", f"l{i}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.sample(d, langid.Training(docs_per_lang=50))
+    n = {lang: sum(x == lang for x, _ in got) for lang in {x for x, _ in got}}
+    assert n["en"] == 50 and n.get("fr", 0) <= 1 and len(n) > 50
+    assert len({x for x, _ in langid.sample(d, langid.Training(docs_per_lang=50, langs=2))}) <= 2
+
+
 def test_language_gradients():
     net = langid.Recogniser(["a", "b"], 4, 0)
     ids, target = np.random.default_rng(0).integers(0, 256, (6, 3)).astype(np.uint8), np.array([0, 1, 0])
@@ -160,7 +170,7 @@ def test_mixing_sample_meets_marginals(spark):
     assert w.sum() == pytest.approx(0.45 * out["n_tokens"].sum(), rel=0.01)
     assert out["n_tokens"][out["drawn"]].sum() == pytest.approx(w.sum(), rel=0.1)
     assert np.allclose(out["weight"] * 0.45, out["probability"]) and mixing.mix(d.limit(0)).count() == 0
-    with pytest.warns(UserWarning, match="missed"):
+    with pytest.warns(UserWarning, match="missed.*source=a reaches"):
         mixing.mix(d.withColumn("lang", F.col("source")), mixing.Targets(shares={"source": {"a": 0.9, "b": 0.1}, "lang": {"a": 0.1, "b": 0.9}}, budget=0.2))
 
 
@@ -175,6 +185,29 @@ def test_mixing_tables_meet_targets(spark):
         assert np.abs(w.groupby(of).sum().to_numpy() - want).max() < 0.01 * want.sum()
 
 
+def test_topics_are_found_in_every_language(spark):
+    """Three subjects in two languages that share no word: a topic is a subject, in each language."""
+    r = random.Random(4)
+    subject = {(lang, k): [f"{lang}{k}{c}" for c in "abcdefghij"] for lang in ("x", "y") for k in range(3)}
+    rows = []
+    for i in range(240):
+        lang, k = "xy"[i % 2], i % 3
+        rows.append((i, " ".join(r.choices(subject[lang, k], k=30) + r.choices([f"{lang}common{j}" for j in range(20)], k=30)), lang, "s"))
+    rows += [(240, "  ", "x", "s"), (241, None, None, "s"), (242, "words of no known language", None, "s"), (243, " ".join(["x0a x0b x0c"] * 20_000), "x", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    how = mixing.Topics(k=6, sample=150)
+    got = {x["doc_id"]: x for x in mixing.mix(d, topics=how).collect()}
+    again = {x["doc_id"]: x["topic"] for x in mixing.mix(d.repartition(5), topics=how).collect()}
+    assert {i: x["topic"] for i, x in got.items()} == again
+    of = {}
+    for i in range(240):
+        of.setdefault((i % 2, i % 3), []).append(got[i]["topic"])
+    main = {key: max(set(v), key=v.count) for key, v in of.items()}
+    assert all(v.count(main[key]) >= 0.95 * len(v) for key, v in of.items())
+    assert len({main[0, k] for k in range(3)}) == len({main[1, k] for k in range(3)}) == 3
+    assert got[240]["topic"] == got[241]["topic"] == "(empty)" and got[240]["n_tokens"] == 0 and got[0]["n_tokens"] == 60 and got[243]["topic"] == main[0, 0]
+
+
 def test_mixing_large_equals_small(spark):
     how = mixing.Targets(rounds=4, tolerance=0.0)
     a = mixing.mix(corpus(spark, 60), how).orderBy("doc_id").toPandas()
