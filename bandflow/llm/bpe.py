@@ -203,6 +203,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text = b"".join([x[2] for x in got]).decode("utf-8", errors="replace")
                 of_text.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.young, c.old = {}, {}  # the worker may go on with other work
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
