@@ -80,7 +80,14 @@ query("lab_week_segments", f"WITH {TRADES} SELECT year(make_timestamp(timestamp
 _LEVELS = f"count(*) AS trades, {R('sum(volume_usdt)', 2)} AS vol_total, {R(f'sum({BUY})', 2)} AS vol_buy, {R(f'sum({SELL})', 2)} AS vol_sell, {R(f'sum({BUY}) / sum(volume_usdt) * 100.0', 1)} AS buy_pct"
 query("lab_daily_levels", f"WITH {TRADES} SELECT *, {ROLE} AS rol FROM (SELECT {DATE} AS fecha, {LEVEL} AS precio_nivel, {_LEVELS}, arg_min(seg, ord) AS seg_dom FROM trades GROUP BY 1, 2)")(on_events(lab.daily_levels))
 query("lab_segment_levels", f"WITH {TRADES} SELECT *, {ROLE} AS rol FROM (SELECT seg, {LEVEL} AS precio_nivel, {_LEVELS}, {R(f'sum({SELL}) / sum(volume_usdt) * 100.0', 1)} AS sell_pct FROM trades GROUP BY 1, 2)")(on_events(lab.segment_levels))
-query("lab_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{a.id}', '{a.about}')" for a in lab.ANALYSES.values()) + ") AS t(id, about)")(lambda spark, d: spark.createDataFrame([(a.id, a.about) for a in lab.ANALYSES.values()], "id string, about string"))
+
+
+@query("lab_registry", "SELECT t.*, (SELECT count(*) FROM events) AS trades FROM (VALUES " + ", ".join(f"('{a.id}', '{a.about}')" for a in lab.ANALYSES.values()) + ") AS t(id, about)")
+def lab_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The named analyses with the number of trades that each would read."""
+    known = spark.createDataFrame([(a.id, a.about) for a in lab.ANALYSES.values()], "id string, about string")
+    return known.crossJoin(F.broadcast(T.event_trades(spark, d).agg(F.count("*").alias("trades"))))  # one row
+
 
 # --- bands -----------------------------------------------------------------------
 query("seg_classify", f"WITH {TRADES} SELECT ord, volume_usdt, seg FROM trades")(on_events(lambda t: t.select("ord", "volume_usdt", "seg")))
