@@ -8,6 +8,8 @@ is still open and belongs to no window. Windows count packets, not clock time;
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def rolling(p: DataFrame, sizes: Sequence[int] = WINDOW_PACKETS, key: str = "mar
     """
     order = Window.partitionBy(key).orderBy("packet")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    volumes = MEASURES[:-1]
+    sides = ("vol_buy", "vol_sell")  # packets hold no other trades, so that the total is their sum
 
     def sums(m: str) -> list:
         infinite = F.col(m) == float("inf")
@@ -75,13 +77,17 @@ def rolling(p: DataFrame, sizes: Sequence[int] = WINDOW_PACKETS, key: str = "mar
         rest = F.when(infinite, 0.0).otherwise(F.col(m) - exact.cast("double"))
         return [F.sum(exact).over(so_far).alias(m), F.sum(rest).over(so_far).alias(f"{m}_rest"), F.sum(infinite.cast("long")).over(so_far).alias(f"{m}_infinite")]
 
-    whole = p.where("seg is null").select(key, "packet", *(c for m in volumes for c in sums(m)), F.sum("trades").over(so_far).alias("trades"), F.count("*").over(so_far).alias("_n"))
+    whole = p.where("seg is null").select(key, "packet", *(c for m in sides for c in sums(m)), F.sum("trades").over(so_far).alias("trades"), F.count("*").over(so_far).alias("_n"))
     whole = whole.withColumn("_now", F.struct(*(c for c in whole.columns if c not in (key, "packet")))).select(key, "packet", "_now", *(F.lag("_now", n).over(order).alias(f"_{n}") for n in sizes))
     states = F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"_{n}").alias("then")) for n in sizes))
     out = whole.select(key, "packet", "_now", F.inline(states))
     inside = lambda m: F.col(f"_now.{m}") - F.coalesce(F.col(f"then.{m}"), F.lit(0))
-    volume = lambda m: F.when(inside(f"{m}_infinite") > 0, float("inf")).otherwise(inside(m).cast("double") + inside(f"{m}_rest"))
-    out = out.select(key, "packet", "window", *(volume(m).alias(m) for m in volumes), inside("trades").cast("long").alias("trades"), (inside("_n") / F.col("window") * 100.0).alias("fill_pct"))
+
+    def volume(*of: str):
+        total = lambda suffix: reduce(add, (inside(f"{m}{suffix}") for m in of))
+        return F.when(total("_infinite") > 0, float("inf")).otherwise(total("").cast("double") + total("_rest"))
+
+    out = out.select(key, "packet", "window", volume(*sides).alias("vol_total"), *(volume(m).alias(m) for m in sides), inside("trades").cast("long").alias("trades"), (inside("_n") / F.col("window") * 100.0).alias("fill_pct"))
     return out.withColumns({"buy_pct": percent(F.col("vol_buy"), F.col("vol_total")), "sell_pct": percent(F.col("vol_sell"), F.col("vol_total"))})
 
 
