@@ -141,6 +141,12 @@ def depth_snapshots(requests: DataFrame) -> DataFrame:
     return requests.select("symbol", F.lit(-1).cast("long").alias("ord"), F.lit(True).alias("snapshot"), F.lit(0).cast("long").alias("u_first"), last.cast("long").alias("u"), F.lit(0).cast("long").alias("pu"), one(100.25, F.col("u") % 7 + 1).alias("b"), one(200.75, F.col("u") % 5 + 1).alias("a"))
 
 
+def depth_snapshot(symbol: str, u: int) -> tuple[int, list[tuple[float, float]], list[tuple[float, float]]]:
+    """`depth_snapshots` of one request: last update, bids and asks."""
+    last = ((u - 3) // 3 + AHEAD) * 3 + 2 if u > 0 else 2
+    return last, [(100.25, float(u % 7 + 1))], [(200.75, float(u % 5 + 1))]
+
+
 def liquidation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced orders made from `events` errors, as raw text fields."""
     t = dense_trades(spark, sf_dir).where("event_type = 'error'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +33,28 @@ def _kept(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _in_turns(spark: SparkSession, rows: DataFrame, label: str, run: Callable[[DataFrame], None], turns: int = 3, order: str = "ord") -> None:
-    """Lands `rows` in `turns` parts of their order, and lets `run` read each part from where it stopped before."""
+#: Rows of a trigger, which is what a task may have to sort and hold of one key.
+TRIGGER_ROWS = 600_000
+
+
+def _in_turns(spark: SparkSession, rows: DataFrame, label: str, run: Callable[[DataFrame], None], turns: int = 3, order: str = "ord", trigger_rows: int | None = TRIGGER_ROWS) -> None:
+    """Lands `rows` in `turns` parts of their order, and lets `run` read each part from where it stopped before.
+
+    A part lands in slices of about `trigger_rows` rows (None: in one), one
+    file and one trigger each, in order: files are taken by the time of their
+    writing. So memory doesn't grow with the table, only the number of triggers.
+    """
     path = new_path(spark, label)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    bounds = [low + (high + 1 - low) * i // turns for i in range(turns + 1)] if low is not None else [0, 0]
-    for begin, end in zip(bounds, bounds[1:], strict=False):
-        rows.where((F.col(order) >= begin) & (F.col(order) < end)).write.mode("append").parquet(path)
-        run(spark.readStream.schema(rows.schema).parquet(path))
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    slices = max(1, math.ceil(n / turns / trigger_rows)) if trigger_rows else 1
+    parts = turns * slices
+    bounds = [low + (high + 1 - low) * i // parts for i in range(parts + 1)] if low is not None else [0] * (slices + 1)
+    for i, (begin, end) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
+        part = rows.where((F.col(order) >= begin) & (F.col(order) < end))
+        (part if slices == 1 else part.repartition(1)).write.mode("append").parquet(path)
+        if i % slices == 0:
+            stream = spark.readStream.schema(rows.schema)
+            run((stream if slices == 1 else stream.option("maxFilesPerTrigger", 1)).parquet(path))
     delete(spark, path)
 
 
@@ -115,7 +130,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
     out, checkpoint = new_path(spark, "sessions"), new_path(spark, "checkpoint")
     trades = T.event_trades(spark, d).withColumn("symbol", _symbols()).select("symbol", "ord", "timestamp", "price", "volume_usdt", "side", "seg")
-    _in_turns(spark, trades, "landing", lambda stream: pipelines.run_now(buffers.sessions(stream, "1 hour"), out, checkpoint))
+    _in_turns(spark, trades, "landing", lambda stream: pipelines.run_now(buffers.sessions(stream, "1 hour"), out, checkpoint), trigger_rows=None)
     return spark.read.schema(buffers.SESSION).parquet(out)
 
 
@@ -123,7 +138,7 @@ def stream_dump(spark: SparkSession, d: str) -> DataFrame:
     """Periods dumped in three runs, the last batch of which was run twice."""
     out, checkpoint = new_path(spark, "dump"), new_path(spark, "checkpoint")
     trades = T.event_trades(spark, d).withColumn("symbol", _symbols()).select("symbol", "market", "ord", "timestamp", "price", "volume_usdt", "volume_base", "side", "seg")
-    _in_turns(spark, trades, "landing", lambda stream: dump.run_now(stream, out, checkpoint))
+    _in_turns(spark, trades, "landing", lambda stream: dump.run_now(stream, out, checkpoint), trigger_rows=None)
     again = dump.stored(spark, out)
     batch = again.agg(F.max("batch")).first()[0]
     dump.store(_kept(spark, again.where(F.col("batch") == batch), "again"), batch, out)
@@ -147,7 +162,7 @@ def _followed(spark: SparkSession, d: str) -> str:
     folder = new_path(spark, "books")
     start = spark.range(3).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit(0).cast("long").alias("u"))
     first = T.depth_snapshots(start)
-    _in_turns(spark, T.depth_messages(spark, d), "landing", lambda stream: books.follow_now(stream, T.depth_snapshots, folder, first))
+    _in_turns(spark, T.depth_messages(spark, d), "landing", lambda stream: books.follow_at_once(stream, T.depth_snapshot, folder, first))
     return folder
 
 

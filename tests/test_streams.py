@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandflow.operators import liquidations
-from bandflow.streaming import books, buffers, dump, pipelines, windows
+from bandflow.streaming import books, buffers, dump, pipelines, queries, windows
 
 
 @pytest.fixture
@@ -135,6 +135,58 @@ def test_book_is_the_exchanges_after_lost_messages(spark, folder, lost):
         assert got.get("X", {}) == want
 
 
+class Exchange:
+    """Answers with the book one update after the one that broke the sequence; requests of `vain` get nothing."""
+
+    def __init__(self, at, vain=()):
+        self.at, self.vain = at, vain
+
+    def __call__(self, symbol, u):
+        if u in self.vain:
+            return None
+        u, book = next(((x, b) for x, b in self.at if x > u + 1), self.at[-1])
+        return u, *([(p, q) for (side, p), q in book.items() if side == s] for s in ("bid", "ask"))
+
+
+def test_each_message_is_read_once_however_many_sequences_are_broken(spark, folder):
+    """Thirty lost messages in one trigger: one batch, and the book is the exchange's."""
+    sent, at = exchange(7, n=400)
+    kept = [m for m in sent if m[1] % 13 != 6]
+    run = lambda s: books.follow_at_once(s, Exchange(at), folder)
+    in_runs(spark, folder, [kept[:350], kept[350:]], books.MESSAGE, run)
+    assert {(r["side"], r["price"]): r["qty"] for r in books.levels(spark, folder).collect()} == at[-1][1]
+    events = spark.read.parquet(f"{folder}/events").groupBy("kind", "batch").agg(F.count("*").alias("n")).collect()
+    n = {(r["kind"], r["batch"]): r["n"] for r in events}
+    assert n["request", 0] == n["snapshot", 0] > 20 and {r["batch"] for r in events} == {0, 1}
+    assert sum(n.get((k, b), 0) for k in ("applied", "stale", "rejected") for b in (0, 1)) == len(kept)
+
+
+def test_a_book_that_asked_in_vain_asks_again_at_its_next_trigger(spark, folder):
+    sent, at = exchange(8, n=60)
+    kept = [m for m in sent if m[1] != 20]
+    broken = sent[21][4]
+    first = spark.createDataFrame([message("X", -1, 0, 1, 0, snapshot=True)], books.MESSAGE)
+    for i, part in enumerate((kept[:30], kept[30:40], kept[40:])):
+        answer = Exchange(at, range(1000) if i < 2 else ())
+        in_runs(spark, folder, [part], books.MESSAGE, lambda s: books.follow_at_once(s, answer, folder, first))  # noqa: B023
+        if i < 2:
+            assert not [r for r in books.events(spark, folder).collect() if r["kind"] == "snapshot"]
+    events = books.events(spark, folder).collect()
+    rejected = [r["u"] for r in events if r["kind"] == "rejected"]
+    assert min(rejected) == broken and sum(r["kind"] == "request" for r in events) == 2 + len(rejected)
+    assert {(r["side"], r["price"]): r["qty"] for r in books.levels(spark, folder).collect()} == at[-1][1]
+
+
+def test_slices_are_triggers_in_order(spark, folder):
+    """A part larger than a trigger comes in order, a slice after the other; gaps and skew in the order don't mix them."""
+    rows = spark.range(100).select(F.when(F.col("id") < 60, F.col("id")).otherwise(F.col("id") + 5000).alias("ord")).repartition(5)
+    seen = []
+    note = lambda df, batch: seen.append(sorted(r["ord"] for r in df.collect()))
+    run = lambda s: s.writeStream.foreachBatch(note).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    queries._in_turns(spark, rows, "slices", run, trigger_rows=10)
+    assert [x for part in seen for x in part] == sorted(r["ord"] for r in rows.collect()) and len([x for x in seen if x]) > 1
+
+
 def test_messages_of_both_kinds_from_text(spark):
     rows = [
         ("A", 1, '{"e":"depthUpdate","U":5,"u":7,"pu":4,"b":[["1.50","2"],["x","1"],["1.4","bad"]],"a":[]}'),
