@@ -58,28 +58,28 @@ def _in_turns(spark: SparkSession, rows: DataFrame, label: str, run: Callable[[D
     delete(spark, path)
 
 
-def _window_states(spark: SparkSession, d: str) -> DataFrame:
-    """Packets and windows of the dense day, in three runs that go on from one checkpoint."""
+def _window_states(spark: SparkSession, d: str, kind: int) -> DataFrame:
+    """Rows of one kind of the packets and windows of the dense day, in three runs that go on from one checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
     out, checkpoint = new_path(spark, "windows"), new_path(spark, "checkpoint")
     trades = T.dense_trades(spark, d).select("market", "ord", "timestamp", "seg", "side", "volume_usdt")
-    _in_turns(spark, trades, "landing", lambda stream: pipelines.run_now(windows.states(stream), out, checkpoint))
+    _in_turns(spark, trades, "landing", lambda stream: pipelines.run_now(windows.states(stream, emit=(kind,)), out, checkpoint))
     return spark.read.schema(f"market string, {windows.SCHEMA}").parquet(out)
 
 
 def stream_packets(spark: SparkSession, d: str) -> DataFrame:
     """Closed packets by band of a stream in three runs."""
-    return windows.packets(_window_states(spark, d))
+    return windows.packets(_window_states(spark, d, windows.PACKET))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """All nine windows after every closed packet of a stream in three runs."""
-    return windows.rolling(_window_states(spark, d))
+    return windows.rolling(_window_states(spark, d, windows.WINDOW))
 
 
 def stream_window_bands(spark: SparkSession, d: str) -> DataFrame:
     """The windows' bands at the end of a stream in three runs."""
-    return windows.latest(_window_states(spark, d))
+    return windows.latest(_window_states(spark, d, windows.BAND))
 
 
 def stream_minute(spark: SparkSession, d: str) -> DataFrame:

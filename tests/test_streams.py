@@ -2,7 +2,9 @@
 
 import math
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +297,29 @@ def test_a_batch_stored_twice_is_there_once(spark, folder):
         dump.store(two, 1, f"{folder}/d")
     assert sorted(r["ord"] for r in dump.stored(spark, f"{folder}/d").collect()) == [0, 1, 2, 3]
     assert [(r["period"], r["trades"]) for r in dump.dumped(spark, f"{folder}/d").orderBy("period").collect()] == [(4 * 3_600_000, 1), (12 * 3_600_000, 2)]
+
+
+def test_digits_add_up_exactly():
+    """Sums of digits are those of fractions, over all magnitudes and signs."""
+    rng = random.Random(9)
+    x = np.array([rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randint(-190, 400) for _ in range(200)] + [0.0, 0.1, 2.0**1000, -(2.0**1000)])
+    low = windows.lowest_bit(x) // 32 * 32
+    d = windows.digits(x, low)
+    assert [sum(int(k) << 32 * i for i, k in enumerate(c)) * Fraction(2) ** low for c in d.T] == [Fraction(float(v)) for v in x]
+    total = windows.values(d[:, :150].sum(axis=1, keepdims=True), low)[0]
+    assert total == pytest.approx(float(sum(Fraction(float(v)) for v in x[:150])), rel=1e-15)
+
+
+def test_a_triggers_size_is_bounded(spark, folder):
+    """Windows are the same in one trigger or in many, of which none sorts more than its slice."""
+    trades = spark.createDataFrame([("spot", i, 1000 * (i // 3), 1 + i % 4, i % 2, 0.1 * i) for i in range(300)], TRADES)
+    got = []
+    for name, size in (("one", None), ("many", 25)):
+        run = lambda s: pipelines.run_now(windows.states(s, ("market",), (2, 40), 8), f"{folder}/{name}", f"{folder}/{name}-checkpoint")  # noqa: B023, E731
+        queries._in_turns(spark, trades, "bounded", run, turns=1, trigger_rows=size)
+        out = spark.read.schema(f"market string, {windows.SCHEMA}").parquet(f"{folder}/{name}")
+        got.append([sorted(f(out).collect()) for f in (windows.rolling, windows.latest)])
+    assert got[0] == got[1] and got[0][0]
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/many-checkpoint/commits")
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(log)
+    assert sum(f.getPath().getName().isdigit() for f in files) >= 12
