@@ -14,8 +14,10 @@ they are missed.
 The topic is the column `topic` if there is one, or a given expression, else a
 cluster of word vectors: words are hashed to `dims` places, counts damped, and
 the mean of the document's language taken off, so that topics don't repeat
-languages. The k-means centres are learnt from at most `sample` documents, the
-least by a hash of id and text; every document is assigned, by all its words.
+languages. Language means and k-means centres are learnt from all documents,
+in passes over their stored vectors; only sums come back. Vectors are kept as
+whole multiples of 1/`STEP`, so that sums, and with them the topics, don't
+depend on how rows are dealt over tasks.
 
 Defined results: null in a dimension is a value of its own, `(none)`; a
 document without words has no tokens and is drawn at the probability of its
@@ -29,18 +31,22 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches, table
+from .common import cut, fresh, small_batches, stored, table, trimmed
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Contingency tables of at most this many cells are raked on the driver and broadcast; larger ones on Spark.
 SMALL_CELLS = 50_000
+#: Vectors are learnt from in parts of this many to one.
+STEP = 2**20
 
 
 @dataclass
@@ -57,11 +63,11 @@ class Targets:
 
 @dataclass
 class Topics:
-    """How topics are learnt; `sample` documents at most are."""
+    """How topics are learnt: from all documents, or, if `sample` is given, from that many at most."""
 
     k: int = 8
     dims: int = 64
-    sample: int = 4000
+    sample: int | None = None
     rounds: int = 25
     trials: int = 8
     seed: int = 11
@@ -86,60 +92,164 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class TopicModel:
     """Means of the languages and centres of the topics."""
 
-    def __init__(self, vectors: np.ndarray, langs: list[str], how: Topics):
-        self.dims = how.dims
-        self.mean = vectors.mean(axis=0) if len(vectors) else np.zeros(how.dims)
-        of = np.array(langs, dtype=object)
-        self.means = {lang: vectors[of == lang].mean(axis=0) for lang in sorted(set(langs))}
-        x = self.centred(vectors, langs)
-        self.centres, least = np.zeros((1, how.dims)), np.inf
-        for trial in range(how.trials if len(x) else 0):
-            spread = self._clustered(x, how, np.random.default_rng((how.seed, trial)))
-            if spread[0] < least:
-                least, self.centres = spread
-
-    @staticmethod
-    def _clustered(x: np.ndarray, how: Topics, r: np.random.Generator) -> tuple[float, np.ndarray]:
-        """The sum of squares within the clusters, and their centres."""
-        centres = [x[r.integers(len(x))]]
-        while len(centres) < min(how.k, len(x)):  # far from those there are
-            far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-            if not far.sum() > 0:
-                break
-            centres.append(x[r.choice(len(x), p=far / far.sum())])
-        at = np.array(centres)
-        for _ in range(how.rounds):
-            near = nearest(x, at)
-            moved = np.array([x[near == c].mean(axis=0) if (near == c).any() else at[c] for c in range(len(at))])
-            if np.allclose(moved, at):
-                break
-            at = moved
-        return float(((x - at[nearest(x, at)]) ** 2).sum()), at
+    def __init__(self, dims: int, mean: np.ndarray, means: dict[str, np.ndarray], centres: np.ndarray | None = None):
+        self.dims, self.mean, self.means = dims, mean, means
+        self.centres = np.zeros((1, dims)) if centres is None else centres
 
     def centred(self, vectors: np.ndarray, langs: list[str]) -> np.ndarray:
         return vectors - np.array([self.means.get(lang, self.mean) for lang in langs]).reshape(vectors.shape)
 
+    def topics(self, vectors: np.ndarray, langs: list[str], n: list[int]) -> list[str]:
+        """Topics of vectors in steps; a text without words has the topic `(empty)`."""
+        near = nearest(self.centred(vectors / STEP, langs), self.centres)
+        return [f"topic {c}" if k else "(empty)" for c, k in zip(near, n, strict=True)]
+
     def assign(self, texts: list[str | None], langs: list[str | None]) -> tuple[list[str], list[int]]:
-        """Topics and numbers of words; a text without words has the topic `(empty)`."""
+        """Topics and numbers of words."""
         found = [word_vector((t or "").encode(), self.dims) for t in texts]
-        near = nearest(self.centred(np.array([v for v, _ in found]).reshape(-1, self.dims), [x or "(none)" for x in langs]), self.centres)
-        return [f"topic {c}" if n else "(empty)" for c, (_, n) in zip(near, found, strict=True)], [n for _, n in found]
+        n = [k for _, k in found]
+        return self.topics(np.rint(np.array([v for v, _ in found]).reshape(-1, self.dims) * STEP), ["(none)" if x is None else x for x in langs], n), n
+
+
+def _measured(docs: DataFrame, how: Topics) -> DataFrame:
+    """`DIMENSIONS` but the topic, n, a hash and the vector (null without words) of each document, stored once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_vector((t or "").encode(), how.dims) for t in batch["text"].to_pylist()]
+            vectors = [np.rint(v * STEP).astype(np.int32).tobytes() if v.any() else None for v, _ in found]
+            yield pa.record_batch([batch["source"], batch["lang"], batch["draw"], pa.array([n for _, n in found], pa.int64()), pa.array(vectors, pa.binary())], ["source", "lang", "draw", "n_tokens", "v"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(*(F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in ("source", "lang")), F.xxhash64("doc_id", "text").alias("draw"), text.alias("text"))
+    return stored(small_batches(rows).mapInArrow(trimmed(run), "source string, lang string, draw long, n_tokens long, v binary"), "vectors")
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, dims).astype(np.int64)
+
+
+def _means(vectors: DataFrame, how: Topics) -> TopicModel:
+    """The means of all vectors and of each language's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x, of = _matrix(batch["v"], how.dims), np.array(batch["lang"].to_pylist(), dtype=object)
+            for lang in set(of):
+                mine = x[of == lang]
+                sums[lang] = sums.get(lang, 0) + np.append(mine.sum(axis=0), len(mine))
+        yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
+
+    parts = vectors.select("lang", "v").mapInArrow(run, "lang string, sums array<long>")
+    got = parts.groupBy("lang").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(how.dims + 1))).alias("sums")).orderBy("lang").collect()
+    sums = {r["lang"]: np.array(r["sums"], float) for r in got}
+    total = sum(sums.values()) if sums else np.ones(how.dims + 1) * 0.0
+    return TopicModel(how.dims, total[:-1] / max(1.0, total[-1]) / STEP, {k: x[:-1] / x[-1] / STEP for k, x in sums.items()})
+
+
+def _pass(vectors: DataFrame, model: TopicModel, how: Topics, visit: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int, float, list[int], float]]]) -> list:
+    """What `visit` says of the centred vectors of a batch (steps) and their hashes: rows of trial, centre, rank, sums and cost.
+
+    Sums and costs of a trial's centre are added up, the row of its greatest rank is kept.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((model.mean, model.means))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, means = shared.value
+        found: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            x = _matrix(batch["v"], how.dims) - np.rint(np.array([means.get(k, mean) for k in batch["lang"].to_pylist()]) * STEP).astype(np.int64).reshape(-1, how.dims)
+            for trial, centre, rank, sums, cost in visit(x, batch["draw"].to_numpy(zero_copy_only=False)):
+                old = found.setdefault((trial, centre), [-np.inf, None, 0, 0])
+                if rank is None:
+                    old[2], old[3] = old[2] + np.array(sums, np.int64), old[3] + cost
+                elif (rank, sums) > (old[0], old[1] or []):
+                    old[:2] = rank, sums
+        rows = [(t, c, r, best if best is not None else np.asarray(sums).tolist(), int(cost)) for (t, c), (r, best, sums, cost) in found.items()]
+        names, kinds = ("trial", "centre", "rank", "sums", "cost"), (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int64())
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], list(names))
+
+    parts = vectors.select("lang", "draw", "v").mapInArrow(trimmed(run), "trial int, centre int, rank double, sums array<long>, cost long")
+    best = F.max_by("sums", F.struct("rank", "sums")).alias("best")
+    sums = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(how.dims + 1))).alias("sums")
+    got = parts.groupBy("trial", "centre").agg(best, sums, F.sum("cost").alias("cost"), F.max("rank").alias("rank")).orderBy("trial", "centre").collect()
+    shared.unpersist()
+    return got
+
+
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances to the nearest of `centres`, both in steps, as whole numbers."""
+    d = (x.astype(float) ** 2).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres**2).sum(axis=1)
+    return np.maximum(0.0, np.rint(d.min(axis=1)))
 
 
 def learn_topics(docs: DataFrame, how: Topics | None = None) -> TopicModel:
-    """A model of at most `how.sample` documents with words, chosen by hash; of rows with equal ids and texts one is as good as another."""
+    """A model of the documents with words: k-means from several starts at once, a pass over all vectors for each round."""
     how = how or Topics()
-    draw = F.xxhash64("doc_id", "text")
-    share = min(1.0, 4.0 * how.sample / max(1, docs.count()))
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"))
-    rows = rows.where(F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53)) < share).select(draw.alias("draw"), "lang", "text")
+    return _learnt(_measured(docs, how), how)
+
+
+def _learnt(measured: DataFrame, how: Topics) -> TopicModel:
+    vectors = measured.where("v is not null")
+    if how.sample is not None:
+        vectors = stored(vectors.orderBy("draw", "lang").limit(how.sample), "sampled")
+    model = _means(vectors, how)
+    if not model.means:
+        return model
+    starts: list[list[np.ndarray]] = [[] for _ in range(how.trials)]
+
+    def far(x: np.ndarray, draw: np.ndarray):
+        # The greatest of u ** (1 / d) is a draw in proportion to d; u comes from the row's hash.
+        for trial, centres in enumerate(starts):
+            mixed = (draw.astype(np.uint64) ^ np.uint64((how.seed * 1_000_003 + trial * 8191 + len(centres)) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            u = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(float) / 2.0**53
+            d = _far(x, np.array(centres)) if centres else np.ones(len(x))
+            rank = np.where(d > 0, np.log(u + 2.0**-60) / np.maximum(d, 1e-300), -np.inf)
+            i = int(rank.argmax())
+            if rank[i] > -np.inf:
+                yield trial, 0, float(rank[i]), [*x[i].tolist(), 1], 0
+
+    for _ in range(how.k):
+        for r in (got := _pass(vectors, model, how, far)):
+            starts[r["trial"]].append(np.array(r["best"][:-1], float))
+        if not got:
+            break
+    at = [np.array(s) for s in starts]
+
+    def near(x: np.ndarray, draw: np.ndarray):
+        for trial, centres in enumerate(at):
+            of, d = nearest(x, centres), _far(x, centres).astype(np.int64) // STEP
+            for c in np.unique(of).tolist():
+                mine = of == c
+                yield trial, c, None, [*x[mine].sum(axis=0).tolist(), int(mine.sum())], int(d[mine].sum())
+
+    costs = [0] * how.trials
+    for i in range(how.rounds + 1):  # the last one for the costs
+        moved, costs = [c.copy() for c in at], [0] * how.trials
+        for r in _pass(vectors, model, how, near):
+            moved[r["trial"]][r["centre"]] = np.array(r["sums"][:-1], float) / r["sums"][-1]
+            costs[r["trial"]] += r["cost"]
+        if i == how.rounds or all(np.allclose(a, b, atol=STEP * 1e-8) for a, b in zip(moved, at, strict=True)):
+            break
+        at = moved
+    model.centres = at[int(np.argmin(costs))] / STEP
+    return model
+
+
+def _topic_totals(measured: DataFrame, model: TopicModel) -> DataFrame:
+    """`DIMENSIONS` and n_tokens of stored vectors, as `with_topics` would give them from the texts."""
+    shared = measured.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def vector(texts):
-        return texts.map(lambda t: word_vector((t or "").encode(), how.dims)[0].tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(shared.value.dims, np.int32).tobytes()
+        for batch in batches:
+            x = np.frombuffer(b"".join(v or none for v in batch["v"].to_pylist()), np.int32).reshape(-1, shared.value.dims)
+            topics = shared.value.topics(x, batch["lang"].to_pylist(), batch["n_tokens"].to_pylist())
+            yield pa.record_batch([batch["source"], batch["lang"], pa.array(topics, pa.string()), batch["n_tokens"]], [*DIMENSIONS, "n_tokens"])
 
-    got = rows.select("draw", "lang", vector("text").alias("v")).where(F.exists("v", lambda x: x != 0)).orderBy("draw", "lang").limit(how.sample).collect()
-    return TopicModel(np.array([r["v"] for r in got]).reshape(-1, how.dims), [r["lang"] for r in got], how)
+    return measured.select("source", "lang", "n_tokens", "v").mapInArrow(trimmed(run), "source string, lang string, topic string, n_tokens long")
 
 
 def n_tokens() -> Column:
@@ -245,14 +355,19 @@ def mix(docs: DataFrame, targets: Targets | None = None, small_cells: int = SMAL
     targets = targets or Targets()
     has_topic = "topic" in (c.lower() for c in docs.columns)
     named = docs.drop("n_tokens", "weight", "probability", "drawn")
+    measured = None
     if topic is None and not has_topic:
-        named = with_topics(named, learn_topics(docs, topics))
+        measured = _measured(docs, topics or Topics())
+        model = _learnt(measured, topics or Topics())
+        named = with_topics(named, model)
     else:
         named = named.withColumn("n_tokens", n_tokens())
         named = named if topic is None else named.withColumn("topic", topic)
     names = {d: fresh(named, f"_{d}") for d in DIMENSIONS}
     named = named.withColumns({names[d]: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in DIMENSIONS})
-    cells = cut(named.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    # From the stored vectors, if there are any, so that the texts are read once less.
+    by_cell = named.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)) if measured is None else _topic_totals(measured, model).groupBy(*DIMENSIONS)
+    cells = cut(by_cell.agg(F.sum("n_tokens").cast("double").alias("tokens")))
     small = cells.count() <= small_cells
     if small:
         local = rake_small(cells.toPandas().sort_values(list(DIMENSIONS), ignore_index=True), targets)

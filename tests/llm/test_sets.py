@@ -208,6 +208,18 @@ def test_topics_are_found_in_every_language(spark):
     assert got[240]["topic"] == got[241]["topic"] == "(empty)" and got[240]["n_tokens"] == 0 and got[0]["n_tokens"] == 60 and got[243]["topic"] == main[0, 0]
 
 
+def test_topics_are_learnt_from_all_documents(spark):
+    """Means are those of all vectors, more than the 4,000 of a sample, and topics don't depend on how rows are dealt."""
+    r = random.Random(5)
+    subject = [[f"{k}{c}" for c in "abcdefghij"] for k in "pq"]
+    rows = [(i, " ".join(r.choices(subject[i >= 4995], k=12)), "x", "s") for i in range(5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    models = [mixing.learn_topics(d.repartition(n), mixing.Topics(k=2, trials=2)) for n in (2, 5)]
+    assert np.array_equal(models[0].centres, models[1].centres)
+    vectors = np.array([mixing.word_vector(t.encode(), 64)[0] for _, t, *_ in rows])
+    assert np.allclose(models[0].mean, vectors.mean(axis=0), atol=1e-6)
+
+
 def test_mixing_large_equals_small(spark):
     how = mixing.Targets(rounds=4, tolerance=0.0)
     a = mixing.mix(corpus(spark, 60), how).orderBy("doc_id").toPandas()
