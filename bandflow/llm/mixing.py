@@ -35,7 +35,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +46,8 @@ DIMENSIONS = ("source", "lang", "topic")
 SMALL_CELLS = 50_000
 #: Vectors are learnt from in parts of this many to one.
 STEP = 2**20
+#: Vectors that a task compares with the centres at once.
+GATHERED = 4096
 
 
 @dataclass
@@ -79,7 +80,7 @@ def word_vector(text: bytes, dims: int) -> tuple[np.ndarray, int]:
     out = np.zeros(dims)
     if words:
         counts = Counter(words)
-        at = np.fromiter((zlib.crc32(w) % dims for w in counts), np.int64, len(counts))
+        at = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) % dims
         out = np.log1p(np.bincount(at, np.fromiter(counts.values(), float, len(counts)), dims))
         out /= np.linalg.norm(out)
     return out, len(words)
@@ -104,29 +105,26 @@ class TopicModel:
         near = nearest(self.centred(vectors / STEP, langs), self.centres)
         return [f"topic {c}" if k else "(empty)" for c, k in zip(near, n, strict=True)]
 
-    def assign(self, texts: list[str | None], langs: list[str | None]) -> tuple[list[str], list[int]]:
-        """Topics and numbers of words."""
-        found = [word_vector((t or "").encode(), self.dims) for t in texts]
-        n = [k for _, k in found]
-        return self.topics(np.rint(np.array([v for v, _ in found]).reshape(-1, self.dims) * STEP), ["(none)" if x is None else x for x in langs], n), n
 
+def _measured(docs: DataFrame, how: Topics, keep: list[str]) -> tuple[DataFrame, str]:
+    """Columns `keep` of the documents and a struct of the returned name, stored once: `DIMENSIONS` but the topic, a hash,
+    n_tokens and the vector (null without words). The texts are read for this only."""
 
-def _measured(docs: DataFrame, how: Topics) -> DataFrame:
-    """`DIMENSIONS` but the topic, n, a hash and the vector (null without words) of each document, stored once."""
+    @F.arrow_udf("n_tokens long, v binary")
+    def vector(texts: pa.Array) -> pa.Array:
+        found = [word_vector(t or b"", how.dims) for t in texts.cast(pa.binary()).to_pylist()]
+        vectors = [np.rint(v * STEP).astype(np.int32).tobytes() if v.any() else None for v, _ in found]
+        return pa.StructArray.from_arrays([pa.array([n for _, n in found], pa.int64()), pa.array(vectors, pa.binary())], ["n_tokens", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [word_vector((t or "").encode(), how.dims) for t in batch["text"].to_pylist()]
-            vectors = [np.rint(v * STEP).astype(np.int32).tobytes() if v.any() else None for v, _ in found]
-            yield pa.record_batch([batch["source"], batch["lang"], batch["draw"], pa.array([n for _, n in found], pa.int64()), pa.array(vectors, pa.binary())], ["source", "lang", "draw", "n_tokens", "v"])
-
-    text = F.col("text").cast("string")
-    rows = docs.select(*(F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in ("source", "lang")), F.xxhash64("doc_id", "text").alias("draw"), text.alias("text"))
-    return stored(small_batches(rows).mapInArrow(trimmed(run), "source string, lang string, draw long, n_tokens long, v binary"), "vectors")
+    of, seen = fresh(docs, "_measured"), fresh(docs, "_vector")
+    rows = small_batches(docs).withColumn(seen, vector(F.col("text").cast("string")))
+    named = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in ("source", "lang")]
+    whole = F.struct(*named, F.xxhash64("doc_id", "text").alias("draw"), F.col(f"{seen}.n_tokens"), F.col(f"{seen}.v"))
+    return stored(rows.select(*keep, whole.alias(of)), "vectors"), of
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, dims).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, dims)
 
 
 def _means(vectors: DataFrame, how: Topics) -> TopicModel:
@@ -148,46 +146,99 @@ def _means(vectors: DataFrame, how: Topics) -> TopicModel:
     return TopicModel(how.dims, total[:-1] / max(1.0, total[-1]) / STEP, {k: x[:-1] / x[-1] / STEP for k, x in sums.items()})
 
 
-def _pass(vectors: DataFrame, model: TopicModel, how: Topics, visit: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int, float, list[int], float]]]) -> list:
-    """What `visit` says of the centred vectors of a batch (steps) and their hashes: rows of trial, centre, rank, sums and cost.
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `GATHERED`: Arrow batches of a session with texts are small."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHERED:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
 
-    Sums and costs of a trial's centre are added up, the row of its greatest rank is kept.
-    """
+def _centred(batch: pa.RecordBatch, mean: np.ndarray, means: dict[str, np.ndarray], dims: int) -> np.ndarray:
+    """A batch's vectors less the means of their languages: whole steps, as floats, whose sums are exact."""
+    langs = batch["lang"].dictionary_encode()
+    offsets = np.rint(np.array([means.get(k, mean) for k in langs.dictionary.to_pylist()]) * STEP).reshape(-1, dims)
+    return _matrix(batch["v"], dims) - offsets[langs.indices.to_numpy(zero_copy_only=False)]
+
+
+def _farthest(vectors: DataFrame, model: TopicModel, how: Topics, starts: list[list[np.ndarray]]) -> list:
+    """The next centre of each trial, (trial, best): a vector drawn in proportion to its squared distance to the trial's `starts`."""
     shared = vectors.sparkSession.sparkContext.broadcast((model.mean, model.means))
+    sizes = np.array([len(c) for c in starts])
+    centres = np.array([c for trial in starts for c in trial]).reshape(-1, how.dims)
+    seeds = np.array([(how.seed * 1_000_003 + trial * 8191 + n) * 0x9E3779B97F4A7C15 % 2**64 for trial, n in enumerate(sizes.tolist())], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, means = shared.value
-        found: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            x = _matrix(batch["v"], how.dims) - np.rint(np.array([means.get(k, mean) for k in batch["lang"].to_pylist()]) * STEP).astype(np.int64).reshape(-1, how.dims)
-            for trial, centre, rank, sums, cost in visit(x, batch["draw"].to_numpy(zero_copy_only=False)):
-                old = found.setdefault((trial, centre), [-np.inf, None, 0, 0])
-                if rank is None:
-                    old[2], old[3] = old[2] + np.array(sums, np.int64), old[3] + cost
-                elif (rank, sums) > (old[0], old[1] or []):
-                    old[:2] = rank, sums
-        rows = [(t, c, r, best if best is not None else np.asarray(sums).tolist(), int(cost)) for (t, c), (r, best, sums, cost) in found.items()]
-        names, kinds = ("trial", "centre", "rank", "sums", "cost"), (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int64())
-        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], list(names))
-
-    parts = vectors.select("lang", "draw", "v").mapInArrow(trimmed(run), "trial int, centre int, rank double, sums array<long>, cost long")
-    best = F.max_by("sums", F.struct("rank", "sums")).alias("best")
+        best: dict[int, tuple[float, list[int]]] = {}
+        for batch in _gathered(batches):
+            x = _centred(batch, *shared.value, how.dims)
+            d = np.ones((len(x), len(sizes)))
+            if len(centres):
+                far = _far(x, centres)
+                for trial, (end, n) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
+                    if n:
+                        d[:, trial] = far[:, end - n : end].min(axis=1)
+            # The greatest of u ** (1 / d) is a draw in proportion to d; u comes from the row's hash.
+            mixed = (batch["draw"].to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            u = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(float) / 2.0**53
+            ranks = np.where(d > 0, np.log(u + 2.0**-60) / np.maximum(d, 1e-300), -np.inf)
+            for trial, i in enumerate(ranks.argmax(axis=0).tolist()):
+                if (rank := float(ranks[i, trial])) > -np.inf:
+                    best[trial] = max(best.get(trial, (-np.inf, [])), (rank, x[i].astype(np.int64).tolist()))
+        yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array([r for r, _ in best.values()], pa.float64()), pa.array([v for _, v in best.values()], pa.list_(pa.int64()))], ["trial", "rank", "best"])
+
+    parts = vectors.select("lang", "draw", "v").mapInArrow(trimmed(run), "trial int, rank double, best array<long>")
+    got = parts.groupBy("trial").agg(F.max(F.struct("rank", "best")).alias("x")).select("trial", "x.best").collect()
+    shared.unpersist()
+    return sorted(got, key=lambda r: r["trial"])
+
+
+def _nearest(vectors: DataFrame, model: TopicModel, how: Topics, at: list[np.ndarray]) -> list:
+    """Of each trial's centres `at`, (trial, centre, sums, cost) of the vectors to which they are the nearest; the last sum is their number."""
+    shared = vectors.sparkSession.sparkContext.broadcast((model.mean, model.means))
+    ends = np.cumsum([len(c) for c in at]).tolist()
+    begins, centres = [0, *ends[:-1]], np.concatenate(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, costs = np.zeros((len(centres), how.dims + 1)), np.zeros(len(centres), np.int64)
+        for batch in _gathered(batches):
+            x = _centred(batch, *shared.value, how.dims)
+            scores, far = x @ centres.T - (centres**2).sum(axis=1) / 2, _far(x, centres)
+            mine = np.zeros(scores.shape)
+            for begin, end in zip(begins, ends, strict=True):
+                of = begin + scores[:, begin:end].argmax(axis=1)
+                mine[np.arange(len(x)), of] = 1.0
+                d = far[:, begin:end].min(axis=1) // STEP
+                costs += np.bincount(of, d, len(centres)).astype(np.int64)
+            sums += mine.T @ np.column_stack((x, np.ones(len(x))))
+        hit = np.flatnonzero(sums[:, -1])
+        trials = np.searchsorted(ends, hit, side="right")
+        rows = pa.array(sums[hit].astype(np.int64).tolist(), pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(trials, pa.int32()), pa.array(hit - np.array(begins)[trials], pa.int32()), rows, pa.array(costs[hit], pa.int64())], ["trial", "centre", "sums", "cost"])
+
+    parts = vectors.select("lang", "v").mapInArrow(trimmed(run), "trial int, centre int, sums array<long>, cost long")
     sums = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(how.dims + 1))).alias("sums")
-    got = parts.groupBy("trial", "centre").agg(best, sums, F.sum("cost").alias("cost"), F.max("rank").alias("rank")).orderBy("trial", "centre").collect()
+    got = parts.groupBy("trial", "centre").agg(sums, F.sum("cost").alias("cost")).collect()
     shared.unpersist()
     return got
 
 
 def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances to the nearest of `centres`, both in steps, as whole numbers."""
-    d = (x.astype(float) ** 2).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres**2).sum(axis=1)
-    return np.maximum(0.0, np.rint(d.min(axis=1)))
+    """Squared distances to each of `centres`, both in steps, as whole numbers."""
+    return np.maximum(0.0, np.rint((x**2).sum(axis=1)[:, None] - 2.0 * (x @ centres.T) + (centres**2).sum(axis=1)))
 
 
 def learn_topics(docs: DataFrame, how: Topics | None = None) -> TopicModel:
     """A model of the documents with words: k-means from several starts at once, a pass over all vectors for each round."""
     how = how or Topics()
-    return _learnt(_measured(docs, how), how)
+    rows, of = _measured(docs, how, [])
+    return _learnt(rows.select(f"{of}.*"), how)
 
 
 def _learnt(measured: DataFrame, how: Topics) -> TopicModel:
@@ -198,37 +249,16 @@ def _learnt(measured: DataFrame, how: Topics) -> TopicModel:
     if not model.means:
         return model
     starts: list[list[np.ndarray]] = [[] for _ in range(how.trials)]
-
-    def far(x: np.ndarray, draw: np.ndarray):
-        # The greatest of u ** (1 / d) is a draw in proportion to d; u comes from the row's hash.
-        for trial, centres in enumerate(starts):
-            mixed = (draw.astype(np.uint64) ^ np.uint64((how.seed * 1_000_003 + trial * 8191 + len(centres)) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            u = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(float) / 2.0**53
-            d = _far(x, np.array(centres)) if centres else np.ones(len(x))
-            rank = np.where(d > 0, np.log(u + 2.0**-60) / np.maximum(d, 1e-300), -np.inf)
-            i = int(rank.argmax())
-            if rank[i] > -np.inf:
-                yield trial, 0, float(rank[i]), [*x[i].tolist(), 1], 0
-
     for _ in range(how.k):
-        for r in (got := _pass(vectors, model, how, far)):
-            starts[r["trial"]].append(np.array(r["best"][:-1], float))
+        for r in (got := _farthest(vectors, model, how, starts)):
+            starts[r["trial"]].append(np.array(r["best"], float))
         if not got:
             break
     at = [np.array(s) for s in starts]
-
-    def near(x: np.ndarray, draw: np.ndarray):
-        for trial, centres in enumerate(at):
-            of, d = nearest(x, centres), _far(x, centres).astype(np.int64) // STEP
-            for c in np.unique(of).tolist():
-                mine = of == c
-                yield trial, c, None, [*x[mine].sum(axis=0).tolist(), int(mine.sum())], int(d[mine].sum())
-
     costs = [0] * how.trials
     for i in range(how.rounds + 1):  # the last one for the costs
         moved, costs = [c.copy() for c in at], [0] * how.trials
-        for r in _pass(vectors, model, how, near):
+        for r in _nearest(vectors, model, how, at):
             moved[r["trial"]][r["centre"]] = np.array(r["sums"][:-1], float) / r["sums"][-1]
             costs[r["trial"]] += r["cost"]
         if i == how.rounds or all(np.allclose(a, b, atol=STEP * 1e-8) for a, b in zip(moved, at, strict=True)):
@@ -238,18 +268,17 @@ def _learnt(measured: DataFrame, how: Topics) -> TopicModel:
     return model
 
 
-def _topic_totals(measured: DataFrame, model: TopicModel) -> DataFrame:
-    """`DIMENSIONS` and n_tokens of stored vectors, as `with_topics` would give them from the texts."""
-    shared = measured.sparkSession.sparkContext.broadcast(model)
+def _topic(model: TopicModel, spark: SparkSession) -> Callable[[Column, Column, Column], Column]:
+    """The topic by a stored vector, language and number of words."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def topic(vectors: pa.Array, langs: pa.Array, n: pa.Array) -> pa.Array:
         none = np.zeros(shared.value.dims, np.int32).tobytes()
-        for batch in batches:
-            x = np.frombuffer(b"".join(v or none for v in batch["v"].to_pylist()), np.int32).reshape(-1, shared.value.dims)
-            topics = shared.value.topics(x, batch["lang"].to_pylist(), batch["n_tokens"].to_pylist())
-            yield pa.record_batch([batch["source"], batch["lang"], pa.array(topics, pa.string()), batch["n_tokens"]], [*DIMENSIONS, "n_tokens"])
+        x = np.frombuffer(b"".join(v or none for v in vectors.to_pylist()), np.int32).reshape(-1, shared.value.dims)
+        return pa.array(shared.value.topics(x, langs.to_pylist(), n.to_pylist()), pa.string())
 
-    return measured.select("source", "lang", "n_tokens", "v").mapInArrow(trimmed(run), "source string, lang string, topic string, n_tokens long")
+    return topic
 
 
 def n_tokens() -> Column:
@@ -336,38 +365,26 @@ def rake_large(cells: DataFrame, targets: Targets) -> DataFrame:
     return cut(cells)
 
 
-def with_topics(docs: DataFrame, model: TopicModel) -> DataFrame:
-    """`docs` with topic and n_tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("topic string, n long")
-    def measured(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        topics, n = shared.value.assign(texts.tolist(), langs.tolist())
-        return pd.DataFrame({"topic": topics, "n": n})
-
-    both = fresh(docs, "_measured")
-    rows = small_batches(docs).withColumn(both, measured(F.col("text").cast("string"), F.col("lang").cast("string")))
-    return rows.withColumns({"topic": F.col(f"{both}.topic"), "n_tokens": F.col(f"{both}.n")}).drop(both)
-
-
-def mix(docs: DataFrame, targets: Targets | None = None, small_cells: int = SMALL_CELLS, topic: Column | None = None, topics: Topics | None = None) -> DataFrame:
-    """`docs` with topic, n_tokens, weight, probability and the decision `drawn`."""
+def mix(docs: DataFrame, targets: Targets | None = None, small_cells: int = SMALL_CELLS, topic: Column | None = None, topics: Topics | None = None, keep: list[str] | None = None) -> DataFrame:
+    """`docs`, or their columns `keep` (doc_id, source and lang among them), with topic, n_tokens, weight, probability and the decision `drawn`."""
     targets = targets or Targets()
     has_topic = "topic" in (c.lower() for c in docs.columns)
     named = docs.drop("n_tokens", "weight", "probability", "drawn")
-    measured = None
     if topic is None and not has_topic:
-        measured = _measured(docs, topics or Topics())
-        model = _learnt(measured, topics or Topics())
-        named = with_topics(named, model)
+        # Texts are read once: what follows reads the stored columns. Parquet holds no columns without a type.
+        keep = keep or named.columns
+        void = [c for c, kind in named.select(*keep).dtypes if kind == "void"]
+        kept, of = _measured(named, topics or Topics(), [c for c in keep if c not in void])
+        kept = kept.select(*(F.lit(None).alias(c) if c in void else c for c in keep), of)
+        topic_of = _topic(_learnt(kept.select(f"{of}.*"), topics or Topics()), docs.sparkSession)
+        named = kept.withColumns({"topic": topic_of(F.col(f"{of}.v"), F.col(f"{of}.lang"), F.col(f"{of}.n_tokens")), "n_tokens": F.col(f"{of}.n_tokens")}).drop(of)
     else:
         named = named.withColumn("n_tokens", n_tokens())
         named = named if topic is None else named.withColumn("topic", topic)
+        named = named if keep is None else named.select(*dict.fromkeys((*keep, "topic", "n_tokens")))
     names = {d: fresh(named, f"_{d}") for d in DIMENSIONS}
     named = named.withColumns({names[d]: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in DIMENSIONS})
-    # From the stored vectors, if there are any, so that the texts are read once less.
-    by_cell = named.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)) if measured is None else _topic_totals(measured, model).groupBy(*DIMENSIONS)
-    cells = cut(by_cell.agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    cells = cut(named.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").cast("double").alias("tokens")))
     small = cells.count() <= small_cells
     if small:
         local = rake_small(cells.toPandas().sort_values(list(DIMENSIONS), ignore_index=True), targets)
@@ -383,4 +400,4 @@ def mix(docs: DataFrame, targets: Targets | None = None, small_cells: int = SMAL
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and decision of every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "drawn")
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "drawn")

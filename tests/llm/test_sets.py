@@ -220,6 +220,16 @@ def test_topics_are_learnt_from_all_documents(spark):
     assert np.allclose(models[0].mean, vectors.mean(axis=0), atol=1e-6)
 
 
+def test_mixing_reads_texts_once(spark, tmp_path):
+    """What follows the word vectors reads what is stored with them, with columns of any type, and no text where none is asked for."""
+    corpus(spark, 30).write.parquet(str(tmp_path / "docs"))
+    d = spark.read.parquet(str(tmp_path / "docs")).withColumns({"_measured": F.lit(1), "none": F.lit(None)})
+    whole, few = mixing.mix(d), mixing.mix(d, keep=["doc_id", "source", "lang"])
+    assert not set(d.inputFiles()) & set(whole.inputFiles() + few.inputFiles())
+    assert whole.columns == [*d.columns, "topic", "n_tokens", "probability", "weight", "drawn"] and set(whole.columns) - set(few.columns) == {"text", "n_chars", "_measured", "none"}
+    assert sorted(whole.select(few.columns).collect()) == sorted(few.collect()) and {r["text"] for r in whole.collect()} == {r["text"] for r in d.collect()}
+
+
 def test_mixing_large_equals_small(spark):
     how = mixing.Targets(rounds=4, tolerance=0.0)
     a = mixing.mix(corpus(spark, 60), how).orderBy("doc_id").toPandas()
