@@ -8,11 +8,13 @@ apart. Documents that link at similarity t differ in at most
 d = (1 - t) / t * size elements. So at most d of their blocks differ, and
 documents of a size band meet on equal blocks.
 
-All blocks have one order, rare shingles first, empty blocks last, and a
-document emits the first d + 1 of its own. Of the blocks that two linking
-documents have in common, the first in that order is among those of both, as
-at most d others can come before it. Passages that many documents share stand
-last, so they make strangers meet only where there is hardly anything else.
+All blocks have one order, rare shingles first, then those that hold many, empty
+blocks last, and a document emits the first d + 1 of its own. Of the blocks that
+two linking documents have in common, the first in that order is among those of
+both, as at most d others can come before it. Passages that many documents share
+stand last, so they make strangers meet only where there is hardly anything else.
+A block holds several shingles, so strangers meet only where they share all of
+them: keys of single shingles would meet more often the more documents there are.
 `Frequent` only sets the order; a wrong count costs time and no pair.
 
 Where many documents meet, they are verified exactly against one of them, their
@@ -50,6 +52,8 @@ STARS, CHUNK = 1, 2048
 FREQUENT = 1 << 18
 #: Shingles of a stretch of documents that are counted at once, least count in it, and most that are passed on from it.
 STRETCH_CODES, OFTEN, STRETCH_SHINGLES = 1 << 21, 4, 1 << 12
+#: Shingles of a block on average, where that leaves twice as many blocks as a document has to emit.
+HELD = 3
 #: Width of a size band: its largest size over its smallest.
 BAND = 1.5
 U = np.uint64
@@ -135,14 +139,15 @@ class Rule:
             d = self.apart(last)
             if not d:
                 continue  # only equal sets would link
-            blocks = 2 * last + 16
+            blocks = max(2 * (d + 1), -(-last // HELD))
             at = ((codes >> U(20)) % U(blocks)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             at, row, rare = at[order], codes[order], common[order]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             parity, index, rare = np.bitwise_xor.reduceat(row, first), at[first], np.minimum.reduceat(rare, first)
             key = mixed(parity ^ mixed(U(band << 40) + index.astype(np.uint64)))
-            key = key[np.lexsort((key, rare))[: d + 1]]
+            held = np.diff(first, append=n)
+            key = key[np.lexsort((key, -held, rare))[: d + 1]]
             if len(key) <= d:  # blocks without elements come last in the order
                 empty = np.setdiff1d(np.arange(blocks), index)[: d + 1 - len(key)]
                 key = np.concatenate((key, mixed(mixed(U(band << 40) + empty.astype(np.uint64)))))

@@ -62,6 +62,18 @@ def test_jaccard_large_groups_take_pivots(spark, monkeypatch):
     assert got == helpers.jaccard_classes(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_jaccard_strangers_of_few_words_hardly_meet(spark, n, num):
+    """Texts of so few words that any shingle is in several of them: each meets its copy and hardly anyone else."""
+    r, rule = random.Random(6), jaccard_join.Rule(n, num)
+    texts = [r.choices("abcdefghijkl" if n == 3 else "abcdef", k=r.randint(60, 120)) for _ in range(150)]
+    d = spark.createDataFrame([(2 * i + j, " ".join(t[j:])) for i, t in enumerate(texts) for j in (0, 1)], "doc_id long, text string")
+    with common.workspace(spark) as folder:
+        pairs, _ = jaccard_join.met(d, rule, jaccard_join.frequent_shingles(jaccard_join.set_digests(d, rule)), folder)
+        met = {frozenset(p) for p in pairs.collect()}
+    assert all(frozenset((2 * i, 2 * i + 1)) in met for i in range(150)) and len(met) < 300
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40, 60)] + [(1, 50), (7, 8), (9, 9), (8, 7), (100, 99)]
     got = {r["id"]: r["component_id"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
