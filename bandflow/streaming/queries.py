@@ -20,10 +20,10 @@ SQL: dict[str, str] = {}
 
 
 def _landed(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """`rows` written as Parquet and opened again as a stream."""
-    path = new_path(spark, label)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    """`rows` written as Parquet and opened again as a stream, in a file and a task for each core, however few row groups the source has: nothing is sorted or kept by trigger."""
+    path, cores = new_path(spark, label), spark.sparkContext.defaultParallelism
+    rows.repartition(cores).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(4, cores)).parquet(path)
 
 
 def _kept(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:

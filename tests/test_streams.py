@@ -323,3 +323,13 @@ def test_a_triggers_size_is_bounded(spark, folder):
     log = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/many-checkpoint/commits")
     files = log.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(log)
     assert sum(f.getPath().getName().isdigit() for f in files) >= 12
+
+
+def test_landed_rows_have_a_task_for_each_core(spark):
+    """One file of one row group: all cores read what lands, in one trigger."""
+    rows = spark.range(1000).coalesce(1)
+    stream = queries._landed(spark, rows, "cores").withColumn("file", F.input_file_name())
+    files, seen = [], []
+    q = stream.writeStream.foreachBatch(lambda df, _: (files.append(df.select("file").distinct().count()), seen.append(df.count()))).option("checkpointLocation", queries.new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(seen) == 1000 and files == [spark.sparkContext.defaultParallelism]
