@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, trimmed
+from .common import keeping, small_batches, table, trimmed
 
 # The published pre-tokenisation pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,8 +78,11 @@ class BytePairCodec:
         by_length = sorted(self.special, key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         self.find_pieces = regex.compile(PIECES).findall
-        self.young: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.decimals: dict[int, str] = {i: str(i) for i in self.strings}
+        #: Array type of ids. A remembered piece is kept as its packed ids only, some 170 bytes with its key and place.
+        self.packed = "H" if max(self.strings) < 1 << 16 else "I"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: repeatedly join the adjacent pair of lowest rank, leftmost first."""
@@ -118,11 +122,10 @@ class BytePairCodec:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
-    def _result(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.merge(piece.encode("utf-8"))
-        return len(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
+    def _result(self, piece: str) -> bytes:
+        return array(self.packed, self.merge(piece.encode("utf-8"))).tobytes()
 
-    def _plain(self, text: str) -> list[tuple[int, str, bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
         found = self.find_pieces(text)
         if len(self.young) >= GENERATION:
             self.old, self.young = self.young, {}
@@ -136,30 +139,24 @@ class BytePairCodec:
             return [long.get(piece) or young[piece] for piece in found]
         return list(map(young.__getitem__, found))
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as text, their decoded bytes) of each piece of `text`."""
+    def ids(self, text: str) -> array:
+        """The ids of `text`."""
         if not any(s in text for s in self.special):
-            return self._plain(text)
+            return array(self.packed, b"".join(self._plain(text)))
         out, at = [], 0
         for m in self.split_special.finditer(text):
             out += self._plain(text[at : m.start()])
-            i = self.special[m[0]]
-            out.append((1, str(i), self.strings[i]))
+            out.append(array(self.packed, [self.special[m[0]]]).tobytes())
             at = m.end()
-        return out + self._plain(text[at:])
+        return array(self.packed, b"".join(out + self._plain(text[at:])))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")]
-
-
-_codecs: dict[str, BytePairCodec] = {}
+        return self.ids(text).tolist()
 
 
 def codec(path: str) -> BytePairCodec:
-    """One codec for each vocabulary and worker process."""
-    if path not in _codecs:
-        _codecs[path] = BytePairCodec(path)
-    return _codecs[path]
+    """One codec for each worker process, until a task of something else runs there."""
+    return keeping(f"bpe {path}", lambda: BytePairCodec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
@@ -197,14 +194,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for value in batch.column(1):
-                got = c.pieces(value.as_py() or "")
-                counts.append(sum(x[0] for x in got))
-                of_ids.append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
-                text = b"".join([x[2] for x in got]).decode("utf-8", errors="replace")
-                of_text.append(hashlib.sha256(text.encode()).hexdigest())
+                ids = c.encode(value.as_py() or "")
+                counts.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join(map(c.decimals.__getitem__, ids)).encode()).hexdigest())
+                of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,18 +31,40 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run`, after whose last batch the worker returns freed memory to the system: workers are kept for later tasks and stages."""
+#: What this Python process keeps over tasks, by name: one thing at most.
+_kept: dict[str, object] = {}
+
+
+def keeping(name: str, make: Callable[[], object]) -> object:
+    """What `make` returned for `name` in this process; whatever else was kept goes. Workers live on through all stages of
+    a job, so that tables and memories of one stage would stay beside those of the next."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trimmed(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """`run`, after whose last batch the worker returns freed memory to the system: workers are kept for later tasks and
+    stages. What an earlier stage left with `keeping` goes first, unless `run` itself `keeps` something."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        if _kept and not keeps:
+            _kept.clear()
+            released()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # no such call outside of glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
 
     return wrapped
 
 
+def released() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # no such call outside of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, else (tests) a local one."""
     given = spark.conf.get("spark.checkpoint.dir", None)

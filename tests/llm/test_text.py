@@ -1,13 +1,16 @@
 """BPE, secrets, line alignment and HTML extraction: exact cases and edges."""
 
 import base64
+import gc
 import gzip
 import hashlib
 import json
 import random
 import re
 import time
+import tracemalloc
 import urllib.parse
+import weakref
 import zlib
 from pathlib import Path
 
@@ -50,6 +53,25 @@ def test_bpe_refuses_other_pre_tokenisation(tmp_path):
         bpe.BytePairCodec(str(tmp_path / "other.json"))
 
 
+def test_bpe_goes_when_a_task_of_another_stage_runs():
+    kept = weakref.ref(bpe.codec(bpe.default_vocabulary()))
+    assert list(common.trimmed(iter, keeps=True)(iter([1]))) == [1] and bpe.codec(bpe.default_vocabulary()) is kept()
+    assert list(common.trimmed(iter)(iter([1]))) == [1]
+    gc.collect()
+    assert kept() is None
+
+
+def test_bpe_remembers_in_little_memory():
+    c, pieces = bpe.BytePairCodec(bpe.default_vocabulary()), [f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(1 << 20, (1 << 20) + 20_000)]
+    texts = [" ".join(pieces[i : i + 100]) for i in range(0, len(pieces), 100)]
+    tracemalloc.start()
+    for t in texts:
+        c.encode(t)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(c.young) >= 20_000 and held / len(c.young) < 220
+
+
 def test_bpe_columns_round_trip(spark):
     out = bpe.decode(bpe.encode(docs(spark, EDGES[:6])))
     assert [r["decoded"] for r in out.orderBy("doc_id").collect()] == [t or "" for t in EDGES[:6]]
