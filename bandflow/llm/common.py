@@ -49,15 +49,21 @@ def trimmed(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callabl
     stages. What an earlier stage left with `keeping` goes first, unless `run` itself `keeps` something."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        if _kept and not keeps:
-            _kept.clear()
-            released()
+        if not keeps:
+            dropped()
         yield from run(batches)
         released()
 
     return wrapped
 
 
+def dropped() -> None:
+    """Lets go of what `keeping` holds; a function of its own, as `wrapped` goes to workers with a copy of its globals."""
+    if _kept:
+        _kept.clear()
+        released()
+
+
 def released() -> None:
     """Gives freed memory of this process back to the system."""
     pa.default_memory_pool().release_unused()

@@ -19,6 +19,7 @@ import pytest
 from helpers import cut_by_brute_force
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from bandflow.llm import bpe, common, htmlmain, linededup, secrets
 
@@ -61,6 +62,13 @@ def test_bpe_goes_when_a_task_of_another_stage_runs():
     assert kept() is None
 
 
+def test_bpe_goes_in_a_worker_too():
+    kept = weakref.ref(bpe.codec(bpe.default_vocabulary()))
+    assert list(cloudpickle.loads(cloudpickle.dumps(common.trimmed(iter)))(iter([1]))) == [1]  # as a worker gets it
+    gc.collect()
+    assert kept() is None
+
+
 def test_bpe_remembers_in_little_memory():
     c, pieces = bpe.BytePairCodec(bpe.default_vocabulary()), [f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(1 << 20, (1 << 20) + 20_000)]
     texts = [" ".join(pieces[i : i + 100]) for i in range(0, len(pieces), 100)]
